@@ -143,7 +143,8 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Sky").alias("airline"),
     )
     copies = F.when(F.col("l_returnflag") == "A", F.array("pos", F.col("pos") + 100_000)).otherwise(F.array("pos"))
-    listed = rows.select("l_orderkey", F.explode(copies).alias("pos"), option.alias("option"))
+    shaped = rows.select("l_orderkey", copies.alias("places"), option.alias("option"))
+    listed = shaped.select("l_orderkey", F.explode("places").alias("pos"), "option")
     gathered = listed.groupBy(F.col("l_orderkey").alias("payload_id")).agg(
         F.sort_array(F.collect_list(F.struct("pos", "option"))).alias("all")
     )

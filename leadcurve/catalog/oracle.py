@@ -952,7 +952,8 @@ _fragment(
 SELECT u.*, u.origin || '-' || u.destination AS route,
   coalesce(current_price, published_price, route_median_fare, fare, 150e0) AS pin_price,
   CASE WHEN current_price IS NOT NULL THEN 'user' WHEN published_price IS NOT NULL THEN 'web' ELSE 'model' END
-    AS price_source, coalesce(route_distance, distance) AS totalTravelDistance, live_matched_date
+    AS price_source, coalesce(route_distance, distance) AS totalTravelDistance,
+  CASE WHEN current_price IS NULL THEN live_matched_date END AS live_matched_date
 FROM checked u JOIN web USING (request_id)
 LEFT JOIN lookups l ON l.route = u.origin || '-' || u.destination, overall WHERE u.status = 'ok'""",
 )
@@ -1042,14 +1043,14 @@ FROM dip_windows""",
   flight_date - CAST(window_end_days AS INTEGER) AS buy_window_end,
   pin_price - best_price AS savings, best_day = days_left OR pin_price - best_price < 8 AS buy
   FROM pinned_web p JOIN web_windows w USING (request_id)),
-t AS (SELECT request_id, count(*) AS curve_points, round(sum(round_even(fare, 2)), 1) AS curve_total
+t AS (SELECT request_id, count(*) AS curve_points, round(sum(round_even(fare * 100, 0) / 100), 2) AS curve_total
   FROM web_curves GROUP BY request_id)
 SELECT request_id, origin, destination, flight_date, days_left, stops, price_source, live_matched_date,
   CASE WHEN buy THEN 'buy_now' ELSE 'wait' END AS status,
   CASE WHEN NOT buy THEN CAST(days_left - best_day AS INTEGER) END AS wait_days,
-  round_even(pin_price, 2) AS current_price,
-  CASE WHEN NOT buy THEN round_even(best_price, 2) END AS expected_best_price,
-  CASE WHEN NOT buy THEN round_even(savings, 2) END AS expected_savings,
+  round_even(pin_price * 100, 0) / 100 AS current_price,
+  CASE WHEN NOT buy THEN round_even(best_price * 100, 0) / 100 END AS expected_best_price,
+  CASE WHEN NOT buy THEN round_even(savings * 100, 0) / 100 END AS expected_savings,
   CAST(best_day AS INTEGER) AS best_day, best_date, buy_window_start, buy_window_end,
   CAST(window_start_days AS INTEGER) AS buy_window_start_days, CAST(window_end_days AS INTEGER) AS buy_window_end_days,
   CASE WHEN buy THEN 'Buy ' || {_WHEN} || {_text(C.MSG_BUY_TAIL)}
@@ -1059,7 +1060,7 @@ SELECT request_id, origin, destination, flight_date, days_left, stops, price_sou
 FROM d JOIN t USING (request_id)
 UNION ALL BY NAME
 SELECT request_id, origin, destination, flight_date, days_left, stops, NULL AS price_source,
-  live_matched_date, status, message FROM checked LEFT JOIN web USING (request_id) WHERE status <> 'ok'""",
+  status, message FROM checked WHERE status <> 'ok'""",
         "web_windows",
     ),
 }

@@ -544,7 +544,7 @@ def recommendations(spark, sf):
     rows = recommend.recommend_requests(requests, scorers.dip(), *_lookups(spark, sf))
     total = F.aggregate("curve", F.lit(0.0), lambda s, p: s + p["predicted_fare"])
     return rows.withColumns(
-        {"curve_points": F.size("curve").cast("bigint"), "curve_total": F.round(total, 1)}
+        {"curve_points": F.size("curve").cast("bigint"), "curve_total": F.round(total, 2)}
     ).drop("curve", "today")
 
 

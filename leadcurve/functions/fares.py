@@ -26,5 +26,5 @@ def log_fare(fare: Column) -> Column:
 
 
 def cents(amount: Column) -> Column:
-    """Two decimals, ties to even on the decimal value."""
-    return F.bround(amount, 2)
+    """Two decimals: the nearest whole number of cents, ties to even."""
+    return F.rint(amount * 100) / 100

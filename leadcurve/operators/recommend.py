@@ -109,6 +109,9 @@ def pin_prices(requests: DataFrame, route_lookup: DataFrame, global_lookup: Data
     web = F.col("published_price") if "published_price" in requests.columns else F.lit(None).cast("double")
     user = F.col("current_price").cast("double")
     typical = F.coalesce("route_median_fare", fare, F.lit(C.DEFAULT_FARE))
+    if "live_matched_date" in requests.columns:
+        used = user.isNull() & web.isNotNull()
+        joined = joined.withColumn("live_matched_date", F.when(used, F.col("live_matched_date")))
     return joined.withColumns(
         {
             "pin_price": F.coalesce(user, web, typical),
@@ -280,5 +283,7 @@ def recommend_requests(
     pinned = pin_prices(usable, route_lookup, global_lookup)
     answers = recommend(buy_windows(predict_curves(pinned, scorer, absolute)))
     rejected = checked.filter(F.col("status") != "ok")
-    kept = [c for c in answers.columns if c in rejected.columns]
+    kept = [c for c in answers.columns if c in rejected.columns and c != "live_matched_date"]
+    # a rejected request keeps no fare
+    kept = [c for c in kept if c != "current_price"]
     return answers.unionByName(rejected.select(*kept), allowMissingColumns=True)
