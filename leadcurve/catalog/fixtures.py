@@ -7,7 +7,7 @@ definitions for DuckDB.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AIRPORT = "CASE {0} WHEN 0 THEN 'ATL' WHEN 1 THEN 'BOS' WHEN 2 THEN 'LAX' ELSE 'ORD' END"
@@ -122,39 +122,39 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Options of flag A are listed a second time at the end.
     """
-    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order))
-    rows = table(spark, sf_dir, "lineitem").withColumn("pos", place)
-    two = F.col("l_linenumber") % 2 == 0
-    day, line = F.lit("2022-09-15 0"), F.col("l_linenumber").cast("string")
-    dep = F.concat(day, line, F.lit(":15"))
-    arr = F.concat(F.lit("2022-09-15 1"), line, F.lit(":45"))
-    fn1 = F.concat(F.lit("dl "), (F.col("l_partkey") % 50).cast("string"))
-    fn2 = F.concat(F.lit("AA "), (F.col("l_suppkey") % 20).cast("string"))
-    minutes = (F.lit(30) + F.col("l_linenumber") * 5).cast("int")
-    airline = F.when(F.col("l_quantity") % 2 == 0, "Delta")
-    first = _leg(fn1, dep, F.when(two, "2022-09-15 09:00").otherwise(arr), airline, minutes)
-    second = _leg(fn2, F.lit("2022-09-15 09:40"), arr, F.lit("American"), minutes)
-    option = F.struct(
-        F.when(two, F.array(first, second)).otherwise(F.array(first)).alias("flights"),
-        F.when(two, F.array(F.struct(F.lit("DFW").alias("id")))).alias("layovers"),
-        F.when(F.col("l_tax") > 0.02, (60 + F.col("l_linenumber") * 10).cast("int")).alias("total_duration"),
-        F.when(F.col("l_quantity") > 3, F.floor(F.col("l_extendedprice") / 400) + 15).alias("price"),
-        F.lit("Sky").alias("airline"),
-    )
-    copies = F.when(F.col("l_returnflag") == "A", F.array("pos", F.col("pos") + 100_000)).otherwise(F.array("pos"))
-    shaped = rows.select("l_orderkey", copies.alias("places"), option.alias("option"))
-    listed = shaped.select("l_orderkey", F.explode("places").alias("pos"), "option")
-    gathered = listed.groupBy(F.col("l_orderkey").alias("payload_id")).agg(
-        F.sort_array(F.collect_list(F.struct("pos", "option"))).alias("all")
-    )
-
-    def part(best: bool) -> Column:
-        chosen = F.filter("all", lambda o: (o["pos"] <= 2) if best else (o["pos"] > 2))
-        return F.transform(chosen, lambda o: o["option"])
+    place = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    fields = F.struct("l_quantity", "l_tax", "l_returnflag")
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("payload_id"), F.struct(place.alias("p"), fields.alias("f")).alias("row")
+    )
+    gathered = rows.groupBy("payload_id").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+
+    def option(row: Column) -> Column:
+        line, part, supplier = row["p"]["l_linenumber"], row["p"]["l_partkey"], row["p"]["l_suppkey"]
+        two = line % 2 == 0
+        minutes = (F.lit(30) + line * 5).cast("int")
+        airline = F.when(row["f"]["l_quantity"] % 2 == 0, "Delta")
+        dep = F.concat(F.lit("2022-09-15 0"), line.cast("string"), F.lit(":15"))
+        arr = F.concat(F.lit("2022-09-15 1"), line.cast("string"), F.lit(":45"))
+        fn1 = F.concat(F.lit("dl "), (part % 50).cast("string"))
+        fn2 = F.concat(F.lit("AA "), (supplier % 20).cast("string"))
+        first = _leg(fn1, dep, F.when(two, "2022-09-15 09:00").otherwise(arr), airline, minutes)
+        second = _leg(fn2, F.lit("2022-09-15 09:40"), arr, F.lit("American"), minutes)
+        return F.struct(
+            F.filter(F.array(first, F.when(two, second)), lambda leg: leg.isNotNull()).alias("flights"),
+            F.when(two, F.array(F.struct(F.lit("DFW").alias("id")))).alias("layovers"),
+            F.when(row["f"]["l_tax"] > 0.02, (line * 10 + 60).cast("int")).alias("total_duration"),
+            F.when(row["f"]["l_quantity"] > 3, F.floor(row["p"]["l_extendedprice"] / 400) + 15).alias("price"),
+            F.lit("Sky").alias("airline"),
+        )
 
-    payload = F.to_json(F.struct(part(True).alias("best_flights"), part(False).alias("other_flights")))
-    return gathered.select("payload_id", payload.alias("payload"))
+    copies = F.filter("rows", lambda row: row["f"]["l_returnflag"] == "A")
+    others = F.concat(F.slice("rows", 3, F.greatest(F.size("rows"), F.lit(1))), copies)
+    document = F.struct(
+        F.transform(F.slice("rows", 1, 2), option).alias("best_flights"),
+        F.transform(others, option).alias("other_flights"),
+    )
+    return gathered.select("payload_id", F.to_json(document).alias("payload"))
 
 
 def _deals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,19 +175,17 @@ def route_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Every tenth block's page shows no price at all.
     """
-    text = F.expr(
-        """concat('{"providerName":"', carrier, '","price":{"price":', price, ',"currency":"USD"},',
-        '"pickupDateIso":"', deal_date, '"',
-        CASE WHEN stops IS NULL THEN '' ELSE concat(',"leg1Stops":', stops) END, '}')"""
-    )
+    text = """concat('{"providerName":"', d.carrier, '","price":{"price":', d.price, ',"currency":"USD"},',
+        '"pickupDateIso":"', d.deal_date, '"',
+        CASE WHEN d.stops IS NULL THEN '' ELSE concat(',"leg1Stops":', d.stops) END, '}')"""
     pages = (
         _deals(spark, sf_dir)
         .groupBy("origin", "destination", "block")
         .agg(
-            F.sort_array(F.collect_list(F.struct("place", text.alias("text")))).alias("deals"),
+            F.sort_array(F.collect_list(F.struct("place", "price", "deal_date", "stops", "carrier"))).alias("deals"),
             (F.min("price") + 40).alias("headline"),
         )
-        .withColumn("listed", F.concat_ws(",\n", F.transform("deals", lambda d: d["text"])))
+        .withColumn("listed", F.expr(f"array_join(transform(deals, d -> {text}), ',\\n')"))
     )
     html = F.expr(
         """CASE WHEN block % 10 = 9 THEN '<html>no prices here</html>' ELSE concat(

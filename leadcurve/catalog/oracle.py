@@ -1055,7 +1055,7 @@ SELECT request_id, origin, destination, flight_date, days_left, stops, price_sou
   CAST(window_start_days AS INTEGER) AS buy_window_start_days, CAST(window_end_days AS INTEGER) AS buy_window_end_days,
   CASE WHEN buy THEN 'Buy ' || {_WHEN} || {_text(C.MSG_BUY_TAIL)}
     ELSE 'Wait, then buy ' || {_WHEN} || '. Lowest predicted fare is around ' || {_best} ||
-      '. You could save around $' || printf('%.2f', savings) || ' by waiting.' END AS message,
+      '. You could save around $' || printf('%.2f', round_even(savings * 100, 0) / 100) || ' by waiting.' END AS message,
   curve_points, curve_total
 FROM d JOIN t USING (request_id)
 UNION ALL BY NAME

@@ -171,7 +171,7 @@ def holiday_dates(spark, sf):
     """Holidays of every year in which a quoted flight departs, with the quotes on that day."""
     per_day = fx.offers(spark, sf).groupBy("flightDate").agg(F.count(F.lit(1)).alias("offers"))
     years = per_day.select(F.year("flightDate").alias("year")).distinct()
-    listed = years.select("year", F.inline(dates.holidays_of_year(F.col("year"))))
+    listed = years.select("year", F.inline(dates.holidays_of_year("year")))
     counted = listed.join(per_day.withColumnRenamed("flightDate", "holiday_date"), "holiday_date", "left")
     return counted.select(
         "year", "holiday", "holiday_date", F.coalesce("offers", F.lit(0).cast("bigint")).alias("offers")
@@ -180,13 +180,12 @@ def holiday_dates(spark, sf):
 
 @query
 def near_holiday_flags(spark, sf):
-    flight = F.col("flightDate")
     return fx.offers(spark, sf).groupBy("flightDate").agg(F.count(F.lit(1)).alias("offers")).select(
         "flightDate",
         "offers",
-        dates.is_federal_holiday(flight).alias("is_holiday"),
-        dates.near_holiday(flight).alias("near_holiday"),
-        dates.is_weekend(dates.day_of_week(flight)).alias("is_weekend"),
+        dates.is_federal_holiday("flightDate").alias("is_holiday"),
+        dates.near_holiday("flightDate").alias("near_holiday"),
+        dates.is_weekend(dates.day_of_week(F.col("flightDate"))).alias("is_weekend"),
     )
 
 
@@ -533,7 +532,7 @@ def all_stops_curve(spark, sf):
 
 @query
 def buy_window(spark, sf):
-    windows = recommend.buy_windows(recommend.predict_curves(_pinned(spark, sf), scorers.dip()))
+    windows = recommend.buy_windows(recommend.curve_rows(_pinned(spark, sf), scorers.dip()))
     rows = windows.select("request_id", "best_day", "best_price", "window_start_days", "window_end_days")
     return rounded(rows, "best_price")
 

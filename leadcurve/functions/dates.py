@@ -6,9 +6,6 @@ expression over the date, so flagging rows needs neither a join nor a broadcast.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,53 +40,49 @@ def is_weekend(dow: Column) -> Column:
     return dow.isin(SUNDAY, SATURDAY)
 
 
-def nth_weekday(year: Column, month: int, weekday: int, n: int) -> Column:
-    """Date of the nth ``weekday`` of a month; ``n`` = 0 gives the last one."""
-    first = F.make_date(year, F.lit(month), F.lit(1))
+def _nth_weekday(year: str, month: int, weekday: int, n: int) -> str:
+    """SQL for the nth ``weekday`` of a month; ``n`` = 0 gives the last one."""
+    first = f"make_date({year}, {month}, 1)"
     if n == 0:
-        last = F.last_day(first)
-        return F.date_sub(last, F.pmod(day_of_week(last) - F.lit(weekday), F.lit(7)))
-    lead_in = F.pmod(F.lit(weekday) - day_of_week(first), F.lit(7))
-    return F.date_add(first, lead_in + F.lit(7 * (n - 1)))
+        last = f"last_day({first})"
+        return f"date_sub({last}, pmod(dayofweek({last}) - 1 - {weekday}, 7))"
+    return f"date_add({first}, pmod({weekday} + 1 - dayofweek({first}), 7) + {7 * (n - 1)})"
 
 
-def holidays_of_year(year: Column) -> Column:
-    """Array of ``struct<holiday, holiday_date>`` with the eleven federal holidays."""
-    fixed = [
-        F.struct(F.lit(name).alias("holiday"), F.make_date(year, F.lit(m), F.lit(d)).alias("holiday_date"))
-        for name, (m, d) in FIXED_HOLIDAYS.items()
-    ]
-    floating = [
-        F.struct(F.lit(name).alias("holiday"), nth_weekday(year, m, wd, n).alias("holiday_date"))
-        for name, (m, wd, n) in FLOATING_HOLIDAYS.items()
+def nth_weekday(year: str, month: int, weekday: int, n: int) -> Column:
+    """Date of the nth ``weekday`` of a month in the year held by a column."""
+    return F.expr(_nth_weekday(year, month, weekday, n))
+
+
+def _holiday_dates(year: str) -> dict[str, str]:
+    dates = {name: f"make_date({year}, {m}, {d})" for name, (m, d) in FIXED_HOLIDAYS.items()}
+    for name, rule in FLOATING_HOLIDAYS.items():
+        dates[name] = _nth_weekday(year, *rule)
+    return dates
+
+
+def holidays_of_year(year: str) -> Column:
+    """Array of ``struct<holiday, holiday_date>``: the eleven federal holidays of a year column."""
+    rows = [
+        f"named_struct('holiday', '{name}', 'holiday_date', {day})"
+        for name, day in _holiday_dates(year).items()
     ]
-    return F.array(*fixed, *floating)
+    return F.expr(f"array({', '.join(rows)})")
 
 
-def is_federal_holiday(day: Column) -> Column:
-    """The nth weekday of a month falls on month days 7n-6 .. 7n; the last one on the final 7."""
-    month, dom, dow = F.month(day), F.dayofmonth(day), day_of_week(day)
-    tests = [(month == m) & (dom == d) for m, d in FIXED_HOLIDAYS.values()]
-    for m, wd, n in FLOATING_HOLIDAYS.values():
-        if n == 0:
-            in_week = dom > F.dayofmonth(F.last_day(day)) - 7
-        else:
-            in_week = dom.between(7 * n - 6, 7 * n)
-        tests.append((month == m) & (dow == wd) & in_week)
-    return reduce(or_, tests)
+def is_federal_holiday(day: str) -> Column:
+    """Whether a date column holds a federal holiday."""
+    return F.expr(f"{day} IN ({', '.join(_holiday_dates(f'year({day})').values())})")
 
 
-def near_holiday(day: Column, window: int = HOLIDAY_WINDOW_DAYS) -> Column:
-    """Whether a holiday lies within ``window`` days; windows up to two weeks.
+def near_holiday(day: str, window: int = HOLIDAY_WINDOW_DAYS) -> Column:
+    """Whether a holiday lies within ``window`` days of a date column; windows up to two weeks.
 
     Only New Year and Christmas lie close enough to a year's end to be reached
     from the neighbouring year.
     """
     if not 0 <= window <= 14:
         raise ValueError("window must lie between 0 and 14 days")
-    year = F.year(day)
-    dates = [F.make_date(year, F.lit(m), F.lit(d)) for m, d in FIXED_HOLIDAYS.values()]
-    dates += [nth_weekday(year, m, wd, n) for m, wd, n in FLOATING_HOLIDAYS.values()]
-    dates.append(F.make_date(year + 1, F.lit(1), F.lit(1)))
-    dates.append(F.make_date(year - 1, F.lit(12), F.lit(25)))
-    return reduce(or_, [F.abs(F.datediff(day, d)) <= window for d in dates])
+    dates = [*_holiday_dates(f"year({day})").values()]
+    dates += [f"make_date(year({day}) + 1, 1, 1)", f"make_date(year({day}) - 1, 12, 25)"]
+    return F.expr(" OR ".join(f"abs(datediff({day}, {h})) <= {window}" for h in dates))

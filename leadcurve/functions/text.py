@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadcurve import constants as C
+from leadcurve.functions.fares import cents
 
 
 def short_date(day: Column) -> Column:
@@ -29,7 +30,7 @@ def wait_message(when: Column, best_date: Column, savings: Column) -> Column:
         F.lit(". Lowest predicted fare is around "),
         short_date(best_date),
         F.lit(". You could save around $"),
-        F.format_string("%.2f", savings),
+        F.format_string("%.2f", cents(savings)),
         F.lit(" by waiting."),
     )
 

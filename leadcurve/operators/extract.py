@@ -31,61 +31,86 @@ def _filled(value: Column) -> Column:
     return F.when(value != "", value)
 
 
+def _trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def _clock(raw: Column) -> Column:
     """hh:mm of a ``date time`` text, or of a bare time."""
-    parts = F.split(F.regexp_replace(raw, r"^\s+|\s+$", ""), r"\s+")
-    first, second = F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(2))
-    bare = F.when(F.contains(first, F.lit(":")) & (F.length(first) >= 4), first.substr(1, 5))
-    return F.when(second.isNotNull(), second.substr(1, 5)).otherwise(bare)
+    second = F.regexp_extract(raw, r"^\s*\S+\s+(\S{1,5})", 1)
+    bare = F.regexp_extract(raw, r"^\s*(?=\S*:)(?=\S{4})(\S{1,5})\S*\s*$", 1)
+    return F.when(second != "", second).otherwise(_filled(bare))
 
 
-def _carrier_code(number: Column) -> Column:
-    code = F.regexp_extract(F.upper(F.replace(number, F.lit(" "), F.lit(""))), r"^[\p{L}\p{N}]{2}", 0)
-    return _filled(code)
+def _flight_numbers(legs: Column) -> Column:
+    numbers = F.transform(legs, lambda leg: _trimmed(leg["flight_number"]))
+    return F.filter(numbers, lambda n: n.isNotNull() & (n != ""))
 
 
 def _minutes(text: Column) -> Column:
     return F.coalesce(text.try_cast("double").cast("int"), F.lit(0))
 
 
-def _compact(option: Column) -> Column:
-    """The kept fields of one option; null if it has no leg or no acceptable price."""
-    legs = F.coalesce(option["flights"], F.array().cast(f"array<{_LEG}>"))
-    layovers = F.coalesce(option["layovers"], F.array().cast("array<struct<id:string>>"))
+def _usable(option: Column) -> Column:
+    """An option needs a leg and an acceptable price."""
     price = option["price"].try_cast("double")
-    first, last = F.try_element_at(legs, F.lit(1)), F.try_element_at(legs, F.lit(-1))
-    numbers = F.filter(
-        F.transform(legs, lambda leg: F.regexp_replace(leg["flight_number"], r"^\s+|\s+$", "")),
-        lambda n: n.isNotNull() & (n != ""),
+    legs = F.coalesce(F.size(option["flights"]), F.lit(0))
+    return (legs > 0) & price.between(C.ITINERARY_MIN, C.ITINERARY_MAX)
+
+
+def _identity(option: Column) -> Column:
+    """What makes two options the same: flight numbers, departure time, price."""
+    departure = F.get(option["flights"], F.lit(0))["departure_airport"]["time"]
+    return F.struct(
+        _flight_numbers(option["flights"]).alias("numbers"),
+        _clock(departure).alias("depart_time"),
+        cents(option["price"].try_cast("double")).alias("price"),
     )
-    summed = F.aggregate(
-        legs, F.lit(0), lambda total, leg: total + _minutes(leg["duration"])
+
+
+def _details(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The kept fields of ``option``, one option per row."""
+    legs, layovers = F.col("option.flights"), F.col("option.layovers")
+    first, last = F.get(legs, F.lit(0)), F.try_element_at(legs, F.lit(-1))
+    stop_ids = F.filter(
+        F.transform(F.coalesce(layovers, F.array()), lambda stop: stop["id"]),
+        lambda a: a.isNotNull() & (a != ""),
     )
-    total = _minutes(option["total_duration"])
-    duration = F.when(total != 0, total).otherwise(summed)
-    fields = F.struct(
-        F.coalesce(_filled(first["airline"]), option["airline"]).alias("airline"),
-        _carrier_code(F.try_element_at(numbers, F.lit(1))).alias("airline_code"),
-        F.coalesce(_filled(first["airline_logo"]), option["airline_logo"]).alias("airline_logo"),
-        numbers.alias("flight_numbers"),
-        _clock(_filled(first["departure_airport"]["time"])).alias("depart_time"),
-        _clock(_filled(last["arrival_airport"]["time"])).alias("arrive_time"),
-        F.when(duration != 0, duration).alias("duration_min"),
-        F.greatest(F.size(legs) - 1, F.size(layovers)).alias("stops"),
-        F.filter(
-            F.transform(layovers, lambda stop: stop["id"]), lambda a: a.isNotNull() & (a != "")
-        ).alias("stop_airports"),
-        cents(price).alias("price"),
+    summed = F.aggregate(legs, F.lit(0), lambda total, leg: total + _minutes(leg["duration"]))
+    total = _minutes(F.col("option.total_duration"))
+    code = F.regexp_extract(
+        F.upper(F.replace(F.get("numbers", F.lit(0)), F.lit(" "), F.lit(""))), r"^[\p{L}\p{N}]{2}", 0
+    )
+    staged = rows.select(
+        *keys,
+        "id",
+        "option",
+        "key",
+        F.col("key.numbers").alias("numbers"),
+        F.when(total != 0, total).otherwise(summed).alias("minutes"),
+    )
+    return staged.select(
+        *keys,
+        "id",
+        F.coalesce(_filled(first["airline"]), F.col("option.airline")).alias("airline"),
+        _filled(code).alias("airline_code"),
+        F.coalesce(_filled(first["airline_logo"]), F.col("option.airline_logo")).alias("airline_logo"),
+        F.col("numbers").alias("flight_numbers"),
+        F.col("key.depart_time").alias("depart_time"),
+        _clock(last["arrival_airport"]["time"]).alias("arrive_time"),
+        F.when(F.col("minutes") != 0, F.col("minutes")).alias("duration_min"),
+        F.greatest(F.size(legs) - 1, F.coalesce(F.size(layovers), F.lit(0))).alias("stops"),
+        stop_ids.alias("stop_airports"),
+        F.col("key.price").alias("price"),
     )
-    priced = price.between(C.ITINERARY_MIN, C.ITINERARY_MAX)
-    return F.when((F.size(legs) > 0) & priced, fields)
 
 
 def itineraries(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """One row per distinct kept option, best options first, numbered from 0 in each payload.
 
     Options are equal if flight numbers, departure time and price are; the first
-    one stays. Equal options are found by sorting inside the row.
+    one stays. Equal options are found by sorting inside the row, so that payloads
+    are never shuffled.
     """
     keys = [c for c in payloads.columns if c != payload]
     parsed = payloads.select(*keys, F.from_json(payload, PAYLOAD_SCHEMA).alias("doc"))
@@ -93,34 +118,30 @@ def itineraries(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     options = F.concat(
         F.coalesce("doc.best_flights", none), F.coalesce("doc.other_flights", none)
     )
-    compacted = parsed.select(
-        *keys, F.filter(F.transform(options, _compact), lambda o: o.isNotNull()).alias("kept")
-    )
-    tagged = compacted.select(
+    tagged = parsed.select(
         *keys,
         F.array_sort(
             F.transform(
-                "kept",
-                lambda o, i: F.struct(
-                    F.struct(o["flight_numbers"], o["depart_time"], o["price"]).alias("key"),
-                    i.alias("place"),
-                    o.alias("option"),
-                ),
+                F.filter(options, _usable),
+                lambda o, i: F.struct(_identity(o).alias("key"), i.alias("place"), o.alias("option")),
             )
         ).alias("tagged"),
     )
     # sorted by key, then place: an entry equal to the one before it is a copy
-    firsts = F.filter(
-        "tagged",
-        lambda t, i: (i == 0)
-        | ~t["key"].eqNullSafe(F.get(F.col("tagged"), F.greatest(i - 1, F.lit(0)))["key"]),
-    )
-    ordered = F.array_sort(
-        F.transform(firsts, lambda t: F.struct(t["place"].alias("place"), t["option"].alias("option")))
-    )
-    return tagged.select(*keys, F.posexplode(ordered).alias("id", "entry")).select(
-        *keys, "id", "entry.option.*"
+    before = F.concat(F.array(F.lit(None)), F.transform("tagged", lambda t: t["key"]))
+    firsts = F.transform(
+        F.filter(
+            F.arrays_zip(F.col("tagged").alias("entry"), before.alias("before")),
+            lambda z: z["entry"].isNotNull() & ~z["entry"]["key"].eqNullSafe(z["before"]),
+        ),
+        lambda z: F.struct(
+            z["entry"]["place"].alias("place"),
+            z["entry"]["key"].alias("key"),
+            z["entry"]["option"].alias("option"),
+        ),
     )
+    kept = tagged.select(*keys, F.posexplode(F.array_sort(firsts)).alias("id", "entry"))
+    return _details(kept.select(*keys, "id", "entry.key", "entry.option"), keys)
 
 
 def filter_stops(found: DataFrame, choice: str) -> DataFrame:

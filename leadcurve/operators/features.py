@@ -26,6 +26,6 @@ def attach_features(rows: DataFrame) -> DataFrame:
             "is_nonstop": F.col("is_nonstop").cast("boolean"),
             "log_current_fare": log_fare(F.col("current_fare")),
             "departure_is_weekend": is_weekend(F.col("departure_day_of_week")),
-            "near_holiday": near_holiday(F.col("flightDate")),
+            "near_holiday": near_holiday("flightDate"),
         }
     )

@@ -31,28 +31,23 @@ def weighted_quantiles(
     upto = group.orderBy(F.col(value).asc_nulls_first()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    held = F.when(F.col(value).isNotNull(), F.col(weight)).otherwise(F.lit(0)).cast("bigint")
-    ranked = (
-        counted.withColumn("_held", held)
-        .withColumn("_end", F.sum("_held").over(upto))
-        .withColumn("_total", F.sum("_held").over(group))
-        .withColumn("_begin", F.col("_end") - F.col("_held"))
+    held = F.expr(f"CAST(IF(`{value}` IS NULL, 0, `{weight}`) AS BIGINT)")
+    ranked = counted.withColumn("_held", held).withColumns(
+        {"_end": F.sum("_held").over(upto), "_total": F.sum("_held").over(group)}
     )
 
-    def at(rank: Column) -> Column:
-        covers = (F.col("_begin") <= rank) & (rank < F.col("_end"))
-        return F.max(F.when(covers, F.col(value)))
+    def at(rank: str) -> str:
+        return f"max(CASE WHEN _end - _held <= {rank} AND {rank} < _end THEN `{value}` END)"
 
     aggregates, picks = [], []
     for name, p in quantiles.items():
-        place = F.lit(float(p)) * (F.col("_total") - 1)
+        place = f"({float(p)!r}D * (_total - 1))"
         aggregates += [
-            at(F.floor(place)).alias(f"_{name}_lo"),
-            at(F.ceil(place)).alias(f"_{name}_hi"),
-            F.max(place - F.floor(place)).alias(f"_{name}_step"),
+            F.expr(f"{at(f'floor{place}')} AS _{name}_lo"),
+            F.expr(f"{at(f'ceil{place}')} AS _{name}_hi"),
+            F.expr(f"max({place} - floor{place}) AS _{name}_step"),
         ]
-        lo, hi, step = F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), F.col(f"_{name}_step")
-        picks.append((lo + (hi - lo) * step).alias(name))
+        picks.append(F.expr(f"_{name}_lo + (_{name}_hi - _{name}_lo) * _{name}_step AS {name}"))
     grouped = ranked.groupBy(*keys).agg(*aggregates, *extra)
     kept = [c for c in grouped.columns if not c.startswith("_")]
     return grouped.select(*kept, *picks)

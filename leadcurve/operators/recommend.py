@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadcurve import constants as C
-from leadcurve.constants import CURVE_KEYS
 from leadcurve.functions import text
 from leadcurve.functions.dates import day_of_week
 from leadcurve.functions.fares import cents
-from leadcurve.functions.keys import normalize_stops, route_key
+from leadcurve.functions.keys import normalize_stops
 from leadcurve.operators.features import attach_features
 from leadcurve.operators.scorers import Scorer
 
@@ -121,77 +120,102 @@ def pin_prices(requests: DataFrame, route_lookup: DataFrame, global_lookup: Data
     ).drop("route_median_fare", "route_distance")
 
 
-def curve_grid(requests: DataFrame, absolute: bool = False) -> DataFrame:
-    """Feature rows for lead days 60 to 1 of every request, per stop type it asks for.
-
-    Requests are spread by id first; what follows for one request stays together.
-    """
-    stops = F.col("stops")
-    pools = F.array_compact(
-        F.array(F.when(stops != "nonstop", F.lit(False)), F.when(stops != "connecting", F.lit(True)))
-    )
-    if absolute:
-        pools = F.array(F.lit(False))
-    spread = requests.repartition("request_id").withColumns(
+def _serving_features(requests: DataFrame) -> DataFrame:
+    """Requests with the columns of a feature row that do not depend on the lead day."""
+    return requests.withColumns(
         {
             "startingAirport": F.col("origin"),
             "destinationAirport": F.col("destination"),
             "flightDate": F.col("flight_date"),
+            "route": F.concat(F.col("origin"), F.lit("-"), F.col("destination")),
             "as_of_days": F.col("days_left"),
             "current_fare": F.col("pin_price"),
             "departure_day_of_week": day_of_week(F.col("flight_date")),
             "departure_month": F.month("flight_date"),
         }
     )
-    if "route" not in spread.columns:
-        spread = spread.withColumn("route", route_key())
-    grid = spread.withColumn("isNonStop", F.explode(pools)).withColumn(
-        "days_before_departure", F.explode(F.sequence(F.lit(C.MAX_LEAD_DAYS), F.lit(1)))
-    )
+
+
+def _scored_pools(rows: DataFrame, scorer: Scorer, names: tuple[str, str]) -> DataFrame:
+    """Score rows for the pools a request asks for, as two columns.
+
+    A request for both stop types is scored as connecting and as nonstop; any other
+    request gets its own pool twice.
+    """
+    stops = F.col("stops")
+    for name, nonstop in zip(names, (stops == "nonstop", stops != "connecting"), strict=True):
+        kept = rows.columns
+        pool = rows.withColumn("is_nonstop", nonstop).withColumn("isNonStop", nonstop)
+        scored = scorer(attach_features(pool))
+        rows = scored.select(*kept, F.col("predicted_relative").alias(name))
+    return rows
+
+
+def _search_day(rows: DataFrame) -> DataFrame:
     searched = F.date_sub("flight_date", F.col("days_before_departure"))
-    return attach_features(grid.withColumn("search_day_of_week", day_of_week(searched)))
+    return rows.withColumn("search_day_of_week", day_of_week(searched))
+
+
+def _lead_days() -> Column:
+    return F.explode(F.sequence(F.lit(C.MAX_LEAD_DAYS), F.lit(1)))
+
+
+def curve_rows(requests: DataFrame, scorer: Scorer) -> DataFrame:
+    """Predicted fare for each of the 60 lead days of every request, row by row.
 
+    Today's relative fare is scored once per request before the lead days unfold, so
+    that scaling the curve to the pinned fare needs no grouping. Both pools then cost
+    the pinned fare today, and the cheaper one of each day is the curve of a request
+    for both. Requests are spread by id; their rows stay together.
+    """
+    given = requests.columns
+    prepared = _serving_features(requests.repartition("request_id"))
+    today = _search_day(prepared.withColumn("days_before_departure", F.col("days_left")))
+    known = _scored_pools(today, scorer, ("today_a", "today_b")).drop("days_before_departure")
+    unfolded = _search_day(known.withColumn("days_before_departure", _lead_days()))
+    scored = _scored_pools(unfolded, scorer, ("day_a", "day_b"))
+
+    def fare(pool: str) -> Column:
+        base = F.when(F.col(f"today_{pool}") > 0, F.col(f"today_{pool}")).otherwise(F.lit(1.0))
+        return F.col(f"day_{pool}") / base * F.col("pin_price")
+
+    return scored.select(
+        *given, "days_before_departure", F.least(fare("a"), fare("b")).alias("predicted_fare")
+    )
 
-GRID_HELPERS = [
-    *CURVE_KEYS,
-    "as_of_days",
-    "current_fare",
-    "departure_day_of_week",
-    "departure_month",
-    "search_day_of_week",
-    "totalTravelDistance",
-    "is_nonstop",
-    "route_cat",
-    "log_current_fare",
-    "departure_is_weekend",
-    "near_holiday",
-]
+
+def absolute_curve_rows(requests: DataFrame, scorer: Scorer) -> DataFrame:
+    """Curves of a model that predicts dollars (``predicted_fare``): one pool, no pinning."""
+    given = requests.columns
+    prepared = _serving_features(requests.repartition("request_id"))
+    unfolded = _search_day(prepared.withColumn("days_before_departure", _lead_days()))
+    rows = unfolded.withColumn("is_nonstop", F.lit(False)).withColumn("isNonStop", F.lit(False))
+    return scorer(attach_features(rows)).select(*given, "days_before_departure", "predicted_fare")
 
 
 def predict_curves(requests: DataFrame, scorer: Scorer, absolute: bool = False) -> DataFrame:
-    """Predicted fare for each of the 60 lead days of every request.
+    """Fare curves of pinned requests; ``absolute`` for a scorer that gives dollars."""
+    return (absolute_curve_rows if absolute else curve_rows)(requests, scorer)
+
 
-    The relative curve is scaled so that today costs the pinned fare. For both
-    stop types the cheaper one is taken per day and scaled again. With
-    ``absolute`` the scorer gives dollars in ``predicted_fare`` and nothing is pinned.
+def gather_curves(curves: DataFrame) -> DataFrame:
+    """One row per request with its 60 points, largest lead day first.
+
+    The request's own columns travel with one of its 60 rows only.
     """
-    scored = scorer(curve_grid(requests, absolute))
-    if absolute:
-        return scored.drop(*GRID_HELPERS)
-    price, today = F.col("pin_price"), F.col("days_before_departure") == F.col("days_left")
-    pool = Window.partitionBy("request_id", "isNonStop")
-    known = F.max(F.when(today, F.col("predicted_relative"))).over(pool)
-    today_relative = F.when(known > 0, known).otherwise(F.lit(1.0))
-    priced = scored.withColumn(
-        "predicted_fare", F.col("predicted_relative") / today_relative * price
-    ).drop(*GRID_HELPERS, "predicted_relative")
-    carried = [c for c in priced.columns if c != "predicted_fare"]
-    cheaper = priced.groupBy(*carried).agg(F.min("predicted_fare").alias("predicted_fare"))
-    whole = Window.partitionBy("request_id")
-    today_fare = F.max(F.when(today, F.col("predicted_fare"))).over(whole)
-    again = (F.col("stops") == "all") & (today_fare > 0)
-    scaled = F.col("predicted_fare") * F.when(again, price / today_fare).otherwise(F.lit(1.0))
-    return cheaper.withColumn("predicted_fare", scaled)
+    day = F.col("days_before_departure")
+    point = F.struct(day.alias("day"), F.col("predicted_fare").alias("fare"))
+    about = [c for c in curves.columns if c not in ("days_before_departure", "predicted_fare")]
+    slim = curves.select(
+        "request_id",
+        point.alias("point"),
+        F.when(day == C.MAX_LEAD_DAYS, F.struct(*about)).alias("about"),
+    )
+    gathered = slim.groupBy("request_id").agg(
+        F.first("about", ignorenulls=True).alias("about"),
+        F.sort_array(F.collect_list("point"), asc=False).alias("points"),
+    )
+    return gathered.select("about.*", "points")
 
 
 def buy_windows(curves: DataFrame, margin: float = C.MEANINGFUL_SAVINGS) -> DataFrame:
@@ -200,35 +224,53 @@ def buy_windows(curves: DataFrame, margin: float = C.MEANINGFUL_SAVINGS) -> Data
     Only days up to departure count. The run ends before the nearest dearer day on
     either side.
     """
-    day, fare, left = F.col("days_before_departure"), F.col("predicted_fare"), F.col("days_left")
-    whole = Window.partitionBy("request_id")
-    ahead = day <= left
-    best = F.min(F.when(ahead, F.struct(fare.alias("fare"), (-day).alias("order")))).over(whole)
-    marked = curves.withColumn("best", best).withColumns(
-        {"best_day": -F.col("best.order"), "best_price": F.col("best.fare")}
-    )
-    best_day = F.col("best_day")
-    dear = ahead & (fare > F.col("best_price") + F.lit(float(margin)))
-    bounded = marked.withColumns(
-        {
-            "break_before": F.min(F.when(dear & (day > best_day), day)).over(whole),
-            "break_after": F.max(F.when(dear & (day < best_day), day)).over(whole),
-        }
+    left, best_day = F.col("days_left"), F.col("best_day")
+
+    def days(points: Column) -> Column:
+        return F.transform(points, lambda p: p["day"])
+
+    cheapest = F.array_min(
+        F.transform("ahead", lambda p: F.struct(p["fare"].alias("fare"), (-p["day"]).alias("order")))
     )
-    inside = (
-        ahead
-        & (day < F.coalesce("break_before", left + 1))
-        & (day > F.coalesce("break_after", F.lit(0)))
+    limit = F.col("best_price") + F.lit(float(margin))
+    found = (
+        gather_curves(curves)
+        .withColumn("ahead", F.filter("points", lambda p: p["day"] <= left))
+        .withColumn("best", cheapest)
+        .withColumns({"best_day": -F.col("best.order"), "best_price": F.col("best.fare")})
+        .withColumn("dear", days(F.filter("ahead", lambda p: p["fare"] > limit)))
+        .withColumns(
+            {
+                "break_before": F.coalesce(
+                    F.array_min(F.filter("dear", lambda d: d > best_day)), left + 1
+                ),
+                "break_after": F.coalesce(
+                    F.array_max(F.filter("dear", lambda d: d < best_day)), F.lit(0)
+                ),
+            }
+        )
+        .withColumn(
+            "inside",
+            F.filter(
+                days(F.col("ahead")),
+                lambda d: (d < F.col("break_before")) & (d > F.col("break_after")),
+            ),
+        )
     )
-    point = F.struct(day.alias("days_before_departure"), cents(fare).alias("predicted_fare"))
-    dropped = {"days_before_departure", "predicted_fare"}
-    carried = [c for c in curves.columns if c not in dropped]
-    return bounded.groupBy(*carried, "best_day", "best_price").agg(
-        F.max(F.when(inside, day)).alias("window_start_days"),
-        F.min(F.when(inside, day)).alias("window_end_days"),
-        F.max(F.when(day == left, fare)).alias("today_price"),
-        F.sort_array(F.collect_list(point), asc=False).alias("curve"),
+    rounded = F.transform(
+        "points",
+        lambda p: F.struct(
+            p["day"].alias("days_before_departure"), cents(p["fare"]).alias("predicted_fare")
+        ),
     )
+    return found.withColumns(
+        {
+            "window_start_days": F.array_max("inside"),
+            "window_end_days": F.array_min("inside"),
+            "today_price": F.element_at("ahead", 1)["fare"],
+            "curve": rounded,
+        }
+    ).drop("points", "ahead", "best", "dear", "break_before", "break_after", "inside")
 
 
 def recommend(windows: DataFrame, margin: float = C.MEANINGFUL_SAVINGS) -> DataFrame:
