@@ -12,7 +12,7 @@ from leadcurve.functions.keys import stable_slot
 from leadcurve.operators.quantiles import weighted_quantiles
 from leadcurve.operators.sampling import hash_rank
 from leadcurve.operators.simulate import apply_threshold
-from leadcurve.session import stage
+from leadcurve.session import spread, stage
 
 # policy -> (savings column, action column)
 POLICIES = {
@@ -102,8 +102,7 @@ def bootstrap_intervals(
     wanted = [F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns.values())]
     values = stage(numbered.select((F.col("slot") - 1).alias("slot"), *wanted), "bootstrap")
     size = values.agg(F.count(F.lit(1))).scalar()
-    parallel = decisions.sparkSession.sparkContext.defaultParallelism
-    slots = values.select("slot").repartition(parallel, "slot")
+    slots = spread(values.select("slot"), "slot")
     draws = slots.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
     key = F.concat_ws("|", F.lit(str(seed)), F.col("resample").cast("string"), F.col("slot").cast("string"))
     drawn = draws.select("resample", stable_slot(key, size).alias("slot"))

@@ -12,6 +12,7 @@ from leadcurve.functions.fares import cents
 from leadcurve.functions.keys import normalize_stops
 from leadcurve.operators.features import attach_features
 from leadcurve.operators.scorers import Scorer
+from leadcurve.session import spread
 
 
 def _first(*cases: tuple[Column, Column | str]) -> Column:
@@ -169,7 +170,7 @@ def curve_rows(requests: DataFrame, scorer: Scorer) -> DataFrame:
     for both. Requests are spread by id; their rows stay together.
     """
     given = requests.columns
-    prepared = _serving_features(requests.repartition("request_id"))
+    prepared = _serving_features(spread(requests, "request_id"))
     today = _search_day(prepared.withColumn("days_before_departure", F.col("days_left")))
     known = _scored_pools(today, scorer, ("today_a", "today_b")).drop("days_before_departure")
     unfolded = _search_day(known.withColumn("days_before_departure", _lead_days()))
@@ -187,7 +188,7 @@ def curve_rows(requests: DataFrame, scorer: Scorer) -> DataFrame:
 def absolute_curve_rows(requests: DataFrame, scorer: Scorer) -> DataFrame:
     """Curves of a model that predicts dollars (``predicted_fare``): one pool, no pinning."""
     given = requests.columns
-    prepared = _serving_features(requests.repartition("request_id"))
+    prepared = _serving_features(spread(requests, "request_id"))
     unfolded = _search_day(prepared.withColumn("days_before_departure", _lead_days()))
     rows = unfolded.withColumn("is_nonstop", F.lit(False)).withColumn("isNonStop", F.lit(False))
     return scorer(attach_features(rows)).select(*given, "days_before_departure", "predicted_fare")

@@ -16,6 +16,7 @@ from leadcurve.operators.features import attach_features
 from leadcurve.operators.sampling import hash_sample
 from leadcurve.operators.scorers import Scorer
 from leadcurve.operators.split import within
+from leadcurve.session import spread
 
 
 def decision_candidates(
@@ -87,8 +88,8 @@ def simulate(
     Decisions are spread by id before they unfold, so scoring runs in parallel and
     every later step of a decision stays in its partition.
     """
-    spread = candidates.repartition("decision_id")
-    scored = scorer(attach_features(unfold_remaining(spread)))
+    rows = spread(candidates, "decision_id")
+    scored = scorer(attach_features(unfold_remaining(rows)))
     decision = Window.partitionBy("decision_id")
     today = F.col("days_before_departure") == F.col("as_of_days")
     priced = scored.withColumn(

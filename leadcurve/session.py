@@ -54,3 +54,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition by ``keys`` before rows unfold.
+
+    The number of partitions is given, so adaptive execution does not merge
+    partitions that are small only until each row turns into many.
+    """
+    spark = df.sparkSession
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(configured, spark.sparkContext.defaultParallelism), *keys)
