@@ -39,10 +39,6 @@ def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in columns})
 
 
-def big(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("bigint") for c in columns})
-
-
 # --- cleaning and the daily table ----------------------------------------------------
 
 
@@ -83,7 +79,8 @@ def daily_best_fare(spark, sf):
 
 @query
 def lenient_market(spark, sf):
-    return market.daily_market(fx.offers_as_text(spark, sf))
+    # written first, as the text table a quote file would be
+    return market.daily_market(stage(fx.offers_as_text(spark, sf), "text"))
 
 
 def _daily(spark, sf) -> DataFrame:
@@ -478,30 +475,34 @@ def _lookups(spark, sf) -> tuple[DataFrame, DataFrame]:
     return stage(routes, "routes"), stage(market.global_lookups(daily), "globals")
 
 
-def _with_published(spark, sf) -> DataFrame:
-    """Checked requests; those without a price look for a published one."""
-    checked = recommend.validate_requests(fx.requests(spark, sf))
+def _find_published(spark, sf) -> Callable[[DataFrame], DataFrame]:
+    """Lookup of published fares on the route pages, then on the city-pair pages."""
     route_pages = extract.parse_route_pages(fx.route_pages(spark, sf))
     city_pages = extract.parse_route_pages(fx.city_pages(spark, sf))
-    cities = checked.withColumns(
-        {
-            "origin_city": extract.city_of(F.col("origin")),
-            "destination_city": extract.city_of(F.col("destination")),
-        }
-    )
-    return extract.published_fare(
-        cities,
-        route_pages,
-        city_pages,
-        ["origin", "destination", "block"],
-        ["origin_city", "destination_city", "block"],
-    ).drop("origin_city", "destination_city")
+
+    def find(requests: DataFrame) -> DataFrame:
+        cities = requests.withColumns(
+            {
+                "origin_city": extract.city_of(F.col("origin")),
+                "destination_city": extract.city_of(F.col("destination")),
+            }
+        )
+        return extract.published_fare(
+            cities,
+            route_pages,
+            city_pages,
+            ["origin", "destination", "block"],
+            ["origin_city", "destination_city", "block"],
+        ).drop("origin_city", "destination_city")
+
+    return find
 
 
 @query
 def price_pin(spark, sf):
-    usable = _with_published(spark, sf).filter("status = 'ok'")
-    return recommend.pin_prices(usable, *_lookups(spark, sf)).select(
+    usable = recommend.validate_requests(fx.requests(spark, sf)).filter("status = 'ok'")
+    found = _find_published(spark, sf)(usable)
+    return recommend.pin_prices(found, *_lookups(spark, sf)).select(
         "request_id", "route", "pin_price", "price_source", "totalTravelDistance"
     )
 
@@ -539,8 +540,12 @@ def buy_window(spark, sf):
 
 @query
 def recommendations(spark, sf):
-    requests = _with_published(spark, sf)
-    rows = recommend.recommend_requests(requests, scorers.dip(), *_lookups(spark, sf))
+    rows = recommend.recommend_requests(
+        fx.requests(spark, sf),
+        scorers.dip(),
+        *_lookups(spark, sf),
+        find_published=_find_published(spark, sf),
+    )
     total = F.aggregate("curve", F.lit(0.0), lambda s, p: s + p["predicted_fare"])
     return rows.withColumns(
         {"curve_points": F.size("curve").cast("bigint"), "curve_total": F.round(total, 2)}
@@ -599,7 +604,8 @@ def nearest_deal(spark, sf):
 
 @query
 def published_fare(spark, sf):
-    return _with_published(spark, sf).filter("status <> 'error'").select(
+    requests = recommend.validate_requests(fx.requests(spark, sf)).filter("status <> 'error'")
+    return _find_published(spark, sf)(requests).select(
         "request_id", "published_price", "match", "live_matched_date", "source"
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -319,14 +321,20 @@ def recommend_requests(
     route_lookup: DataFrame,
     global_lookup: DataFrame,
     absolute: bool = False,
+    find_published: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Checked requests to recommendations; rejected requests keep status and message only."""
-    checked = requests if "days_left" in requests.columns else validate_requests(requests)
+    """Requests to recommendations; rejected requests keep status and message only.
+
+    ``find_published`` looks up published fares: it gets the usable requests and adds
+    ``published_price`` and ``live_matched_date``. A traveller's own price still wins.
+    """
+    checked = validate_requests(requests)
     usable = checked.filter(F.col("status") == "ok").drop("status", "message")
+    if find_published is not None:
+        usable = find_published(usable)
     pinned = pin_prices(usable, route_lookup, global_lookup)
     answers = recommend(buy_windows(predict_curves(pinned, scorer, absolute)))
     rejected = checked.filter(F.col("status") != "ok")
-    kept = [c for c in answers.columns if c in rejected.columns and c != "live_matched_date"]
     # a rejected request keeps no fare
-    kept = [c for c in kept if c != "current_price"]
+    kept = [c for c in answers.columns if c in rejected.columns and c != "current_price"]
     return answers.unionByName(rejected.select(*kept), allowMissingColumns=True)

@@ -34,7 +34,7 @@ def decision_candidates(
     """
     curves = build_curves(daily).withColumn("route", route_key())
     if routes is not None:
-        curves = curves.join(routes.select("route"), "route", "left_semi")
+        curves = curves.join(routes.select("route").distinct(), "route", "left_semi")
     points, as_of = F.col("points"), F.col("as_of_days")
     nearest = [nearest_day(points, t, prefer_larger=True) for t in decision_days]
     rows = (
