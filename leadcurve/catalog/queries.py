@@ -104,9 +104,9 @@ def stop_counts(spark, sf):
 
 @query
 def route_lookups(spark, sf):
-    daily = stage(_daily(spark, sf), "daily")
-    routes = market.route_lookups(daily)
-    overall = market.global_lookups(daily)
+    counts = stage(market.lookup_counts(_daily(spark, sf)), "lookup-counts")
+    routes = market.route_lookups(counts)
+    overall = stage(market.global_lookups(counts), "globals")
     return routes.withColumns(
         {c: overall.select(c).scalar() for c in ("global_median_fare", "global_median_distance")}
     )
@@ -469,10 +469,10 @@ def request_fields(spark, sf):
 
 
 def _lookups(spark, sf) -> tuple[DataFrame, DataFrame]:
-    daily = stage(_daily(spark, sf), "daily")
+    counts = stage(market.lookup_counts(_daily(spark, sf)), "lookup-counts")
     # ORD routes are left to the global values
-    routes = market.route_lookups(daily).filter(~F.col("route").startswith("ORD-"))
-    return stage(routes, "routes"), stage(market.global_lookups(daily), "globals")
+    routes = market.route_lookups(counts).filter(~F.col("route").startswith("ORD-"))
+    return stage(routes, "routes"), stage(market.global_lookups(counts), "globals")
 
 
 def _find_published(spark, sf) -> Callable[[DataFrame], DataFrame]:

@@ -9,7 +9,7 @@ from leadcurve.constants import CURVE_KEYS, MIN_CURVE_DAYS
 from leadcurve.functions.dates import day_of_week
 from leadcurve.functions.keys import route_key
 from leadcurve.operators import clean
-from leadcurve.operators.quantiles import exact_median, weighted_quantiles
+from leadcurve.operators.quantiles import weighted_quantiles
 
 DAILY_KEYS = ["startingAirport", "destinationAirport", "flightDate", "searchDate", "isNonStop"]
 
@@ -108,21 +108,36 @@ def stop_counts(daily: DataFrame) -> DataFrame:
     )
 
 
-def route_lookups(daily: DataFrame) -> DataFrame:
+def lookup_counts(daily: DataFrame) -> DataFrame:
+    """How often each best fare and each distance occurs per route.
+
+    Both lookups need only this table; store it to read the daily table once.
+    """
+    measures = F.expr(
+        "inline(array(named_struct('measure', 'fare', 'value', best_fare),"
+        " named_struct('measure', 'distance', 'value', totalTravelDistance)))"
+    )
+    known = with_market_columns(daily).select("route", measures)
+    return known.dropna().groupBy("route", "measure", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def route_lookups(counts: DataFrame) -> DataFrame:
     """Per route: median distance and median best fare, for serving."""
-    daily = with_market_columns(daily).dropna(subset=["route"])
-    fares = exact_median(daily, ["route"], "best_fare", "route_median_fare")
-    distances = exact_median(daily, ["route"], "totalTravelDistance", "route_distance")
-    return fares.join(distances, "route", "left").select(
-        "route", "route_distance", "route_median_fare"
+    medians = weighted_quantiles(counts, ["route", "measure"], "value", "n", {"median": 0.5})
+    return medians.groupBy("route").agg(
+        F.expr("max(CASE WHEN measure = 'distance' THEN median END) AS route_distance"),
+        F.expr("max(CASE WHEN measure = 'fare' THEN median END) AS route_median_fare"),
     )
 
 
-def global_lookups(daily: DataFrame) -> DataFrame:
-    """One row with the two global medians; each window sees distinct values only."""
-    fare = exact_median(daily, [], "best_fare", "global_median_fare")
-    distance = exact_median(daily, [], "totalTravelDistance", "global_median_distance")
-    return fare.withColumn("global_median_distance", distance.scalar())
+def global_lookups(counts: DataFrame) -> DataFrame:
+    """One row with the two global medians; a window sees distinct values only."""
+    totals = counts.groupBy("measure", "value").agg(F.sum("n").alias("n"))
+    medians = weighted_quantiles(totals, ["measure"], "value", "n", {"median": 0.5})
+    return medians.agg(
+        F.expr("max(CASE WHEN measure = 'fare' THEN median END) AS global_median_fare"),
+        F.expr("max(CASE WHEN measure = 'distance' THEN median END) AS global_median_distance"),
+    )
 
 
 def curve_lengths(daily: DataFrame, at_least: int = MIN_CURVE_DAYS) -> DataFrame:

@@ -100,8 +100,7 @@ def simulate(
         / F.greatest(F.col("today_relative"), F.lit(1e-9))
         * F.col("current_fare"),
     )
-    kept = [
-        "decision_id",
+    about = [
         "route",
         "flightDate",
         "search_date",
@@ -113,13 +112,15 @@ def simulate(
     days = F.col("days_before_departure")
     # negated days put the larger lead day (the earlier date) first among equal fares
     best = F.min(F.struct("predicted_fare", (-days).alias("order"), "best_fare"))
-    chosen = priced.groupBy(*kept).agg(
+    # grouped by id alone, the rows keep the order the window gave them
+    chosen = priced.groupBy("decision_id").agg(
+        F.first(F.struct(*about)).alias("about"),
         best.alias("best"),
         F.min("best_fare").alias("lowest_fare"),
         F.min(F.struct(days.alias("day"), "best_fare")).alias("last"),
     )
     current = F.col("current_fare")
-    facts = chosen.select(
+    facts = chosen.select("decision_id", "about.*", "best", "lowest_fare", "last").select(
         "decision_id",
         "route",
         F.col("flightDate").alias("flight_date"),

@@ -167,10 +167,11 @@ def train(
     chosen = best_configuration(keys)
     record = _test_record(daily, parts, cutoffs, scorer_of(models[chosen]), chosen)
     both = fitting.unionByName(features.filter("part = 'validation'"))
+    counts = stage(market.lookup_counts(daily), "lookup-counts")
     return Training(
         model=fit(both, chosen),
         configuration=chosen,
         record=record,
-        route_lookup=market.route_lookups(daily),
-        global_lookup=market.global_lookups(daily),
+        route_lookup=market.route_lookups(counts),
+        global_lookup=market.global_lookups(counts),
     )

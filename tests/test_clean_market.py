@@ -102,10 +102,11 @@ def test_lookups_counts_and_stats(spark):
     stats = market.table_stats(daily).first()
     assert (stats["rows"], stats.routes) == (2, 1)
     assert (stats.search_date_min, stats.search_date_max) == (date(2022, 9, 1), date(2022, 9, 2))
-    look = market.route_lookups(daily).first()
-    assert (look.route, look.route_median_fare) == ("ATL-LAX", 245.0)
-    overall = market.global_lookups(daily).first()
-    assert overall.global_median_fare == 245.0
+    counted = market.lookup_counts(daily)
+    look = market.route_lookups(counted).first()
+    assert tuple(look) == ("ATL-LAX", 1915.0, 245.0)
+    overall = market.global_lookups(counted).first()
+    assert tuple(overall) == (245.0, 1915.0)
 
 
 def test_correlation_of_a_constant_is_null(spark):
