@@ -422,10 +422,10 @@ def curve_spearman(spark, sf):
 
 @query
 def timing_score(spark, sf):
-    daily = stage(_daily(spark, sf), "daily")
-    sample = split.curve_sample(market.curve_lengths(daily), CURVE_SAMPLE)
-    rows = metrics.scored_curves(split.rows_of_curves(daily, sample), scorers.dip())
-    score = metrics.timing_score(stage(metrics.curve_metrics(rows), "curve-metrics"))
+    from leadcurve.plans.train import timing_on, timing_rows
+
+    rows = timing_rows(stage(_daily(spark, sf), "daily"), CURVE_SAMPLE, seed=0)
+    score = timing_on(rows, scorers.dip())
     return rounded(score, "buy_wait", "median_best_day_err", "median_spearman", "remain_rmse")
 
 

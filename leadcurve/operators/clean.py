@@ -78,18 +78,21 @@ def with_calendar(quotes: DataFrame) -> DataFrame:
     )
 
 
+def finish_clean(kept: DataFrame, upper: bool = True) -> DataFrame:
+    """Accepted quotes with imputed distance and calendar columns."""
+    filled = impute_distance(kept, route_distances(kept))
+    if upper:
+        filled = filled.withColumns({c: F.upper(c) for c in ROUTE_ENDS})
+    return with_calendar(filled.select(*kept.columns))
+
+
 def clean_offers(offers: DataFrame, same_day: bool = False, upper: bool = True) -> DataFrame:
     """Accepted, typed quotes with imputed distance and calendar columns.
 
     The source is read twice: once for the route medians (a small table) and once
     for the rows themselves, which are not shuffled while the medians are small.
     """
-    kept = accepted(typed_offers(offers), same_day)
-    filled = impute_distance(kept, route_distances(kept))
-    if upper:
-        filled = filled.withColumns({c: F.upper(c) for c in ROUTE_ENDS})
-    columns = [c for c in kept.columns]
-    return with_calendar(filled.select(*columns))
+    return finish_clean(accepted(typed_offers(offers), same_day), upper)
 
 
 def quality_profile(offers: DataFrame, same_day: bool = False) -> DataFrame:
@@ -110,17 +113,23 @@ def _accepted_count(same_day: bool) -> Column:
     return F.count_if(ok & dated & ~bad_dates(same_day))
 
 
-def clean_profile(offers: DataFrame) -> DataFrame:
-    """The quality counts with accepted and rejected rows, still in one pass."""
-    return typed_offers(offers).agg(
-        F.count(F.lit(1)).alias("input_rows"),
-        _accepted_count(False).alias("accepted_rows"),
-        (F.count(F.lit(1)) - _accepted_count(False)).alias("rejected_rows"),
+def profile_counts() -> list[Column]:
+    """The profile's aggregates over typed quotes."""
+    total, kept = F.count(F.lit(1)), _accepted_count(False)
+    return [
+        total.alias("input_rows"),
+        kept.alias("accepted_rows"),
+        (total - kept).alias("rejected_rows"),
         F.count_if(bad_fare()).alias("invalid_fares"),
         F.count_if(bad_dates()).alias("invalid_dates"),
         F.count_if(F.col("seatsRemaining") < 0).alias("invalid_seats"),
         F.count_if(F.col("totalTravelDistance").isNull()).alias("missing_distance_imputed"),
-    )
+    ]
+
+
+def clean_profile(offers: DataFrame) -> DataFrame:
+    """The quality counts with accepted and rejected rows, in one pass."""
+    return typed_offers(offers).agg(*profile_counts())
 
 
 def cleaning_impact(offers: DataFrame) -> DataFrame:

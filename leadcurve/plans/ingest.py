@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from leadcurve.operators import clean, market
+from leadcurve.session import stage
 from leadcurve.sources import offers as source
 from leadcurve.sources import sinks
 
@@ -13,12 +14,21 @@ from leadcurve.sources import sinks
 def ingest(
     spark: SparkSession, input_path: str, output_path: str, profile_path: str | None = None
 ) -> DataFrame:
-    """Write the cleaned quotes and their profile; returns the profile row."""
+    """Write the cleaned quotes and their profile; returns the profile row.
+
+    The raw file is parsed once. The accepted quotes are stored typed, the profile is
+    counted on the way, and what follows reads the stored columns. That first step has
+    no shuffle, so a lost executor repeats whole tasks and no row is counted twice.
+    """
     raw = source.load_offers(spark, input_path)
     source.require_columns(raw.columns)
-    sinks.write_market(clean.clean_offers(raw), output_path)
-    profile = clean.clean_profile(raw).select(
-        F.lit(input_path).alias("source"), F.lit(output_path).alias("output"), "*"
+    seen = Observation("profile")
+    typed = clean.typed_offers(raw).observe(seen, *clean.profile_counts())
+    kept = stage(clean.accepted(typed), "accepted")
+    sinks.write_market(clean.finish_clean(kept), output_path)
+    counts = [F.lit(value).cast("bigint").alias(name) for name, value in seen.get.items()]
+    profile = spark.range(1).select(
+        F.lit(input_path).alias("source"), F.lit(output_path).alias("output"), *counts
     )
     where = profile_path or f"{output_path.rstrip('/').removesuffix('.parquet')}.profile"
     sinks.write_record(profile, where)

@@ -84,11 +84,16 @@ def scorer_of(model: PipelineModel) -> Scorer:
     return prepared
 
 
-def timing_on(daily: DataFrame, scorer: Scorer, curves: int, seed: int) -> DataFrame:
-    """Timing figures over a sample of long enough curves of a daily table."""
+def timing_rows(daily: DataFrame, curves: int, seed: int) -> DataFrame:
+    """Rows of a sample of long enough curves, stored: every configuration is scored on them."""
     sample = split.curve_sample(market.curve_lengths(daily), curves, seed)
-    rows = metrics.scored_curves(split.rows_of_curves(daily, sample), scorer)
-    return metrics.timing_score(stage(metrics.curve_metrics(rows), "curve-metrics"))
+    return stage(split.rows_of_curves(daily, sample), "timing-rows")
+
+
+def timing_on(rows: DataFrame, scorer: Scorer) -> DataFrame:
+    """Timing figures of a scorer over sampled curves."""
+    scored = metrics.scored_curves(rows, scorer)
+    return metrics.timing_score(stage(metrics.curve_metrics(scored), "curve-metrics"))
 
 
 def selection_key(score: DataFrame) -> tuple[float, float, float]:
@@ -105,8 +110,8 @@ def best_configuration(keys: dict[str, tuple[float, float, float]]) -> str:
 def _test_record(
     daily: DataFrame, parts: DataFrame, cutoffs: DataFrame, scorer: Scorer, name: str
 ) -> DataFrame:
-    held_out = split.held_out_days(daily, cutoffs)
-    timing = stage(timing_on(held_out, scorer, C.TEST_CURVES, seed=1), "timing")
+    held_out = timing_rows(split.held_out_days(daily, cutoffs), C.TEST_CURVES, seed=1)
+    timing = stage(timing_on(held_out, scorer), "timing")
     test = parts.filter("part = 'test'")
     errors = stage(metrics.pair_errors(test, scorer), "errors")
     return metrics.evaluation_record(parts, cutoffs, timing, errors, name)
@@ -151,7 +156,7 @@ def train(
     parts, cutoffs = _parts(daily, max_pairs)
     features = stage(numeric_inputs(attach_features(parts)), "features")
     indexer = route_indexer(daily)
-    validation_days = stage(split.validation_days(daily, cutoffs), "validation-days")
+    validation = timing_rows(split.validation_days(daily, cutoffs), C.VALIDATION_CURVES, seed=0)
 
     def fit(rows: DataFrame, name: str) -> PipelineModel:
         settings = dict(configurations[name])
@@ -161,8 +166,7 @@ def train(
     fitting = features.filter("part = 'train'")
     models = {name: fit(fitting, name) for name in configurations}
     keys = {
-        name: selection_key(timing_on(validation_days, scorer_of(model), C.VALIDATION_CURVES, seed=0))
-        for name, model in models.items()
+        name: selection_key(timing_on(validation, scorer_of(model))) for name, model in models.items()
     }
     chosen = best_configuration(keys)
     record = _test_record(daily, parts, cutoffs, scorer_of(models[chosen]), chosen)
