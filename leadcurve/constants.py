@@ -164,4 +164,12 @@ MSG_PRICE_TYPE = "Current price must be a number."
 MSG_PRICE_SIGN = "Current price must be greater than 0."
 MSG_CODE_LENGTH = "Enter valid 3-letter airport codes."
 MSG_DATE = "Enter a valid flight date."
+MSG_BUY_HEAD = "Buy "
 MSG_BUY_TAIL = ". Waiting isn't expected to save $8+ before departure."
+MSG_WAIT_HEAD = "Wait, then buy "
+MSG_WAIT_LOWEST = ". Lowest predicted fare is around "
+MSG_WAIT_SAVE = ". You could save around $"
+MSG_WAIT_TAIL = " by waiting."
+WINDOW_ONE_DAY = "by "
+WINDOW_START = "between "
+WINDOW_END = " and "

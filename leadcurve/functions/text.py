@@ -14,24 +14,24 @@ def short_date(day: Column) -> Column:
 
 
 def window_text(start: Column, end: Column) -> Column:
-    return F.when(start == end, F.concat(F.lit("by "), short_date(start))).otherwise(
-        F.concat(F.lit("between "), short_date(start), F.lit(" and "), short_date(end))
+    return F.when(start == end, F.concat(F.lit(C.WINDOW_ONE_DAY), short_date(start))).otherwise(
+        F.concat(F.lit(C.WINDOW_START), short_date(start), F.lit(C.WINDOW_END), short_date(end))
     )
 
 
 def buy_now_message(when: Column) -> Column:
-    return F.concat(F.lit("Buy "), when, F.lit(C.MSG_BUY_TAIL))
+    return F.concat(F.lit(C.MSG_BUY_HEAD), when, F.lit(C.MSG_BUY_TAIL))
 
 
 def wait_message(when: Column, best_date: Column, savings: Column) -> Column:
     return F.concat(
-        F.lit("Wait, then buy "),
+        F.lit(C.MSG_WAIT_HEAD),
         when,
-        F.lit(". Lowest predicted fare is around "),
+        F.lit(C.MSG_WAIT_LOWEST),
         short_date(best_date),
-        F.lit(". You could save around $"),
+        F.lit(C.MSG_WAIT_SAVE),
         F.format_string("%.2f", cents(savings)),
-        F.lit(" by waiting."),
+        F.lit(C.MSG_WAIT_TAIL),
     )
 
 
