@@ -34,6 +34,41 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS
 FROM docs LEFT JOIN summed USING (rid)
 """
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+MINHASH = rf"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS words FROM documents
+),
+sets AS (
+  SELECT DISTINCT rid, doc_id, array_to_string(words[i:i + 4], ' ') AS s
+  FROM (SELECT rid, doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i
+        FROM docs WHERE len(words) > 0)
+),
+sizes AS (SELECT rid, doc_id, count(*) AS n FROM sets GROUP BY ALL),
+common AS (
+  SELECT a.rid AS ra, b.rid AS rb, count(*) AS c
+  FROM sets a JOIN sets b ON a.s = b.s AND a.rid < b.rid GROUP BY ALL
+),
+links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b
+  FROM common JOIN sizes x ON x.rid = ra JOIN sizes y ON y.rid = rb
+  WHERE 100 * c >= 85 * (x.n + y.n - c)
+),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (
+  SELECT DISTINCT doc_id AS a, doc_id AS b FROM docs
+  UNION
+  SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a
+),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT docs.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id,
+       coalesce(docs.doc_id = component_id, true) AS kept
+FROM docs LEFT JOIN sizes ON sizes.rid = docs.rid LEFT JOIN least ON least.doc_id = docs.doc_id
+"""
+
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": SUBSTRING_DEDUP,
+    "op8_minhash": MINHASH,
 }
