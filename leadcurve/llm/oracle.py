@@ -68,7 +68,53 @@ SELECT docs.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id,
 FROM docs LEFT JOIN sizes ON sizes.rid = docs.rid LEFT JOIN least ON least.doc_id = docs.doc_id
 """
 
+QUALITY = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
+         {WORDS} AS words FROM documents
+),
+windows AS (
+  SELECT rid, i, array_to_string(words[i:i + 7], ' ') AS w
+  FROM (SELECT rid, words, unnest(range(1, len(words) - 6)) AS i FROM docs WHERE len(words) >= 8)
+),
+twice AS (SELECT rid, w FROM windows GROUP BY ALL HAVING count(*) > 1),
+repeated AS (
+  SELECT rid, count(DISTINCT i + k) AS n_repeat_words
+  FROM (SELECT rid, i, unnest(range(0, 8)) AS k FROM windows JOIN twice USING (rid, w)) GROUP BY rid
+),
+lines AS (
+  SELECT rid, doc_id, host, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words
+  FROM (SELECT rid, doc_id, host, unnest(string_split(text, chr(10))) AS line FROM docs)
+),
+shown AS (
+  SELECT *, translate(array_to_string(words, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
+  FROM lines WHERE len(words) > 0
+),
+same AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM shown GROUP BY rid),
+hosts AS (SELECT host, count(DISTINCT doc_id) AS docs FROM docs GROUP BY host),
+common AS (
+  SELECT host, norm, min(doc_id) AS first FROM shown JOIN hosts USING (host)
+  GROUP BY host, norm, docs HAVING count(DISTINCT doc_id) > 10 AND count(DISTINCT doc_id) * 100 > docs * 5
+),
+gone AS (
+  SELECT rid, sum(len(words)) AS n FROM shown JOIN common USING (host, norm)
+  WHERE doc_id IS DISTINCT FROM first GROUP BY rid
+),
+counts AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+         coalesce(n, 0)::BIGINT AS n_common_words
+  FROM docs LEFT JOIN same USING (rid) LEFT JOIN repeated USING (rid) LEFT JOIN gone USING (rid)
+)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words
+            OR n_words - n_common_words < 20 OR 100 * (n_words - n_common_words) < 30 * n_words) AS kept
+FROM counts
+"""
+
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": SUBSTRING_DEDUP,
+    "op3_quality_rules": QUALITY,
     "op8_minhash": MINHASH,
 }

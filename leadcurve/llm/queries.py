@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadcurve.llm import minhash, substring_dedup
+from leadcurve.llm import minhash, quality, substring_dedup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,11 +17,16 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.digests(_table(spark, folder, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.verdicts(_table(spark, folder, "documents"))
+
+
 def op8_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_quality_rules": op3_quality_rules,
     "op8_minhash": op8_minhash,
 }

@@ -57,6 +57,14 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def spaces(buf: np.ndarray) -> np.ndarray:
+    return _SPACE[buf]
+
+
+def lowered(buf: np.ndarray) -> np.ndarray:
+    return _LOWER[buf]
+
+
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and the offsets between them; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -208,22 +216,63 @@ def same_as_previous(buf: np.ndarray, start: np.ndarray, end: np.ndarray, maybe:
 
 
 def equal_groups(
-    buf: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray
+    buf: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray, owner: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
     """An order of the slices and the group of each in that order; equal bytes, equal group.
 
+    With ``owner``, slices of different owners are never equal. Inside a group, slices
+    keep their order.
+
     Slices are sorted by hash and compared with their neighbour. Where a hash
     stands for several byte strings, its slices are grouped by the bytes themselves.
     """
+    if owner is None:
+        owner = np.zeros(len(hashes), dtype=np.int64)
+    else:
+        hashes = mix(hashes ^ mix(owner.astype(np.uint64) + np.uint64(1)))
     order = np.argsort(hashes, kind="stable")
     h = hashes[order]
     maybe = np.zeros(len(h), dtype=bool)
     maybe[1:] = h[1:] == h[:-1]
     same = same_as_previous(buf, start[order], end[order], maybe)
+    same[1:] &= owner[order[1:]] == owner[order[:-1]]
     for wrong in np.unique(h[maybe & ~same]):
         lo, hi = np.searchsorted(h, wrong, "left"), np.searchsorted(h, wrong, "right")
-        own = sorted(range(lo, hi), key=lambda i: bytes(buf[start[order[i]] : end[order[i]]]))
-        order[lo:hi] = order[own]
-        values = [bytes(buf[start[i] : end[i]]) for i in order[lo:hi]]
+        value = lambda i: (owner[i], bytes(buf[start[i] : end[i]]))
+        order[lo:hi] = sorted(order[lo:hi], key=value)
+        values = [value(i) for i in order[lo:hi]]
         same[lo:hi] = [i > 0 and values[i] == values[i - 1] for i in range(len(values))]
     return order, np.cumsum(~same) - 1
+
+
+@dataclass
+class Lines:
+    """Lines that hold a word: their bytes, their text, and their words from ``word`` to before ``word_end``.
+
+    ``number`` counts all lines of the text from 0, with those that hold no word.
+    """
+
+    start: np.ndarray
+    end: np.ndarray
+    row: np.ndarray
+    number: np.ndarray
+    word: np.ndarray
+    word_end: np.ndarray
+
+
+def split_lines(words: Words, offsets: np.ndarray) -> Lines:
+    feeds = np.flatnonzero(words.buf == 0x0A)
+    # a line begins with each text and after each line feed
+    texts = np.arange(len(offsets) - 1)
+    start = np.concatenate([offsets[:-1], feeds + 1])
+    row = np.concatenate([texts, np.searchsorted(offsets, feeds, side="right") - 1])
+    order = np.lexsort((start, row))
+    start, row = start[order], row[order]
+    end = np.append(start[1:], len(words.buf))
+    own_feed = np.zeros(len(start), dtype=bool)
+    own_feed[:-1] = row[1:] == row[:-1]
+    end = end - own_feed
+    number = np.arange(len(start)) - np.searchsorted(row, row)
+    word, word_end = np.searchsorted(words.start, start), np.searchsorted(words.start, end)
+    some = word_end > word
+    return Lines(*(x[some] for x in (start, end, row, number, word, word_end)))
