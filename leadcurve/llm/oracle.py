@@ -113,8 +113,40 @@ SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
 FROM counts
 """
 
+# copies of a run are ordered by doc_id and place; rows that share a doc_id but not a text are not decided here
+LINE_DEDUP = rf"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+split AS (
+  SELECT rid, doc_id, i, lines[i] AS line, array_to_string(regexp_extract_all(lines[i], '[^\x20\x09-\x0D]+'), ' ') AS norm
+  FROM (SELECT rid, doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM docs)
+),
+shown AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY i) AS pos FROM split WHERE norm <> ''),
+runs AS (
+  SELECT rid, doc_id, pos, norm || chr(10) || lead(norm) OVER w || chr(10) || lead(norm, 2) OVER w AS run
+  FROM shown WHERE doc_id IS NOT NULL WINDOW w AS (PARTITION BY rid ORDER BY pos)
+),
+firsts AS (SELECT run, min((doc_id, pos)) AS first FROM runs WHERE run IS NOT NULL GROUP BY run),
+later AS (SELECT rid, pos FROM runs JOIN firsts USING (run) WHERE (doc_id, pos) > first),
+gone AS (SELECT DISTINCT rid, pos + k AS pos FROM (SELECT rid, pos, unnest([0, 1, 2]) AS k FROM later)),
+starts AS (
+  SELECT rid, pos, sum((pos > before + 3 OR before IS NULL)::INT) OVER (PARTITION BY rid ORDER BY pos) AS run
+  FROM (SELECT rid, pos, lag(pos) OVER (PARTITION BY rid ORDER BY pos) AS before FROM later)
+),
+longest AS (SELECT rid, max(n) AS longest_run FROM (SELECT rid, run, max(pos) + 3 - min(pos) AS n FROM starts GROUP BY ALL) GROUP BY rid),
+kept AS (
+  SELECT s.rid, count(shown.pos) AS n_lines, count(gone.pos) AS n_removed,
+         string_agg(s.line, chr(10) ORDER BY s.i) FILTER (gone.pos IS NULL) AS left_text
+  FROM split s LEFT JOIN shown ON shown.rid = s.rid AND shown.i = s.i
+  LEFT JOIN gone ON gone.rid = s.rid AND gone.pos = shown.pos GROUP BY s.rid
+)
+SELECT doc_id, n_lines::BIGINT AS n_lines, n_removed::BIGINT AS n_removed,
+       coalesce(longest_run, 0)::BIGINT AS longest_run, sha256(coalesce(left_text, '')) AS kept_sha256
+FROM docs JOIN kept USING (rid) LEFT JOIN longest USING (rid)
+"""
+
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": SUBSTRING_DEDUP,
     "op3_quality_rules": QUALITY,
+    "op5_line_dedup": LINE_DEDUP,
     "op8_minhash": MINHASH,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadcurve.llm import minhash, quality, substring_dedup
+from leadcurve.llm import line_dedup, minhash, quality, substring_dedup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.verdicts(_table(spark, folder, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.verdicts(_table(spark, folder, "documents"))
+
+
 def op8_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"))
 
@@ -28,5 +32,6 @@ def op8_minhash(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op5_line_dedup": op5_line_dedup,
     "op8_minhash": op8_minhash,
 }
