@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leadcurve.llm import bpe, line_dedup, minhash, quality, substring_dedup
+from leadcurve.llm import bpe, line_dedup, minhash, packing, quality, substring_dedup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.verdicts(_table(spark, folder, "documents"))
 
 
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.batches_of(_table(spark, folder, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.digests(_table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
@@ -39,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op5_line_dedup": op5_line_dedup,
+    "op6_packing": op6_packing,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_minhash": op8_minhash,
 }
