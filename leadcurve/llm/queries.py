@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leadcurve.llm import bpe, line_dedup, minhash, packing, quality, substring_dedup
+from leadcurve.llm import ann, bpe, line_dedup, minhash, packing, quality, substring_dedup, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.digests(_table(spark, folder, "documents"))
 
 
+def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(_table(spark, folder, "pages"))
+
+
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.verdicts(_table(spark, folder, "documents"))
 
@@ -39,11 +43,17 @@ def op8_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op10_multi_index_hashing(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.self_neighbours(_table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_warc": op2_warc,
     "op3_quality_rules": op3_quality_rules,
     "op5_line_dedup": op5_line_dedup,
     "op6_packing": op6_packing,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_minhash": op8_minhash,
+    "op10_multi_index_hashing": op10_multi_index_hashing,
 }
