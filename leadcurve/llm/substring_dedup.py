@@ -8,6 +8,8 @@ holds it.
 
 * Rarity comes from a fixed-size table of counts over the whole corpus, so a common
   passage does not draw the texts around it into its own bucket.
+* The super-k-mers that a piece of a task's text has for one bucket travel as one
+  compressed row; rows are sorted by bucket, and a bucket is worked on alone.
 * Equal super-k-mers of one task travel once, from the task's smallest document; in
   the others all their windows are known to be repeated. A passage that stands in a
   third of all documents so reaches its bucket about once per task.
@@ -24,7 +26,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadcurve.llm import words as W
@@ -35,11 +38,14 @@ GRAM = 4
 SKETCH_BITS = 16  # cells of the count table: its size, on the driver and in each task, is fixed by this
 COMMON_ROWS = 1 << 17  # a minimiser that may have more windows than this does not get a bucket
 RUN_WINDOWS = 64  # longer super-k-mers are cut
-BUCKET_BYTES = 3 << 20  # whole buckets that are sorted together
+BUCKET_BYTES = 3 << 20  # whole buckets that are sorted together, if several are so small
 REMEMBERED = 50_000  # repeated super-k-mers a task remembers
 
-_SENT = "key long, doc_id long, text_key long, pos int, n int, kmers binary"
+BUCKETS_PER_PARTITION = 16
+
+_SENT = "bucket int, known boolean, size int, packed binary"
 _SPANS = "doc_id long, text_key long, lo int, hi int"
+_TEXT_KEY_BITS = 31  # rows are told apart by doc_id and so many bits of their text's hash
 
 
 def _gram_hashes(words: W.Words, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,8 +84,8 @@ def gram_levels(counts: np.ndarray, common_rows: int = COMMON_ROWS) -> np.ndarra
 class _Sender:
     """Cuts one task's documents into super-k-mers."""
 
-    def __init__(self, levels: np.ndarray, window: int, gram: int):
-        self.levels, self.window, self.gram = levels, window, gram
+    def __init__(self, levels: np.ndarray, window: int, gram: int, buckets: int):
+        self.levels, self.window, self.gram, self.buckets = levels, window, gram, buckets
         self.shift = np.uint64(64 - int(len(levels)).bit_length() + 1)
         self.known: dict[int, tuple[bytes, int]] = {}
 
@@ -133,7 +139,9 @@ class _Sender:
             later = np.empty(len(first), dtype=bool)
             later[order] = doc[order] > least[group]
             pos = first - words.first[words.row[first]]
-            yield self._rows(key, doc, own, pos, length, ~later, W.slices(words.buf, start[~later], end[~later]))
+            sent = ~later
+            if sent.any():
+                yield self._packed(key[sent], doc[sent], own[sent], pos[sent], words.buf, start[sent], end[sent])
             if later.any():
                 yield self._spans(doc[later], own[later], pos[later], length[later])
 
@@ -153,27 +161,57 @@ class _Sender:
                 self.known[h] = value, int(least[g])
         return least
 
-    @staticmethod
-    def _rows(key, doc, own, pos, length, sent, kmers) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(key[sent].view(np.int64)), pa.array(doc[sent], pa.int64()), pa.array(own[sent], pa.int64()),
-                pa.array(pos[sent], pa.int32()), pa.array(length[sent], pa.int32()), kmers,
-            ],
-            ["key", "doc_id", "text_key", "pos", "n", "kmers"],
-        )
+    def _packed(self, key, doc, own, pos, buf, start, end) -> pa.RecordBatch:
+        """One compressed string for each bucket that the piece has super-k-mers for."""
+        bucket = (key % np.uint64(self.buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        head = np.flatnonzero(np.append(True, np.diff(bucket[order]) > 0))
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        size, packed = [], []
+        for lo, hi in zip(head, np.append(head[1:], len(order)), strict=True):
+            some = order[lo:hi]
+            kmers = W.slices(buf, start[some], end[some])
+            raw = _pack(doc[some], own[some], pos[some], end[some] - start[some], kmers)
+            size.append(len(raw))
+            packed.append(squeeze(raw))
+        return _sent(bucket[order[head]], False, size, packed)
 
     def _spans(self, doc, own, pos, length) -> pa.RecordBatch:
-        """What this task knows to be repeated: it passes the buckets as it is, spread by document."""
+        """What this task knows to be repeated: it passes the buckets as it is, spread by piece."""
         doc, own, lo, hi = _merged(doc, own, pos, pos + length + self.window - 1)
-        key = W.mix(doc.astype(np.uint64) ^ own.astype(np.uint64))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(key.view(np.int64)), pa.array(doc, pa.int64()), pa.array(own, pa.int64()),
-                pa.array(lo, pa.int32()), pa.array(hi - lo, pa.int32()), pa.nulls(len(doc), pa.binary()),
-            ],
-            ["key", "doc_id", "text_key", "pos", "n", "kmers"],
-        )
+        raw = np.array([doc, own, lo, hi], dtype=np.int64).tobytes()
+        at = int(W.mix(doc[:1].astype(np.uint64) ^ own[:1].astype(np.uint64))[0]) % self.buckets
+        return _sent(np.array([at], np.int32), True, [len(raw)], [zstandard.compress(raw, 3)])
+
+
+def _sent(bucket, known: bool, size, packed) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(bucket, pa.int32()), pa.array([known] * len(packed), pa.bool_()),
+            pa.array(size, pa.int32()), pa.array(packed, pa.binary()),
+        ],
+        ["bucket", "known", "size", "packed"],
+    )
+
+
+def _pack(doc, own, pos, length, kmers: pa.Array) -> bytes:
+    """Counts first, then each column as a whole, then the bytes of the super-k-mers."""
+    data = kmers.buffers()[2]
+    return b"".join(
+        [
+            np.int64(len(doc)).tobytes(), doc.astype(np.int64).tobytes(), own.astype(np.uint32).tobytes(),
+            pos.astype(np.int32).tobytes(), length.astype(np.int32).tobytes(), data.to_pybytes() if data else b"",
+        ]
+    )
+
+
+def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    doc = np.frombuffer(raw, np.int64, n, 8)
+    own = np.frombuffer(raw, np.uint32, n, 8 + 8 * n)
+    pos = np.frombuffer(raw, np.int32, n, 8 + 12 * n)
+    length = np.frombuffer(raw, np.int32, n, 8 + 16 * n)
+    return doc, own, pos, length, raw[8 + 20 * n :]
 
 
 def _merged(doc, own, lo, hi):
@@ -193,13 +231,18 @@ def _span_batch(doc, own, lo, hi) -> pa.RecordBatch:
     )
 
 
-def _bucket_spans(table: pa.Table, window: int) -> pa.RecordBatch | None:
+def _bucket_spans(held: list[bytes], window: int) -> pa.RecordBatch | None:
     """Windows of whole buckets that stand in a smaller document of the same bucket."""
-    kmers = table.column("kmers").combine_chunks()
+    squeezed = zstandard.ZstdDecompressor()
+    doc, own, pos, length, data = zip(*(_unpack(squeezed.decompress(x)) for x in held), strict=True)
+    doc, own, pos, length = (np.concatenate(x) for x in (doc, own, pos, length))
+    offsets = np.append(0, np.cumsum(length, dtype=np.int64))
+    kmers = pa.Array.from_buffers(
+        pa.large_binary(), len(doc), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(data))]
+    )
     words = W.split_words(kmers)
     run = W.running(words.hashes())
     at = words.inside(window)
-    doc = table.column("doc_id").to_numpy()
     start, end = words.start[at], words.end[at + window - 1]
     order, group = W.equal_groups(words.buf, start, end, W.sequence_hash(run, at, at + window))
     row = words.row[at[order]]
@@ -209,50 +252,28 @@ def _bucket_spans(table: pa.Table, window: int) -> pa.RecordBatch | None:
     if not later.any():
         return None
     at, row = at[order[later]], row[later]
-    lo = table.column("pos").to_numpy()[row] + at - words.first[row]
-    return _span_batch(*_merged(doc[row], table.column("text_key").to_numpy()[row], lo, lo + window))
+    lo = pos[row] + at - words.first[row]
+    return _span_batch(*_merged(doc[row], own[row].astype(np.int64), lo, lo + window))
 
 
 def _sorted_buckets(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key; whole keys are gathered up to ``BUCKET_BYTES``."""
-    held: list[pa.RecordBatch] = []
-    size = 0
+    """Rows come sorted by bucket; a bucket is worked on when all of it is there."""
+    held: list[bytes] = []
+    size, last = 0, None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        empty = batch.column("kmers").is_null()
-        done = batch.filter(empty)
-        if done.num_rows:
-            lo = done.column("pos").to_numpy()
-            yield _span_batch(
-                done.column("doc_id").to_numpy(), done.column("text_key").to_numpy(), lo, lo + done.column("n").to_numpy()
-            )
-            batch = batch.filter(pa.compute.invert(empty))
-        at = 0
-        while at < batch.num_rows:
-            key = batch.column("key").to_numpy()
-            _, offsets = W.text_buffer(batch.column("kmers"))
-            end = int(np.searchsorted(offsets, offsets[at] + max(BUCKET_BYTES - size, 0), side="right")) - 1
-            end = min(max(end, at + 1), batch.num_rows)
-            last = key[end - 1]
-            end += int(np.searchsorted(key[end:], last, side="right"))
-            part = batch.slice(at, end - at)
-            if size >= BUCKET_BYTES and held[-1].column("key")[-1].as_py() != key[at]:
-                found = _bucket_spans(pa.Table.from_batches(held), window)
-                if found is not None:
+        for bucket, known, n, packed in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if known:
+                doc, own, lo, hi = np.frombuffer(zstandard.decompress(packed), np.int64).reshape(4, -1)
+                yield _span_batch(doc, own, lo, hi)
+                continue
+            if bucket != last and size >= BUCKET_BYTES:
+                if (found := _bucket_spans(held, window)) is not None:
                     yield found
                 held, size = [], 0
-                continue
-            if size >= BUCKET_BYTES:  # the bucket goes on: take no more than the rest of it
-                end = at + int(np.searchsorted(key[at:], key[at], side="right"))
-                part = batch.slice(at, end - at)
-            held.append(part)
-            size += int(offsets[end] - offsets[at])
-            at = end
-    if held:
-        found = _bucket_spans(pa.Table.from_batches(held), window)
-        if found is not None:
-            yield found
+            held.append(packed)
+            size, last = size + n, bucket
+    if held and (found := _bucket_spans(held, window)) is not None:
+        yield found
 
 
 def repeated_spans(
@@ -268,21 +289,26 @@ def repeated_spans(
     levels = gram_levels(gram_counts(documents, gram, sketch_bits))
     shared = documents.sparkSession.sparkContext.broadcast(levels)  # 2**sketch_bits bytes
 
+    n = partitions(documents.sparkSession)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _Sender(shared.value, window, gram)(batches)
+        return _Sender(shared.value, window, gram, n * BUCKETS_PER_PARTITION)(batches)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _sorted_buckets(batches, window)
 
     sent = documents.select("doc_id", "text_key", "text").mapInArrow(send, _SENT)
-    n = partitions(documents.sparkSession)
-    return sent.repartition(n, "key").sortWithinPartitions("key").mapInArrow(sort, _SPANS)
+    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(sort, _SPANS)
+
+
+def _row_key() -> Column:
+    return text_key().bitwiseAND(F.lit((1 << _TEXT_KEY_BITS) - 1))
 
 
 def with_spans(documents: DataFrame, spans: DataFrame) -> DataFrame:
     """Each document row with ``spans``, an array of its (lo, hi), or null."""
     per_text = spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    return documents.join(per_text, ["doc_id", "text_key"], "left")
+    return documents.join(per_text.hint("merge"), ["doc_id", "text_key"], "left")
 
 
 def kept_words(text: str | None, spans: list | None) -> tuple[list[bytes], int]:
@@ -300,7 +326,7 @@ def kept_words(text: str | None, spans: list | None) -> tuple[list[bytes], int]:
 
 def digests(documents: DataFrame, window: int = WINDOW, **options) -> DataFrame:
     """Per row of ``documents``: doc_id, n_words, n_removed, kept_sha256."""
-    own = own_columns(documents, doc_id="doc_id", text="text", text_key=text_key())
+    own = own_columns(documents, doc_id="doc_id", text="text", text_key=_row_key())
     spans = staged(repeated_spans(own, window, **options), "spans")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,13 +353,13 @@ def without_repeats(documents: DataFrame, window: int = WINDOW, **options) -> Da
     loses every word becomes empty. All rows stay.
     """
     columns = documents.columns
-    keyed = documents.withColumn("_text_key", text_key())
+    keyed = documents.withColumn("_text_key", _row_key())
     own = own_columns(keyed, doc_id="doc_id", text="text", text_key="_text_key")
     spans = staged(repeated_spans(own, window, **options), "spans")
     per_text = spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
     per_text = per_text.withColumnsRenamed({"doc_id": "_doc_id", "text_key": "_key"})
     joined = keyed.join(
-        per_text, (keyed["doc_id"] == per_text["_doc_id"]) & (keyed["_text_key"] == per_text["_key"]), "left"
+        per_text.hint("merge"), (keyed["doc_id"] == per_text["_doc_id"]) & (keyed["_text_key"] == per_text["_key"]), "left"
     ).select(*[keyed[c] for c in columns], "_spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
