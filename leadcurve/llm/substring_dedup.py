@@ -38,7 +38,7 @@ GRAM = 4
 SKETCH_BITS = 16  # cells of the count table: its size, on the driver and in each task, is fixed by this
 COMMON_ROWS = 1 << 17  # a minimiser that may have more windows than this does not get a bucket
 RUN_WINDOWS = 64  # longer super-k-mers are cut
-BUCKET_BYTES = 3 << 20  # whole buckets that are sorted together, if several are so small
+BUCKET_BYTES = 1 << 20  # whole buckets that are sorted together, if several are so small
 REMEMBERED = 50_000  # repeated super-k-mers a task remembers
 
 BUCKETS_PER_PARTITION = 16

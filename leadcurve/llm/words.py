@@ -12,8 +12,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 2 << 20  # text that is worked on at once; a longer text is worked on alone
-_SEGMENT = 1 << 20
+PIECE_BYTES = 1 << 20  # text that is worked on at once; a longer text is worked on alone
+_SEGMENT = 1 << 18
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
