@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leadcurve.llm import ann, bpe, line_dedup, minhash, packing, quality, substring_dedup, warc
+from leadcurve.llm import ann, bpe, licenses, line_dedup, minhash, packing, quality, substring_dedup, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -43,6 +44,10 @@ def op8_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scanned(_table(spark, folder, "documents")).withColumn("licenses", F.array_join("licenses", ","))
+
+
 def op10_multi_index_hashing(spark: SparkSession, folder: str) -> DataFrame:
     return ann.self_neighbours(_table(spark, folder, "embeddings"))
 
@@ -55,5 +60,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_minhash": op8_minhash,
+    "op9_license_scan": op9_license_scan,
     "op10_multi_index_hashing": op10_multi_index_hashing,
 }

@@ -151,11 +151,12 @@ def sequence_hash(run: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray
         return mix((run[to] - run[at]) * down[at] + (to - at).astype(np.uint64))
 
 
-def split_words(column: pa.Array, lower: bool = False) -> Words:
+def split_words(column: pa.Array, lower: bool = False, apart: np.ndarray = _SPACE) -> Words:
+    """``apart``: for each byte value, does it stand between words?"""
     buf, offsets = text_buffer(column)
     if lower:
         buf = _LOWER[buf]
-    word = ~_SPACE[buf]
+    word = ~apart[buf]
     edge = np.zeros(len(buf) + 1, dtype=bool)
     edge[offsets] = True
     begin, fin = word.copy(), word.copy()
