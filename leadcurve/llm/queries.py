@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadcurve.llm import ann, bpe, licenses, line_dedup, minhash, packing, quality, substring_dedup, warc
+from leadcurve.llm import ann, bpe, licenses, line_dedup, lm_scoring, minhash, packing, quality, substring_dedup, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.verdicts(_table(spark, folder, "documents"))
 
 
+def op4_attention_lm(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return lm_scoring.scored(_table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.verdicts(_table(spark, folder, "documents"))
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_warc": op2_warc,
     "op3_quality_rules": op3_quality_rules,
+    "op4_attention_lm": op4_attention_lm,
     "op5_line_dedup": op5_line_dedup,
     "op6_packing": op6_packing,
     "op7_byte_bpe": op7_byte_bpe,
