@@ -93,8 +93,8 @@ def repeated_runs(documents: DataFrame, min_lines: int = MIN_LINES) -> DataFrame
     """
     if min_lines < 1:
         raise ValueError("min_lines must be positive")
-    usable = documents.filter("doc_id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["doc_id", "text_key"])
-    ids = staged(line_ids(usable), "line-ids")
+    usable = documents.filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    ids = staged(line_ids(usable).dropDuplicates(["doc_id", "text_key"]), "line-ids")
     later, depths = None, None
     for n, found in suffix_rounds(ids):
         if n <= min_lines < 2 * n:
@@ -140,7 +140,7 @@ def _with_runs(documents: DataFrame, columns: list[str], min_lines: int) -> Data
     own = own_columns(documents, doc_id="doc_id", text="text", text_key=text_key())
     runs = staged(repeated_runs(own, min_lines), "runs").toDF("_doc_id", "_text_key", "_runs")
     same = (documents["doc_id"] == runs["_doc_id"]) & (text_key() == runs["_text_key"])
-    return documents.join(runs, same, "left").select(*[documents[c] for c in columns], "_runs")
+    return documents.join(runs.hint("merge"), same, "left").select(*[documents[c] for c in columns], "_runs")
 
 
 def verdicts(documents: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
