@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AIRPORT = "CASE {0} WHEN 0 THEN 'ATL' WHEN 1 THEN 'BOS' WHEN 2 THEN 'LAX' ELSE 'ORD' END"
-PAGE_BLOCK = 100  # order keys whose deals share a page
+PAGE_BLOCK = 400  # order keys whose deals share a page
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,21 @@ def offers_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def offers_all_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nine columns as text; seats are decimals, negative decimals or unreadable now and then."""
+    seats = (
+        "CASE WHEN l_partkey % 101 = 0 THEN 'many' WHEN l_partkey % 103 = 0 THEN '-1.0'"
+        " WHEN l_partkey % 7 = 0 THEN concat(seatsRemaining, '.0') WHEN l_partkey % 11 = 0 THEN concat(seatsRemaining, '.5')"
+        " ELSE CAST(seatsRemaining AS STRING) END AS seatsRemaining"
+    )
+    others = [
+        f"CAST({c} AS STRING) AS {c}"
+        for c in ("searchDate", "flightDate", "startingAirport", "destinationAirport", "totalFare", "isNonStop",
+                  "totalTravelDistance", "isBasicEconomy")
+    ]
+    return _offers(spark, sf_dir).selectExpr(*others, seats)
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey AS request_id",
@@ -157,13 +172,22 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gathered.select("payload_id", F.to_json(document).alias("payload"))
 
 
+def payloads_as_fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads of which some were cut off, are missing or are no objects."""
+    return payloads(spark, sf_dir).selectExpr(
+        "payload_id",
+        "CASE WHEN payload_id % 50 = 1 THEN substring(payload, 1, 20) WHEN payload_id % 50 = 2 THEN NULL"
+        " WHEN payload_id % 50 = 3 THEN '[]' WHEN payload_id % 50 = 4 THEN '' ELSE payload END AS payload",
+    )
+
+
 def _deals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _routed(spark, sf_dir).selectExpr(
         f"{AIRPORT.format('oi')} AS origin",
         f"{AIRPORT.format('di')} AS destination",
         f"CAST(floor(l_orderkey / {PAGE_BLOCK}) AS BIGINT) AS block",
         "struct(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS place",
-        "CAST(floor(l_extendedprice / 400) AS INT) + 20 AS price",
+        "floor(l_extendedprice / 400) + 20 + CASE WHEN l_linenumber = 2 THEN 0.5D ELSE 0.0D END AS price",
         "CAST(date_add(DATE'2022-05-29', CAST(l_orderkey % 70 AS INT)) AS STRING) AS deal_date",
         "CASE WHEN l_discount = 0 THEN NULL ELSE CAST(l_linenumber % 3 AS INT) END AS stops",
         "l_returnflag AS carrier",
@@ -173,7 +197,8 @@ def _deals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def route_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Route pages: a headline in one of several forms, the one-way block, a decoy block.
 
-    Every tenth block's page shows no price at all.
+    Every tenth block's page shows no price at all; every seventh was fetched twice, the
+    first time with higher headlines and no deals.
     """
     text = """concat('{"providerName":"', d.carrier, '","price":{"price":', d.price, ',"currency":"USD"},',
         '"pickupDateIso":"', d.deal_date, '"',
@@ -189,15 +214,21 @@ def route_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     html = F.expr(
         """CASE WHEN block % 10 = 9 THEN '<html>no prices here</html>' ELSE concat(
-        CASE WHEN block % 4 = 0 THEN '<div>Cheapest one-way</div><div class="p">$2,345</div>'
-             WHEN block % 4 = 1 THEN concat('<div>cheapest ONE-WAY</div>\n<div class="p">$', headline, '</div>')
+        CASE WHEN block % 8 = 0 THEN '<div>Cheapest one-way</div><div class="p">$2,345</div>'
+             WHEN block % 8 = 4 THEN '<div>Cheapest one-way</div><div class="p">$12,345</div>'
+             WHEN block % 4 = 1 THEN concat('<div>cheapest ONE-WAY</div>\n', repeat('<br>', 9 * (block % 8) * (block % 8)),
+               '<div class="p">$', headline, '</div>')
              ELSE '<div>Fares</div>' END,
         CASE WHEN block % 4 IN (0, 2)
              THEN concat('{"title":"Cheapest flight", "dataText":"$', headline, '","type":"x"}') ELSE '' END,
         '"cheapestPopularOneWayFlight": {"deals":[\n', listed, '\n]},"cheapestPopularDirectFlight":{"deals":[',
         '{"providerName":"Decoy","price":{"price":36},"pickupDateIso":"2022-06-10","leg1Stops":0}]}') END"""
     )
-    return pages.select("origin", "destination", "block", html.alias("html"))
+    latest = pages.select("origin", "destination", "block", F.lit(2).alias("fetched_at"), html.alias("html"))
+    before = latest.filter("block % 7 = 3").withColumns(
+        {"fetched_at": F.lit(1), "html": F.lit('<div>Cheapest one-way</div><div class="p">$1,400</div>')}
+    )
+    return latest.unionByName(before)
 
 
 def city_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

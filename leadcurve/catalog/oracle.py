@@ -9,6 +9,7 @@ from __future__ import annotations
 from leadcurve import constants as C
 from leadcurve.catalog.fixtures import AIRPORT, PAGE_BLOCK
 from leadcurve.catalog.queries import CURVE_SAMPLE, PAIR_SAMPLE
+from leadcurve.operators.policy import POISSON_BOUNDS
 
 # name -> (fragments it needs, SQL)
 _FRAGMENTS: dict[str, tuple[tuple[str, ...], str]] = {}
@@ -421,10 +422,15 @@ WHERE part <> 'test' GROUP BY ALL""",
 }
 
 
+def _long_curves(source: str) -> str:
+    return f"""
+SELECT route, flightDate, isNonStop FROM {source} WHERE isNonStop IS NOT NULL
+GROUP BY route, flightDate, isNonStop HAVING count(*) >= 8"""
+
+
 def _curve_sample(source: str, size: int, seed: int) -> str:
     return f"""
-SELECT route, flightDate, isNonStop FROM (SELECT route, flightDate, isNonStop, count(*) AS n FROM {source}
-  WHERE isNonStop IS NOT NULL GROUP BY ALL HAVING count(*) >= 8)
+SELECT * FROM ({_long_curves(source)})
 ORDER BY md5(concat_ws('|', route, strftime(flightDate, '%Y-%m-%d'), {_STOP}, '{seed}')), route, flightDate,
   isNonStop LIMIT {size}"""
 
@@ -470,7 +476,7 @@ def _wait_rule(threshold: str) -> str:
     return f"(predicted_savings >= {threshold} AND predicted_purchase_days < as_of_days)"
 
 
-def _period(prefix: str, start: float, end: float, limit: int) -> None:
+def _period(prefix: str, start: float, end: float, limit: int | None = None) -> None:
     """Bounds, candidates and simulated decisions of a period."""
     _fragment(
         f"{prefix}_bounds",
@@ -491,7 +497,7 @@ SELECT concat_ws('|', route, strftime(flightDate, '%Y-%m-%d'), {_STOP}, CAST(day
 FROM measured JOIN nearest USING (route, flightDate, isNonStop, days_before_departure), {prefix}_bounds
 WHERE searchDate >= period_start AND (period_end IS NULL OR searchDate < period_end)
   AND days_before_departure > last_day
-ORDER BY sha256(decision_id), decision_id LIMIT {limit}""",
+{f"ORDER BY sha256(decision_id), decision_id LIMIT {limit}" if limit else ""}""",
     )
     _fragment(
         f"{prefix}_rows",
@@ -542,9 +548,9 @@ FROM {prefix}_facts""",
     )
 
 
-_period("val", 0.70, 0.85, 10_000)
+_period("val", 0.70, 0.85)
 _period("small", 0.70, 0.85, 200)
-_period("test", 0.85, 1.0, 10_000)
+_period("test", 0.85, 1.0)
 
 
 def _slice(name: str, prefix: str) -> str:
@@ -648,18 +654,17 @@ ORDER BY mean_savings DESC, savings_p05 DESC, threshold LIMIT 1""",
 )
 
 
-def _bootstrap(source: str, long: str, samples: int) -> str:
-    """Interval per policy; ``source`` has one row per decision, ``long`` one per decision and policy."""
+def _bootstrap(long: str, samples: int) -> str:
+    """Interval per policy; ``long`` has one row per decision and policy."""
+    bounds = ", ".join(f"{b!r}" for b in POISSON_BOUNDS)
     return f"""
 SELECT policy, round(quantile_cont(mean, 0.025), 6) AS mean_savings_ci95_low,
   round(quantile_cont(mean, 0.975), 6) AS mean_savings_ci95_high FROM (
-  SELECT policy, resample, avg(savings) AS mean FROM (
-    SELECT r.resample, CAST(('0x' || substr(md5('42|' || r.resample || '|' || s.slot), 1, 8)) AS BIGINT) % s.n AS slot
-    FROM (SELECT row_number() OVER (ORDER BY sha256(decision_id)) - 1 AS slot, count(*) OVER () AS n FROM {source}) s,
-      (SELECT unnest(range(0, {samples})) AS resample) r) d
-  JOIN (SELECT row_number() OVER (PARTITION BY policy ORDER BY sha256(decision_id)) - 1 AS slot, policy, savings
-    FROM {long}) v USING (slot)
-  GROUP BY policy, resample) GROUP BY policy"""
+  SELECT policy, resample, sum(savings * weight) / sum(weight) AS mean FROM (
+    SELECT policy, resample, savings, len(list_filter([{bounds}], lambda b: b <=
+      CAST(('0x' || substr(md5('42|' || resample || '|' || decision_id), 1, 8)) AS BIGINT) / 4294967296e0)) AS weight
+    FROM {long}, (SELECT unnest(range(0, {samples})) AS resample))
+  GROUP BY policy, resample HAVING sum(weight) > 0) GROUP BY policy"""
 
 
 _rule = _wait_rule("(SELECT threshold FROM selected)")
@@ -682,13 +687,13 @@ round(savings_p05, 6) AS savings_p05, threshold = (SELECT threshold FROM selecte
         "selected",
     ),
     "policy_summary": _sql(f"SELECT policy, {_FIGURES} FROM test_long GROUP BY policy", "test_long"),
-    "bootstrap_ci": _sql(_bootstrap("test_decisions", "test_long", 100), "test_long"),
+    "bootstrap_ci": _sql(_bootstrap("test_long", C.BOOTSTRAP_SAMPLES), "test_long"),
     "full_backtest": _sql(
         f"""SELECT *, (SELECT threshold FROM selected) AS threshold,
 (SELECT {_share('model_action = actual_best_action')} FROM held_out) AS decision_accuracy,
 (SELECT count(*) FROM held_out) AS booking_decisions
 FROM (SELECT policy, {_FIGURES} FROM held_out_long GROUP BY policy)
-JOIN ({_bootstrap('held_out', 'held_out_long', 100)}) USING (policy)""",
+JOIN ({_bootstrap('held_out_long', C.BOOTSTRAP_SAMPLES)}) USING (policy)""",
         "held_out_long",
     ),
 }
@@ -737,14 +742,15 @@ FROM {prefix}_ranked GROUP BY ALL""",
 
 
 _scoring("all", "known", "known")
+_fragment("long_curves", "daily", sql=_long_curves("daily"))
 _fragment(
     "sampled_rows",
-    "sampled",
-    sql="SELECT * FROM daily SEMI JOIN sampled USING (route, flightDate, isNonStop)",
+    "long_curves",
+    sql="SELECT * FROM daily SEMI JOIN long_curves USING (route, flightDate, isNonStop)",
 )
 _scoring("some", "sampled_rows", "sampled_rows")
 _fragment("late_days", "cutoffs", sql="SELECT daily.* FROM daily, cutoffs WHERE searchDate >= test_cutoff")
-_fragment("late_sample", "late_days", sql=_curve_sample("late_days", C.TEST_CURVES, 1))
+_fragment("late_sample", "late_days", sql=_long_curves("late_days"))
 _fragment(
     "late_rows",
     "late_sample",
@@ -879,7 +885,7 @@ _fragment(
     "keyed",
     sql=f"""
 SELECT {AIRPORT.format('oi')} AS origin, {AIRPORT.format('di')} AS destination, block,
-  CAST(floor(l_extendedprice / 400) AS INTEGER) + 20 AS price,
+  CAST(floor(l_extendedprice / 400) AS DOUBLE) + 20 + CASE WHEN l_linenumber = 2 THEN 0.5e0 ELSE 0e0 END AS price,
   DATE '2022-05-29' + CAST(l_orderkey % 70 AS INTEGER) AS deal_date,
   CASE WHEN l_discount = 0 THEN NULL ELSE CAST(l_linenumber % 3 AS INTEGER) END AS stops, l_returnflag AS carrier,
   row_number() OVER (PARTITION BY oi, di, block
@@ -893,7 +899,7 @@ _fragment(
 SELECT origin, destination, block, CAST(nth - 1 AS INTEGER) AS pos, CAST(price AS DOUBLE) AS price,
   CAST(deal_date AS VARCHAR) AS deal_date, stops, carrier
 FROM (SELECT *, row_number() OVER (PARTITION BY origin, destination, block ORDER BY place) AS nth
-  FROM listed WHERE price BETWEEN 35 AND 1500 AND block % 10 <> 9) WHERE nth <= 20""",
+  FROM listed WHERE price BETWEEN 35 AND 1500 AND block % 10 <> 9)""",
 )
 _fragment(
     "headlines",
@@ -935,7 +941,7 @@ _fragment(
 SELECT request_id, coalesce(page, city) AS published_price,
   CASE WHEN page IS NOT NULL THEN coalesce(m, 'route_lowest') WHEN city IS NOT NULL THEN 'route_lowest' END AS match,
   CASE WHEN page IS NOT NULL THEN deal_date END AS live_matched_date,
-  CASE WHEN page IS NOT NULL THEN 'kayak' WHEN city IS NOT NULL THEN 'google' END AS source FROM (
+  CASE WHEN page IS NOT NULL THEN 'route page' WHEN city IS NOT NULL THEN 'city page' END AS source FROM (
   SELECT r.request_id, h.match AS m, deal_date,
     CASE WHEN price IS NULL THEN headline WHEN h.match = 'route_lowest' THEN least(price, headline) ELSE price END AS page,
     CASE WHEN l.block IS NOT NULL AND r.block % 20 <> 19 THEN CAST(90 + r.block % 7 AS DOUBLE) END AS city
@@ -1022,8 +1028,15 @@ _CURVE_COLUMNS = (
     "round(fare, 6) AS predicted_fare FROM stop_curves"
 )
 ORACLE |= {
-    "published_deals": _sql("SELECT * FROM deals", "deals"),
-    "headline_fare": _sql("SELECT * FROM headlines", "headlines"),
+    "published_deals": _sql(
+        """SELECT *, CAST(2 AS INTEGER) AS fetched_at FROM deals""", "deals"
+    ),
+    "headline_fare": _sql(
+        """SELECT *, CAST(2 AS INTEGER) AS fetched_at FROM headlines
+UNION ALL SELECT origin, destination, block, 1400e0 AS headline, CAST(1 AS INTEGER) AS fetched_at
+FROM headlines WHERE block % 7 = 3""",
+        "headlines",
+    ),
     "nearest_deal": _sql("SELECT * FROM deal_hits", "deal_hits"),
     "published_fare": _sql("SELECT * FROM web", "web"),
     "price_pin": _sql(
@@ -1098,3 +1111,23 @@ ORACLE |= {
     "itineraries": _sql("SELECT * FROM itins", "itins"),
     "itinerary_filter": _sql("SELECT payload_id, id, stops, price FROM itins WHERE stops > 0", "itins"),
 }
+
+# --- text input and rejected payloads ----------------------------------------------------------------------------------------
+
+_fragment(
+    "offers_text",
+    "offers_keyed",
+    sql="""
+SELECT * EXCLUDE (l_partkey) REPLACE (CASE WHEN l_partkey % 101 = 0 THEN NULL WHEN l_partkey % 103 = 0 THEN -1
+  WHEN l_partkey % 7 <> 0 AND l_partkey % 11 = 0 AND seatsRemaining >= 0
+    THEN CAST(round_even(seatsRemaining + 0.5e0, 0) AS INTEGER)
+  WHEN l_partkey % 7 <> 0 AND l_partkey % 11 = 0 THEN CAST(round_even(seatsRemaining - 0.5e0, 0) AS INTEGER)
+  ELSE seatsRemaining END AS seatsRemaining) FROM offers_keyed""",
+)
+_fragment("clean_text", "offers_text", sql=_clean("offers_text", "flightDate > searchDate", True))
+ORACLE |= {
+    "clean_from_text": _sql("SELECT * FROM clean_text", "clean_text"),
+    "rejected_payloads": """SELECT payload_id, CASE payload_id % 50 WHEN 1 THEN 'unreadable' WHEN 2 THEN 'missing'
+WHEN 3 THEN 'not an object' ELSE 'unreadable' END AS reason
+FROM (SELECT DISTINCT l_orderkey AS payload_id FROM lineitem) WHERE payload_id % 50 IN (1, 2, 3, 4)""",
+}

@@ -250,7 +250,7 @@ def search_date_slices(spark, sf):
     return both.select("part", "route", "flightDate", "isNonStop", "days_before_departure", "best_fare")
 
 
-PAIR_SAMPLE = 25_000  # above the top-k limit, so the distributed path is taken
+PAIR_SAMPLE = 25_000
 
 
 @query
@@ -286,7 +286,7 @@ def train_val_union(spark, sf):
 # --- decisions and simulation ---------------------------------------------------------------
 
 
-def _candidates(daily: DataFrame, start: float, end: float, limit: int | None = 10_000) -> DataFrame:
+def _candidates(daily: DataFrame, start: float, end: float, limit: int | None = None) -> DataFrame:
     bounds = split.period_bounds(daily, start, end)
     return simulate.decision_candidates(daily, bounds, routes=daily, max_decisions=limit)
 
@@ -380,7 +380,7 @@ def policy_summary(spark, sf):
 def bootstrap_ci(spark, sf):
     columns = {name: savings for name, (savings, _) in policy.POLICIES.items()}
     decisions = stage(_decisions(spark, sf), "decisions")
-    return rounded(policy.bootstrap_intervals(decisions, columns, samples=100), *INTERVAL)
+    return rounded(policy.bootstrap_intervals(decisions, columns), *INTERVAL)
 
 
 @query
@@ -392,7 +392,7 @@ def decision_accuracy(spark, sf):
 def full_backtest(spark, sf):
     from leadcurve.plans.backtest import evaluate
 
-    result = evaluate(_market(spark, sf), scorers.dip(), bootstrap_samples=100)
+    result = evaluate(_market(spark, sf), scorers.dip())
     record = result.record.select("threshold", "decision_accuracy", "booking_decisions")
     rows = result.policies.withColumns({c: record.select(c).scalar() for c in record.columns})
     return rounded(rows, *SHARES, *INTERVAL, "decision_accuracy")
@@ -424,7 +424,7 @@ def curve_spearman(spark, sf):
 def timing_score(spark, sf):
     from leadcurve.plans.train import timing_on, timing_rows
 
-    rows = timing_rows(stage(_daily(spark, sf), "daily"), CURVE_SAMPLE, seed=0)
+    rows = timing_rows(stage(_daily(spark, sf), "daily"))
     score = timing_on(rows, scorers.dip())
     return rounded(score, "buy_wait", "median_best_day_err", "median_spearman", "remain_rmse")
 
@@ -493,6 +493,7 @@ def _find_published(spark, sf) -> Callable[[DataFrame], DataFrame]:
             city_pages,
             ["origin", "destination", "block"],
             ["origin_city", "destination_city", "block"],
+            ("route page", "city page"),
         ).drop("origin_city", "destination_city")
 
     return find
@@ -519,21 +520,19 @@ def _curve_columns(curves: DataFrame) -> DataFrame:
 
 @query
 def pinned_curve(spark, sf):
-    return _curve_columns(
-        recommend.predict_curves(_pinned(spark, sf).filter("stops <> 'all'"), scorers.by_stop())
-    )
+    curves = recommend.predict_curves(_pinned(spark, sf).filter("stops <> 'all'"), scorers.by_stop())
+    return _curve_columns(recommend.curve_rows(curves))
 
 
 @query
 def all_stops_curve(spark, sf):
-    return _curve_columns(
-        recommend.predict_curves(_pinned(spark, sf).filter("stops = 'all'"), scorers.by_stop())
-    )
+    curves = recommend.predict_curves(_pinned(spark, sf).filter("stops = 'all'"), scorers.by_stop())
+    return _curve_columns(recommend.curve_rows(curves))
 
 
 @query
 def buy_window(spark, sf):
-    windows = recommend.buy_windows(recommend.curve_rows(_pinned(spark, sf), scorers.dip()))
+    windows = recommend.buy_windows(recommend.curve_points(_pinned(spark, sf), scorers.dip()))
     rows = windows.select("request_id", "best_day", "best_price", "window_start_days", "window_end_days")
     return rounded(rows, "best_price")
 
@@ -574,6 +573,17 @@ def itinerary_filter(spark, sf):
     return rows.select("payload_id", "id", "stops", "price")
 
 
+@query
+def rejected_payloads(spark, sf):
+    return extract.rejected_payloads(fx.payloads_as_fetched(spark, sf)).select("payload_id", "reason")
+
+
+@query
+def clean_from_text(spark, sf):
+    """Quotes of a text file, with seats written as decimals or unreadable."""
+    return clean.clean_offers(fx.offers_all_text(spark, sf))
+
+
 @query
 def published_deals(spark, sf):
     return extract.published_deals(fx.route_pages(spark, sf))
@@ -582,7 +592,7 @@ def published_deals(spark, sf):
 @query
 def headline_fare(spark, sf):
     return fx.route_pages(spark, sf).select(
-        "origin", "destination", "block", extract.headline_fare(F.col("html")).alias("headline")
+        "origin", "destination", "block", "fetched_at", extract.headline_fare(F.col("html")).alias("headline")
     )
 
 

@@ -65,11 +65,8 @@ DEFAULT_FARE = 150.0
 TRAIN_FRACTION = 0.70
 VALIDATION_FRACTION = 0.85
 
-# Sampling limits of the training and evaluation features.
-MAX_DECISIONS = 10_000
-MAX_PAIRS = 3_000_000
-VALIDATION_CURVES = 1_200
-TEST_CURVES = 2_000
+# Models are fitted on at most so many labelled pairs; everything else reads all pairs.
+MAX_FITTING_PAIRS = 3_000_000
 MIN_CURVE_DAYS = 8
 SCORING_TARGET_DAY = 21
 SCORING_MIN_DAY = 5
@@ -124,11 +121,10 @@ STOPS_SPELLINGS = {
     "stops": "connecting",
 }
 
-# Published one-way fares: accepted range (inclusive), deals kept per page,
-# and how far a deal's date may lie from the wanted one.
+# Published one-way fares: accepted range (inclusive), and how far a deal's date
+# may lie from the wanted one.
 PUBLISHED_MIN = 35.0
 PUBLISHED_MAX = 1500.0
-DEALS_PER_PAGE = 20
 NEARBY_DAYS = 10
 
 # Itinerary prices: accepted range (inclusive).
@@ -138,17 +134,17 @@ ITINERARY_MAX = 5000.0
 # Text patterns of the published pages.
 DEALS_BLOCK = r'"cheapestPopularOneWayFlight"\s*:\s*\{'
 NEXT_BLOCK = r'"cheapestPopular(?:Direct|RoundTrip|LastMinute)'
-NEXT_BLOCK_OFFSET = 80
 DEAL_START = '"providerName":'
-DEAL_PRICE = r'"price"\s*:\s*\{\s*"price"\s*:\s*(\d+)'
+DEAL_PRICE = r'"price"\s*:\s*\{\s*"price"\s*:\s*(\d+(?:\.\d+)?)'
 DEAL_DATE = r'"pickupDateIso"\s*:\s*"(\d{4}-\d{2}-\d{2})"'
 DEAL_STOPS = r'"leg1Stops"\s*:\s*(\d+)'
 DEAL_CARRIER = r'^"([^"]+)"'
-HEADLINES = (
-    r"(?is)Cheapest one-way.{0,200}?\$([0-9][0-9,]{1,4})",
-    r'(?is)"title"\s*:\s*"Cheapest flight"\s*,\s*"dataText"\s*:\s*"\$([0-9,]+)"',
-    r"(?is)Cheapest one-way flight.{0,160}?\$([0-9][0-9,]{1,4})",
-)
+# A headline's price stands before the next headline, the end of its table row, or data.
+HEADLINE = r"(?i)Cheapest one-way"
+HEADLINE_OF_FLIGHT = r"(?i)Cheapest one-way flight"
+HEADLINE_END = r'(?i)</tr>|"cheapestPopular|"title"\s*:'
+HEADLINE_PRICE = r"\$([0-9][0-9,]*(?:\.[0-9]+)?)"
+CARD_PRICE = r'(?is)"title"\s*:\s*"Cheapest flight"\s*,\s*"dataText"\s*:\s*"\$([0-9][0-9,]*(?:\.[0-9]+)?)"'
 
 # Messages of request checks and recommendations.
 MSG_SAME_AIRPORT = "Origin and destination must be different airports."

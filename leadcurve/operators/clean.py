@@ -25,7 +25,8 @@ def typed_offers(offers: DataFrame) -> DataFrame:
         F.col("destinationAirport").cast("string").alias("destinationAirport"),
         F.col("totalFare").try_cast("double").alias("totalFare"),
         F.col("isNonStop").try_cast("boolean").alias("isNonStop"),
-        F.col("seatsRemaining").try_cast("int").alias("seatsRemaining"),
+        # a count written as a decimal number is rounded, half to even
+        F.bround(F.col("seatsRemaining").try_cast("double")).try_cast("int").alias("seatsRemaining"),
         F.col("totalTravelDistance").try_cast("double").alias("totalTravelDistance"),
         F.col("isBasicEconomy").try_cast("boolean").alias("isBasicEconomy"),
     )

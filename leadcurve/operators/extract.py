@@ -144,6 +144,17 @@ def itineraries(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     return _details(kept.select(*keys, "id", "entry.key", "entry.option"), keys)
 
 
+def rejected_payloads(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """Payloads that cannot give itineraries, with a ``reason``."""
+    text, value = F.col(payload), F.try_parse_json(payload)
+    reason = (
+        F.when(text.isNull(), "missing")
+        .when(value.isNull(), "unreadable")
+        .when(~F.startswith(F.ltrim(text), F.lit("{")), "not an object")
+    )
+    return payloads.withColumn("reason", reason).filter("reason IS NOT NULL")
+
+
 def filter_stops(found: DataFrame, choice: str) -> DataFrame:
     """Itineraries without a stop, with at least one, or all."""
     if choice == "nonstop":
@@ -172,18 +183,29 @@ def _found(text: Column, pattern: str) -> Column:
     return _filled(F.regexp_extract(text, pattern, 1))
 
 
+def _after_headline(html: Column, headline: str) -> Column:
+    """Price of the first headline that has one before it ends."""
+    parts = F.split(html, headline)
+    own = F.transform(
+        F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))),
+        lambda part: _found(F.get(F.split(part, C.HEADLINE_END, 2), F.lit(0)), C.HEADLINE_PRICE),
+    )
+    return F.get(F.filter(own, lambda price: price.isNotNull()), F.lit(0))
+
+
 def headline_fare(html: Column) -> Column:
-    """Cheapest one-way fare of a page's headline: the first pattern with a fare in range."""
-    return F.coalesce(*[_published(_found(html, p)) for p in C.HEADLINES])
+    """Cheapest one-way fare of a page's headline: the first form with a fare in range."""
+    return F.coalesce(
+        _published(_after_headline(html, C.HEADLINE)),
+        _published(_found(html, C.CARD_PRICE)),
+        _published(_after_headline(html, C.HEADLINE_OF_FLIGHT)),
+    )
 
 
 def _deals_block(html: Column) -> Column:
-    """The one-way block: from its opening to the next block."""
-    start = F.regexp_instr(html, F.lit(C.DEALS_BLOCK))
-    block = F.when(start > 0, html.substr(start, F.length(html)))
-    head = block.substr(1, C.NEXT_BLOCK_OFFSET)
-    tail = block.substr(F.lit(C.NEXT_BLOCK_OFFSET + 1), F.length(block))
-    return F.concat(head, F.try_element_at(F.split(tail, C.NEXT_BLOCK, 2), F.lit(1)))
+    """The one-way block: from behind its opening to the next block."""
+    behind = F.try_element_at(F.split(html, C.DEALS_BLOCK, 2), F.lit(2))
+    return F.get(F.split(behind, C.NEXT_BLOCK, 2), F.lit(0))
 
 
 def deals_array(html: Column) -> Column:
@@ -201,10 +223,8 @@ def deals_array(html: Column) -> Column:
         ),
     )
     usable = F.filter(deals, lambda d: d["price"].isNotNull() & d["date"].isNotNull())
-    # the page's list is read up to its twentieth usable deal
-    kept = F.slice(usable, 1, C.DEALS_PER_PAGE)
     empty = F.array().cast("array<struct<pos:int,price:double,date:string,stops:int,carrier:string>>")
-    return F.coalesce(kept, empty)
+    return F.coalesce(usable, empty)
 
 
 def parse_route_pages(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -256,9 +276,20 @@ def pick_deal(deals: Column, flight_date: Column, stops: Column) -> Column:
     return F.array_min(F.transform(pool, ranked))
 
 
+def one_page_each(pages: DataFrame, on: Sequence[str]) -> DataFrame:
+    """One parsed page per key: the latest by ``fetched_at``, if the pages have it.
+
+    Of equally late pages the greater one in (headline, deals) is taken, so that a page
+    that was fetched twice answers each request once.
+    """
+    fetched = F.col("fetched_at") if "fetched_at" in pages.columns else F.lit(0)
+    page = F.struct(fetched.alias("fetched_at"), "headline", "deals")
+    return pages.groupBy(*on).agg(F.max(page).alias("page")).select(*on, "page.deals", "page.headline")
+
+
 def nearest_deal(requests: DataFrame, pages: DataFrame, on: Sequence[str]) -> DataFrame:
     """Each request's best matching deal on its route page (``deals`` from ``parse_route_pages``)."""
-    joined = requests.join(pages.select(*on, "deals", "headline"), list(on), "left")
+    joined = requests.join(one_page_each(pages, on), list(on), "left")
     hit = pick_deal(F.col("deals"), F.col("flight_date"), F.col("stops"))
     return joined.withColumn("deal", hit).drop("deals")
 
@@ -292,15 +323,15 @@ def published_fare(
     city_pages: DataFrame,
     route_on: Sequence[str],
     city_on: Sequence[str],
-    sources: tuple[str, str] = ("kayak", "google"),
+    sources: tuple[str, str],
 ) -> DataFrame:
     """Published fare per request: the route page, else the city-pair page, else none.
 
     Both page tables come from ``parse_route_pages``; only the headline of a
-    city-pair page counts.
+    city-pair page counts. ``sources`` names the two kinds of pages.
     """
     fares = route_page_fare(nearest_deal(requests, route_pages, route_on)).drop("deal", "headline")
-    cities = city_pages.select(*city_on, F.col("headline").alias("city_price"))
+    cities = one_page_each(city_pages, city_on).select(*city_on, F.col("headline").alias("city_price"))
     both = fares.join(cities, list(city_on), "left")
     paged, city = F.col("page_price").isNotNull(), F.col("city_price").isNotNull()
     first, second = sources

@@ -1,4 +1,4 @@
-"""Catalog queries against DuckDB. All of them with LEADCURVE_ALL=1, else a few."""
+"""Catalog queries against DuckDB: all that have SQL."""
 
 import math
 import os
@@ -6,12 +6,11 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from leadcurve.catalog.oracle import ORACLE
+from leadcurve.catalog.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["clean_strict", "daily_best_fare", "near_holiday_flags", "remaining_pairs", "simulate_decisions",
-         "policy_summary", "curve_spearman", "request_fields", "published_deals"]
-NAMES = sorted(queries()) if os.environ.get("LEADCURVE_ALL") else QUICK
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
 
@@ -27,17 +26,17 @@ def canon(columns, rows):
     return sorted(tuple(plain(row[i]) for i in order) for row in rows)
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, name):
-    df = queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     rows = df.collect()
-    assert rows or name == "nothing"
-    if name not in oracle_sql():
+    assert rows
+    if name not in ORACLE:
         return
     con = duckdb.connect()
     for table in ("lineitem", "orders"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
-    result = con.execute(oracle_sql()[name])
+    result = con.execute(ORACLE[name])
     columns = [c[0] for c in result.description]
     assert sorted(columns) == sorted(df.columns)
     assert canon(df.columns, rows) == canon(columns, result.fetchall())
@@ -48,4 +47,4 @@ def test_entry_runs(spark):
 
 
 def test_every_query_but_training_has_sql():
-    assert set(queries()) - set(oracle_sql()) == {"train_gbt"}
+    assert set(QUERIES) - set(ORACLE) == {"train_gbt"}
