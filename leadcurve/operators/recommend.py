@@ -12,7 +12,7 @@ from leadcurve.functions import text
 from leadcurve.functions.dates import day_of_week
 from leadcurve.functions.fares import cents
 from leadcurve.functions.keys import normalize_stops
-from leadcurve.operators.features import attach_features
+from leadcurve.operators.features import attach_features, departure_features
 from leadcurve.operators.scorers import Scorer
 from leadcurve.session import spread
 
@@ -52,13 +52,12 @@ def validate_requests(requests: DataFrame) -> DataFrame:
         (~F.coalesce(supported, F.lit(False)), C.MSG_UNSUPPORTED),
         (F.col("flight_date").isNull(), C.MSG_DATE),
         (left <= 0, C.MSG_NOT_FUTURE),
-        (left > C.MAX_LEAD_DAYS, text.too_far_message(left)),
     )
-    return read.withColumn("message", problem).withColumn(
-        "status",
-        F.when(F.col("message").isNull(), "ok")
-        .when(F.startswith(F.col("message"), F.lit(C.MSG_TOO_FAR_HEAD)), "too_far")
-        .otherwise("error"),
+    far = left > C.MAX_LEAD_DAYS
+    return (
+        read.withColumn("message", problem)
+        .withColumn("status", F.when(F.col("message").isNotNull(), "error").when(far, "too_far").otherwise("ok"))
+        .withColumn("message", F.when(F.col("status") == "too_far", text.too_far_message(left)).otherwise(F.col("message")))
     )
 
 
@@ -133,96 +132,105 @@ def _serving_features(requests: DataFrame) -> DataFrame:
             "route": F.concat(F.col("origin"), F.lit("-"), F.col("destination")),
             "as_of_days": F.col("days_left"),
             "current_fare": F.col("pin_price"),
-            "departure_day_of_week": day_of_week(F.col("flight_date")),
-            "departure_month": F.month("flight_date"),
         }
     )
 
 
-def _scored_pools(rows: DataFrame, scorer: Scorer, names: tuple[str, str]) -> DataFrame:
-    """Score rows for the pools a request asks for, as two columns.
+def _unfolded(requests: DataFrame, pools: Column) -> DataFrame:
+    """One feature row per request row, stop type (``pools``: nonstop or not) and lead day.
 
-    A request for both stop types is scored as connecting and as nonstop; any other
-    request gets its own pool twice.
+    Rows are numbered where they are read and spread by that number, so that equal,
+    repeated or null request ids stay apart and a request's rows stay together. What the
+    flight alone decides is worked out before the lead days unfold. The request's own
+    columns travel with one of its rows only.
     """
-    stops = F.col("stops")
-    for name, nonstop in zip(names, (stops == "nonstop", stops != "connecting"), strict=True):
-        kept = rows.columns
-        pool = rows.withColumn("is_nonstop", nonstop).withColumn("isNonStop", nonstop)
-        scored = scorer(attach_features(pool))
-        rows = scored.select(*kept, F.col("predicted_relative").alias(name))
-    return rows
-
-
-def _search_day(rows: DataFrame) -> DataFrame:
+    given = requests.columns
+    numbered = requests.withColumn("_row", F.monotonically_increasing_id())
+    prepared = departure_features(_serving_features(spread(numbered, "_row")))
+    days = F.explode(F.sequence(F.lit(C.MAX_LEAD_DAYS), F.lit(1)))
+    rows = prepared.withColumn("_pools", pools).withColumn("is_nonstop", F.explode("_pools"))
+    rows = rows.withColumn("isNonStop", F.col("is_nonstop")).withColumn("days_before_departure", days)
     searched = F.date_sub("flight_date", F.col("days_before_departure"))
-    return rows.withColumn("search_day_of_week", day_of_week(searched))
+    first = (F.col("days_before_departure") == C.MAX_LEAD_DAYS) & (F.col("is_nonstop") == F.get("_pools", F.lit(0)))
+    return attach_features(
+        rows.withColumns(
+            {
+                "search_day_of_week": day_of_week(searched),
+                "_about": F.when(first, F.struct(*given)),
+            }
+        )
+    )
 
 
-def _lead_days() -> Column:
-    return F.explode(F.sequence(F.lit(C.MAX_LEAD_DAYS), F.lit(1)))
+def _gathered(scored: DataFrame, value: str) -> DataFrame:
+    """One row per request row with its ``values``: by stop type, largest lead day first."""
+    point = F.struct(
+        F.col("is_nonstop").alias("nonstop"),
+        (-F.col("days_before_departure")).alias("order"),
+        F.col("days_before_departure").alias("day"),
+        F.col(value).alias("value"),
+    )
+    gathered = scored.groupBy("_row").agg(
+        F.first("_about", ignorenulls=True).alias("about"), F.sort_array(F.collect_list(point)).alias("values")
+    )
+    return gathered.select("about.*", "values")
 
 
-def curve_rows(requests: DataFrame, scorer: Scorer) -> DataFrame:
-    """Predicted fare for each of the 60 lead days of every request, row by row.
+def curve_points(requests: DataFrame, scorer: Scorer) -> DataFrame:
+    """Requests with ``points``: the predicted fare of each of the 60 lead days, largest day first.
 
-    Today's relative fare is scored once per request before the lead days unfold, so
-    that scaling the curve to the pinned fare needs no grouping. Both pools then cost
-    the pinned fare today, and the cheaper one of each day is the curve of a request
-    for both. Requests are spread by id; their rows stay together.
+    A request for one stop type is scored for that one, a request for both for both, all
+    in one pass of the scorer. Each stop type then costs the pinned fare today, and the
+    cheaper one of each day is the curve of a request for both.
     """
-    given = requests.columns
-    prepared = _serving_features(spread(requests, "request_id"))
-    today = _search_day(prepared.withColumn("days_before_departure", F.col("days_left")))
-    known = _scored_pools(today, scorer, ("today_a", "today_b")).drop("days_before_departure")
-    unfolded = _search_day(known.withColumn("days_before_departure", _lead_days()))
-    scored = _scored_pools(unfolded, scorer, ("day_a", "day_b"))
-
-    def fare(pool: str) -> Column:
-        base = F.when(F.col(f"today_{pool}") > 0, F.col(f"today_{pool}")).otherwise(F.lit(1.0))
-        return F.col(f"day_{pool}") / base * F.col("pin_price")
-
-    return scored.select(
-        *given, "days_before_departure", F.least(fare("a"), fare("b")).alias("predicted_fare")
+    both, stops = F.array(F.lit(False), F.lit(True)), F.col("stops")
+    pools = F.when(stops == "nonstop", F.array(F.lit(True))).when(stops == "connecting", F.array(F.lit(False)))
+    gathered = _gathered(scorer(_unfolded(requests, pools.otherwise(both))), "predicted_relative")
+    days = F.lit(C.MAX_LEAD_DAYS)
+    halves = gathered.withColumn("one", F.slice("values", F.lit(1), days)).withColumn(
+        "other", F.when(F.size("values") > days, F.slice("values", days + 1, days)).otherwise(F.col("one"))
+    )
+
+    def base(pool: str) -> Column:
+        today = F.try_element_at(F.col(pool), (days + 1 - F.col("days_left")).cast("int"))["value"]
+        return F.when(today > 0, today).otherwise(F.lit(1.0))
+
+    known = halves.withColumns({"base_one": base("one"), "base_other": base("other")})
+    price = F.col("pin_price")
+    points = F.zip_with(
+        "one",
+        "other",
+        lambda a, b: F.struct(
+            a["day"].alias("day"),
+            F.least(a["value"] / F.col("base_one") * price, b["value"] / F.col("base_other") * price).alias("fare"),
+        ),
     )
+    return known.select(*requests.columns, points.alias("points"))
 
 
-def absolute_curve_rows(requests: DataFrame, scorer: Scorer) -> DataFrame:
+def absolute_curve_points(requests: DataFrame, scorer: Scorer) -> DataFrame:
     """Curves of a model that predicts dollars (``predicted_fare``): one pool, no pinning."""
-    given = requests.columns
-    prepared = _serving_features(spread(requests, "request_id"))
-    unfolded = _search_day(prepared.withColumn("days_before_departure", _lead_days()))
-    rows = unfolded.withColumn("is_nonstop", F.lit(False)).withColumn("isNonStop", F.lit(False))
-    return scorer(attach_features(rows)).select(*given, "days_before_departure", "predicted_fare")
+    gathered = _gathered(scorer(_unfolded(requests, F.array(F.lit(False)))), "predicted_fare")
+    points = F.transform("values", lambda v: F.struct(v["day"].alias("day"), v["value"].alias("fare")))
+    return gathered.select(*requests.columns, points.alias("points"))
 
 
 def predict_curves(requests: DataFrame, scorer: Scorer, absolute: bool = False) -> DataFrame:
-    """Fare curves of pinned requests; ``absolute`` for a scorer that gives dollars."""
-    return (absolute_curve_rows if absolute else curve_rows)(requests, scorer)
-
+    """Pinned requests with their fare curves; ``absolute`` for a scorer that gives dollars."""
+    return (absolute_curve_points if absolute else curve_points)(requests, scorer)
 
-def gather_curves(curves: DataFrame) -> DataFrame:
-    """One row per request with its 60 points, largest lead day first.
 
-    The request's own columns travel with one of its 60 rows only.
-    """
-    day = F.col("days_before_departure")
-    point = F.struct(day.alias("day"), F.col("predicted_fare").alias("fare"))
-    about = [c for c in curves.columns if c not in ("days_before_departure", "predicted_fare")]
-    slim = curves.select(
-        "request_id",
-        point.alias("point"),
-        F.when(day == C.MAX_LEAD_DAYS, F.struct(*about)).alias("about"),
-    )
-    gathered = slim.groupBy("request_id").agg(
-        F.first("about", ignorenulls=True).alias("about"),
-        F.sort_array(F.collect_list("point"), asc=False).alias("points"),
+def curve_rows(curves: DataFrame) -> DataFrame:
+    """One row per request and lead day: ``days_before_departure`` and ``predicted_fare``."""
+    kept = [c for c in curves.columns if c != "points"]
+    unfolded = curves.select(*kept, F.explode("points").alias("point"))
+    return unfolded.select(
+        *kept, F.col("point.day").alias("days_before_departure"), F.col("point.fare").alias("predicted_fare")
     )
-    return gathered.select("about.*", "points")
 
 
 def buy_windows(curves: DataFrame, margin: float = C.MEANINGFUL_SAVINGS) -> DataFrame:
-    """Per request the best day and the unbroken run of days around it within the margin.
+    """Per request with ``points`` the best day and the unbroken run of days around it within the margin.
 
     Only days up to departure count. The run ends before the nearest dearer day on
     either side.
@@ -237,8 +245,7 @@ def buy_windows(curves: DataFrame, margin: float = C.MEANINGFUL_SAVINGS) -> Data
     )
     limit = F.col("best_price") + F.lit(float(margin))
     found = (
-        gather_curves(curves)
-        .withColumn("ahead", F.filter("points", lambda p: p["day"] <= left))
+        curves.withColumn("ahead", F.filter("points", lambda p: p["day"] <= left))
         .withColumn("best", cheapest)
         .withColumns({"best_day": -F.col("best.order"), "best_price": F.col("best.fare")})
         .withColumn("dear", days(F.filter("ahead", lambda p: p["fare"] > limit)))

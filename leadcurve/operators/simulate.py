@@ -12,11 +12,11 @@ from leadcurve.constants import CURVE_KEYS
 from leadcurve.functions.dates import day_of_week
 from leadcurve.functions.keys import decision_id, route_key, stable_uniform
 from leadcurve.operators.curves import build_curves, median_so_far, nearest_day, point_at, remaining
-from leadcurve.operators.features import attach_features
+from leadcurve.operators.features import attach_features, departure_features
 from leadcurve.operators.sampling import hash_sample
 from leadcurve.operators.scorers import Scorer
 from leadcurve.operators.split import within
-from leadcurve.session import spread
+from leadcurve.session import spread, stage
 
 
 def decision_candidates(
@@ -24,7 +24,7 @@ def decision_candidates(
     bounds: DataFrame,
     routes: DataFrame | None = None,
     decision_days: Sequence[int] = C.DECISION_DAYS,
-    max_decisions: int | None = C.MAX_DECISIONS,
+    max_decisions: int | None = None,
 ) -> DataFrame:
     """Booking decisions of a period, each with its curve's points.
 
@@ -32,9 +32,11 @@ def decision_candidates(
     curve needs three points, two of them from the decision on. With
     ``max_decisions`` the decisions that come first by hashed id are kept.
     """
+    daily = daily.withColumn("route", route_key())
+    if routes is not None:  # before curves are built: the known routes are few and staged small
+        known = stage(routes.select("route").distinct(), "known-routes")
+        daily = daily.join(known, "route", "left_semi")
     curves = build_curves(daily).withColumn("route", route_key())
-    if routes is not None:
-        curves = curves.join(routes.select("route").distinct(), "route", "left_semi")
     points, as_of = F.col("points"), F.col("as_of_days")
     nearest = [nearest_day(points, t, prefer_larger=True) for t in decision_days]
     rows = (
@@ -62,15 +64,13 @@ def decision_candidates(
 def unfold_remaining(rows: DataFrame) -> DataFrame:
     """One feature row per decision (or as-of curve) and remaining day."""
     later = remaining(F.col("points"), F.col("as_of_days"))
-    unfolded = rows.withColumn("later", F.explode(later)).drop("points")
+    unfolded = departure_features(rows).withColumn("later", F.explode(later)).drop("points")
     day = F.col("later.day")
     return unfolded.withColumns(
         {
             "days_before_departure": day,
             "best_fare": F.col("later.fare"),
             "totalTravelDistance": F.col("later.distance"),
-            "departure_day_of_week": day_of_week(F.col("flightDate")),
-            "departure_month": F.month("flightDate"),
             "search_day_of_week": day_of_week(F.date_sub("flightDate", day)),
         }
     ).drop("later")

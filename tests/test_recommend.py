@@ -32,7 +32,8 @@ def ask(spark, *rows):
 def curve(spark, stops, scorer, price=200.0):
     requests = ask(spark, ("ATL", "LAX", TODAY, FLIGHT, price, stops))
     usable = recommend.validate_requests(requests)
-    rows = recommend.curve_rows(recommend.pin_prices(usable, *lookups(spark)), scorer).collect()
+    points = recommend.curve_points(recommend.pin_prices(usable, *lookups(spark)), scorer)
+    rows = recommend.curve_rows(points).collect()
     assert len(rows) == 60
     return {r.days_before_departure: r.predicted_fare for r in rows}
 
@@ -83,13 +84,16 @@ def test_wait_and_buy_now(spark):
 def test_window_stops_at_the_nearest_dearer_day(spark):
     requests = ask(spark, ("ATL", "LAX", TODAY, FLIGHT, 200.0, "connecting"))
     pinned = recommend.pin_prices(recommend.validate_requests(requests), *lookups(spark))
-    base = recommend.curve_rows(pinned, scorers.drift())
-    day = F.col("days_before_departure")
-    shaped = base.withColumn(
-        "predicted_fare",
-        F.when(day == 10, 100.0).when(day == 11, 108.0).when(day == 12, 108.5).when(day == 13, 101.0)
-        .when(day == 9, 105.0).when(day == 8, 300.0).otherwise(150.0),
-    )
+    base = recommend.curve_points(pinned, scorers.drift())
+
+    def fare(day):
+        return (
+            F.when(day == 10, 100.0).when(day == 11, 108.0).when(day == 12, 108.5).when(day == 13, 101.0)
+            .when(day == 9, 105.0).when(day == 8, 300.0).otherwise(150.0)
+        )
+
+    points = F.transform("points", lambda p: F.struct(p["day"].alias("day"), fare(p["day"]).alias("fare")))
+    shaped = base.withColumn("points", points)
     row = recommend.buy_windows(shaped).first()
     assert (row.best_day, row.window_start_days, row.window_end_days) == (10, 11, 9)
 
@@ -142,3 +146,27 @@ def test_absolute_model_is_not_pinned(spark):
     dollars = lambda rows: rows.withColumn("predicted_fare", 100.0 + F.col("days_before_departure"))
     row = recommend.recommend_requests(requests, dollars, *lookups(spark), absolute=True).first()
     assert (row.status, row.current_price, row.expected_best_price) == ("wait", 121.0, 101.0)
+
+
+def test_repeated_and_null_request_ids_are_answered_one_by_one(spark):
+    rows = [
+        (1, "ATL", "LAX", TODAY, FLIGHT, 200.0, "all"), (1, "BOS", "LAX", TODAY, FLIGHT, 500.0, "nonstop"),
+        (None, "ATL", "BOS", TODAY, FLIGHT, 90.0, "stop"), (None, "ATL", "BOS", TODAY, FLIGHT, 90.0, "stop"),
+    ]
+    out = recommend.recommend_requests(spark.createDataFrame(rows, SCHEMA), scorers.dip(), *lookups(spark)).collect()
+    assert sorted((r.request_id or 0, r.origin, r.current_price) for r in out) == [
+        (0, "ATL", 90.0), (0, "ATL", 90.0), (1, "ATL", 200.0), (1, "BOS", 500.0)]
+    assert all(len(r.curve) == 60 and [p.days_before_departure for p in r.curve] == list(range(60, 0, -1)) for r in out)
+
+
+def test_each_stop_type_is_scored_once(spark):
+    seen = []
+
+    def counting(rows):
+        seen.append(rows)
+        return scorers.by_stop()(rows)
+
+    requests = ask(spark, ("ATL", "LAX", TODAY, FLIGHT, 200.0, "all"), ("ATL", "LAX", TODAY, FLIGHT, 200.0, "nonstop"))
+    pinned = recommend.pin_prices(recommend.validate_requests(requests), *lookups(spark))
+    recommend.curve_points(pinned, counting).collect()
+    assert len(seen) == 1 and seen[0].count() == 180
