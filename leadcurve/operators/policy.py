@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import accumulate
+from math import exp, factorial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadcurve import constants as C
-from leadcurve.functions.keys import stable_slot
 from leadcurve.operators.quantiles import weighted_quantiles
-from leadcurve.operators.sampling import hash_rank
 from leadcurve.operators.simulate import apply_threshold
-from leadcurve.session import spread, stage
+
+# The probabilities of at most 0, 1, 2, ... draws at a mean of one; what lies beyond is below 1e-9.
+POISSON_BOUNDS = tuple(accumulate(exp(-1) / factorial(k) for k in range(12)))
 
 # policy -> (savings column, action column)
 POLICIES = {
@@ -86,31 +88,37 @@ def policy_summary(decisions: DataFrame) -> DataFrame:
     return summarize(policy_rows(decisions), ["policy"])
 
 
+def _draws(seed: int) -> Column:
+    """How often a resample draws a decision: Poisson with mean one, fixed by the hash of both."""
+    key = F.concat_ws("|", F.lit(str(seed)), F.col("resample").cast("string"), "decision_id")
+    uniform = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return F.aggregate(
+        F.array(*[F.lit(b) for b in POISSON_BOUNDS]), F.lit(0), lambda n, b: n + F.when(b <= uniform, 1).otherwise(0)
+    )
+
+
 def bootstrap_intervals(
     decisions: DataFrame,
     columns: Mapping[str, str],
     samples: int = C.BOOTSTRAP_SAMPLES,
     seed: int = C.SEED,
 ) -> DataFrame:
-    """95 % interval of the mean of each column, by resampling decisions with replacement.
+    """95 % interval of the mean of each column, by resampling decisions.
 
-    All columns share the draws. A draw is fixed by seed, resample and slot, so the
-    interval is the same on every run. Every decision stands for one slot, which
-    spreads the slots like the decisions.
+    In each resample a decision counts as often as a Poisson draw says, which follows
+    drawing with replacement. A draw is fixed by seed, resample and decision, and all
+    columns share it. Sums are made where the decisions are: each task passes on one row
+    per resample, and no decision is shuffled or joined.
     """
-    numbered = hash_rank(decisions, F.sha2("decision_id", 256), "slot", ["decision_id"])
     wanted = [F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns.values())]
-    values = stage(numbered.select((F.col("slot") - 1).alias("slot"), *wanted), "bootstrap")
-    size = values.agg(F.count(F.lit(1))).scalar()
-    slots = spread(values.select("slot"), "slot")
-    draws = slots.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    key = F.concat_ws("|", F.lit(str(seed)), F.col("resample").cast("string"), F.col("slot").cast("string"))
-    drawn = draws.select("resample", stable_slot(key, size).alias("slot"))
-    means = drawn.join(values, "slot").groupBy("resample").agg(
-        *[F.avg(f"v{i}").alias(f"v{i}") for i in range(len(wanted))]
+    every = F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))
+    drawn = decisions.select("decision_id", *wanted, every.alias("resample")).withColumn("weight", _draws(seed))
+    sums = drawn.groupBy("resample").agg(
+        F.sum("weight").alias("weight"), *[F.sum(F.col(f"v{i}") * F.col("weight")).alias(f"v{i}") for i in range(len(wanted))]
     )
+    means = sums.filter("weight > 0")
     rows = [
-        F.struct(F.lit(name).alias("policy"), F.col(f"v{i}").alias("mean"))
+        F.struct(F.lit(name).alias("policy"), (F.col(f"v{i}") / F.col("weight")).alias("mean"))
         for i, name in enumerate(columns)
     ]
     # one mean per resample and policy: a fixed, small number of rows

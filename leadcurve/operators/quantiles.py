@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadcurve.session import spread_by_range, stage
+
 
 def weighted_quantiles(
     counted: DataFrame,
@@ -59,9 +61,44 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
 
 
+def global_quantiles(df: DataFrame, value: str, quantiles: Mapping[str, float]) -> DataFrame:
+    """One row with the named quantiles over all rows, without a task that sees all values.
+
+    Distinct values are dealt to ranges and stored with the number of their range. The
+    sizes of the ranges (one row each) tell in which of them a rank falls; counting on
+    happens inside the ranges.
+    """
+    counted = value_counts(df, [], value).withColumn("_value", F.col(value).cast("double"))
+    counted = spread_by_range(counted.select("_value", "n"), "_value")
+    placed = stage(counted.withColumn("_range", F.spark_partition_id()), "value-ranges")
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy(F.lit(0))
+    sizes = placed.groupBy("_range").agg(F.sum("n").alias("_size"))  # one row per range
+    offsets = sizes.select(
+        "_range",
+        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
+        F.sum("_size").over(everything).alias("_total"),
+    )
+    inside = Window.partitionBy("_range").orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = placed.join(F.broadcast(offsets), "_range").withColumn("_end", F.col("_before") + F.sum("n").over(inside))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_end") - F.col("n") <= rank) & (rank < F.col("_end")), F.col("_value")))
+
+    found = []
+    for name, p in quantiles.items():
+        place = F.lit(float(p)) * (F.col("_total") - 1)
+        step = F.max(place - F.floor(place))
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        found.append((low + (high - low) * step).alias(name))
+    return ends.agg(*found)
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float]
 ) -> DataFrame:
+    if not list(keys):
+        return global_quantiles(df, value, quantiles)
     return weighted_quantiles(value_counts(df, keys, value), keys, value, "n", quantiles)
 
 

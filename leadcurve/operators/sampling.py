@@ -12,8 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadcurve.session import stage
+
 PREFIX_DIGITS = 4  # at most 16^4 prefixes, so the count table is bounded
-TOP_K_LIMIT = 20_000  # small samples are a plain top-k
 
 
 def _prefix_offsets(hashed: DataFrame) -> DataFrame:
@@ -35,6 +36,7 @@ def hash_rank(
     hashed = df.withColumn("_hash", hex_hash).withColumn(
         "_prefix", F.substring("_hash", 1, PREFIX_DIGITS)
     )
+    hashed = stage(hashed, "hashed")  # read for the counts and for the ranks
     offsets = F.broadcast(_prefix_offsets(hashed))  # at most 65,536 rows
     joined = hashed.join(offsets, "_prefix")
     if first is not None:
@@ -47,8 +49,5 @@ def hash_rank(
 
 
 def hash_sample(df: DataFrame, hex_hash: Column, size: int, ties: Sequence[str] = ()) -> DataFrame:
-    """The ``size`` rows that come first in hash order."""
-    if size <= TOP_K_LIMIT:
-        picked = df.withColumn("_hash", hex_hash).orderBy("_hash", *ties).limit(size)
-        return picked.drop("_hash")
+    """The ``size`` rows that come first in hash order. Writes the hashed rows once."""
     return hash_rank(df, hex_hash, "_rank", ties, first=size).drop("_rank")

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from leadcurve import constants as C
 from leadcurve.operators import policy, simulate, split
 from leadcurve.operators.scorers import Scorer
-from leadcurve.session import stage
+from leadcurve.plans.train import scorer_of
+from leadcurve.session import owned_stages, stage
+from leadcurve.sources import sinks
+from leadcurve.sources.bundle import Bundle
 
 
 @dataclass(frozen=True)
@@ -47,12 +50,13 @@ def evaluate(
     scorer: Scorer,
     routes: DataFrame | None = None,
     minimum_savings: float = C.MEANINGFUL_SAVINGS,
-    max_decisions: int | None = C.MAX_DECISIONS,
+    max_decisions: int | None = None,
     bootstrap_samples: int = C.BOOTSTRAP_SAMPLES,
 ) -> Backtest:
     """Run both periods over a daily market table that is stored (read several times).
 
-    ``routes`` are the routes the scorer knows; without it every route counts.
+    ``routes`` are the routes the scorer knows; without it every route counts. With
+    ``max_decisions`` each period keeps a sample of its decisions.
     Decisions of each period are written once. Only two dates per period and the
     chosen threshold come to the driver.
     """
@@ -80,3 +84,17 @@ def evaluate(
         daily.agg(F.count(F.lit(1))).scalar().alias("daily_market_rows"),
     )
     return Backtest(decisions, policies, search, record, threshold)
+
+
+def write_backtest(daily: DataFrame, bundle: Bundle, path: str, **settings) -> float:
+    """Backtest a stored bundle and write all results under ``path``; returns the threshold.
+
+    ``decisions`` is CSV; ``policies``, ``search`` and ``record`` are JSON. What was staged
+    on the way is removed.
+    """
+    with owned_stages(daily.sparkSession):
+        result = evaluate(daily, scorer_of(bundle.model), bundle.routes, **settings)
+        sinks.write_decisions(result.decisions, f"{path}/decisions")
+        for name in ("policies", "search", "record"):
+            sinks.write_record(getattr(result, name), f"{path}/{name}")
+    return result.threshold

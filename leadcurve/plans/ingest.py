@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from leadcurve.operators import clean, market
-from leadcurve.session import stage
+from leadcurve.session import owned_stages, stage
 from leadcurve.sources import offers as source
 from leadcurve.sources import sinks
 
@@ -24,8 +24,9 @@ def ingest(
     source.require_columns(raw.columns)
     seen = Observation("profile")
     typed = clean.typed_offers(raw).observe(seen, *clean.profile_counts())
-    kept = stage(clean.accepted(typed), "accepted")
-    sinks.write_market(clean.finish_clean(kept), output_path)
+    with owned_stages(spark):
+        kept = stage(clean.accepted(typed), "accepted")
+        sinks.write_market(clean.finish_clean(kept), output_path)
     counts = [F.lit(value).cast("bigint").alias(name) for name, value in seen.get.items()]
     profile = spark.range(1).select(
         F.lit(input_path).alias("source"), F.lit(output_path).alias("output"), *counts

@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadcurve import constants as C
+from leadcurve.functions.dates import day_of_week
 from leadcurve.operators import market, metrics, pairs, split
-from leadcurve.operators.features import attach_features
+from leadcurve.operators.features import attach_features, departure_features
+from leadcurve.operators.sampling import hash_sample
 from leadcurve.operators.scorers import Scorer, model_scorer
 from leadcurve.session import stage
 
@@ -49,20 +51,27 @@ def route_indexer(daily: DataFrame) -> StringIndexerModel:
     return indexer.fit(routes)
 
 
-def numeric_inputs(features: DataFrame) -> DataFrame:
+_ABSOLUTE_NUMERIC = [c for c in C.ABSOLUTE_FEATURE_COLUMNS if c not in ("route_cat", "totalTravelDistance")]
+
+
+def numeric_inputs(features: DataFrame, numeric: list[str] = _NUMERIC) -> DataFrame:
     """Model inputs as doubles; other columns stay as they are."""
-    inputs = {f"x_{c}": F.col(c).cast("double") for c in _NUMERIC}
+    inputs = {f"x_{c}": F.col(c).cast("double") for c in numeric}
     return features.withColumns(inputs).withColumn(
         "x_distance", F.col("totalTravelDistance").cast("double")
     )
 
 
 def fit_model(
-    features: DataFrame, indexer: StringIndexerModel, label: str = "rel_fare", **settings: float
+    features: DataFrame,
+    indexer: StringIndexerModel,
+    label: str = "rel_fare",
+    numeric: list[str] = _NUMERIC,
+    **settings: float,
 ) -> PipelineModel:
-    """Boosted trees over the eleven features; a missing distance takes the median."""
+    """Boosted trees over the given features, route and distance; a missing distance takes the median."""
     imputer = Imputer(inputCols=["x_distance"], outputCols=["x_distance_known"], strategy="median")
-    columns = ["route_index", *[f"x_{c}" for c in _NUMERIC], "x_distance_known"]
+    columns = ["route_index", *[f"x_{c}" for c in numeric], "x_distance_known"]
     trees = GBTRegressor(
         featuresCol="inputs",
         labelCol=label,
@@ -75,19 +84,44 @@ def fit_model(
     return Pipeline(stages=stages).fit(features)
 
 
+def fit_absolute(daily: DataFrame, max_pairs: int = C.MAX_FITTING_PAIRS, **settings: float) -> PipelineModel:
+    """A model of fares in dollars from the five features of a daily row and its route.
+
+    At most ``max_pairs`` daily rows are read, the first by hash.
+    """
+    rows = departure_features(market.with_market_columns(daily)).withColumns(
+        {"route_cat": F.col("route"), "search_day_of_week": day_of_week(F.col("searchDate"))}
+    )
+    key = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in (*C.CURVE_KEYS, "days_before_departure")]))
+    features = numeric_inputs(hash_sample(rows, key, max_pairs), _ABSOLUTE_NUMERIC)
+    return fit_model(features, route_indexer(daily), "best_fare", _ABSOLUTE_NUMERIC, **settings)
+
+
+def _prepared(score: Scorer, numeric: list[str]) -> Scorer:
+    def scored(rows: DataFrame) -> DataFrame:
+        return score(numeric_inputs(rows, numeric)).drop(*[f"x_{c}" for c in numeric], "x_distance")
+
+    return scored
+
+
 def scorer_of(model: PipelineModel) -> Scorer:
-    score = model_scorer(model)
+    """Scorer of a model of relative fares."""
+    return _prepared(model_scorer(model), _NUMERIC)
 
-    def prepared(rows: DataFrame) -> DataFrame:
-        return score(numeric_inputs(rows)).drop(*[f"x_{c}" for c in _NUMERIC], "x_distance")
 
-    return prepared
+def dollar_scorer_of(model: PipelineModel) -> Scorer:
+    """Scorer of a model of fares in dollars."""
+    return _prepared(model_scorer(model, "predicted_fare", clip=False), _ABSOLUTE_NUMERIC)
 
 
-def timing_rows(daily: DataFrame, curves: int, seed: int) -> DataFrame:
-    """Rows of a sample of long enough curves, stored: every configuration is scored on them."""
-    sample = split.curve_sample(market.curve_lengths(daily), curves, seed)
-    return stage(split.rows_of_curves(daily, sample), "timing-rows")
+def timing_rows(daily: DataFrame, curves: int | None = None, seed: int = 0) -> DataFrame:
+    """Rows of the long enough curves, stored: every configuration is scored on them.
+
+    With ``curves`` only a sample of so many.
+    """
+    lengths = market.curve_lengths(daily)
+    kept = lengths if curves is None else split.curve_sample(lengths, curves, seed)
+    return stage(split.rows_of_curves(daily, kept), "timing-rows")
 
 
 def timing_on(rows: DataFrame, scorer: Scorer) -> DataFrame:
@@ -110,26 +144,23 @@ def best_configuration(keys: dict[str, tuple[float, float, float]]) -> str:
 def _test_record(
     daily: DataFrame, parts: DataFrame, cutoffs: DataFrame, scorer: Scorer, name: str
 ) -> DataFrame:
-    held_out = timing_rows(split.held_out_days(daily, cutoffs), C.TEST_CURVES, seed=1)
+    held_out = timing_rows(split.held_out_days(daily, cutoffs))
     timing = stage(timing_on(held_out, scorer), "timing")
     test = parts.filter("part = 'test'")
     errors = stage(metrics.pair_errors(test, scorer), "errors")
     return metrics.evaluation_record(parts, cutoffs, timing, errors, name)
 
 
-def _parts(daily: DataFrame, max_pairs: int) -> tuple[DataFrame, DataFrame]:
+def _parts(daily: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All pairs with their part of the split, and the cutoffs."""
     rows = stage(pairs.remaining_pairs(daily), "pairs")
-    if rows.count() > max_pairs:
-        rows = stage(split.pair_sample(rows, max_pairs), "pair-sample")
     cutoffs = stage(split.split_cutoffs(rows, "as_of_date"), "cutoffs")
     return split.chrono_split(rows, cutoffs), cutoffs
 
 
-def evaluate_scorer(
-    daily: DataFrame, scorer: Scorer, name: str, max_pairs: int = C.MAX_PAIRS
-) -> DataFrame:
-    """Evaluation record of a given scorer on the test part."""
-    parts, cutoffs = _parts(daily, max_pairs)
+def evaluate_scorer(daily: DataFrame, scorer: Scorer, name: str) -> DataFrame:
+    """Evaluation record of a given scorer over the whole test part."""
+    parts, cutoffs = _parts(daily)
     return _test_record(daily, parts, cutoffs, scorer, name)
 
 
@@ -146,31 +177,35 @@ def train(
     daily: DataFrame,
     configurations: dict[str, dict[str, float]] | None = None,
     tree_share: float = 1.0,
-    max_pairs: int = C.MAX_PAIRS,
+    max_pairs: int = C.MAX_FITTING_PAIRS,
 ) -> Training:
     """Fit each configuration, select by timing on validation, test, refit.
 
-    ``daily`` should be a stored table. ``tree_share`` scales the number of trees.
+    ``daily`` should be a stored table. ``tree_share`` scales the number of trees. Each
+    fit reads at most ``max_pairs`` labelled pairs, a fixed sample of its part; the split,
+    the selection and the test figures read all.
     """
     configurations = configurations or CONFIGURATIONS
-    parts, cutoffs = _parts(daily, max_pairs)
-    features = stage(numeric_inputs(attach_features(parts)), "features")
+    parts, cutoffs = _parts(daily)
     indexer = route_indexer(daily)
-    validation = timing_rows(split.validation_days(daily, cutoffs), C.VALIDATION_CURVES, seed=0)
+    validation = timing_rows(split.validation_days(daily, cutoffs))
+
+    def inputs(rows: DataFrame) -> DataFrame:
+        return stage(numeric_inputs(attach_features(split.pair_sample(rows, max_pairs))), "features")
 
     def fit(rows: DataFrame, name: str) -> PipelineModel:
         settings = dict(configurations[name])
         settings["maxIter"] = max(1, round(settings["maxIter"] * tree_share))
         return fit_model(rows, indexer, **settings)
 
-    fitting = features.filter("part = 'train'")
+    fitting = inputs(parts.filter("part = 'train'"))
     models = {name: fit(fitting, name) for name in configurations}
     keys = {
         name: selection_key(timing_on(validation, scorer_of(model))) for name, model in models.items()
     }
     chosen = best_configuration(keys)
     record = _test_record(daily, parts, cutoffs, scorer_of(models[chosen]), chosen)
-    both = fitting.unionByName(features.filter("part = 'validation'"))
+    both = inputs(parts.filter("part <> 'test'"))
     counts = stage(market.lookup_counts(daily), "lookup-counts")
     return Training(
         model=fit(both, chosen),

@@ -12,9 +12,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_staged: list[str] = []
 _local_scratch: list[tempfile.TemporaryDirectory] = []
 
 SETTINGS = {
@@ -53,9 +56,33 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def owned_stages(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are removed when the block ends, also by an error.
+
+    For jobs that write their results: a frame that still reads a staged table must be
+    written before the block ends.
+    """
+    began = len(_staged)
+    try:
+        yield
+    finally:
+        for path in _staged[began:]:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        del _staged[began:]
+
+
+def spread_by_range(df: DataFrame, *columns: str) -> DataFrame:
+    """Partition by ranges of ``columns``, as many as ``spread`` makes."""
+    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(max(configured, df.sparkSession.sparkContext.defaultParallelism), *columns)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Partition by ``keys`` before rows unfold.
 

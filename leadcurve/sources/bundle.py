@@ -8,10 +8,11 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadcurve.constants import FEATURE_COLUMNS
+from leadcurve.constants import ABSOLUTE_FEATURE_COLUMNS, FEATURE_COLUMNS
 from leadcurve.sources import sinks
 
 MODEL_KIND = "relative_remaining"
+ABSOLUTE_KIND = "absolute_fare"
 MODEL_VERSION = "0.1.0"
 
 
@@ -41,10 +42,11 @@ def save_bundle(
     sinks.write_table(route_lookup, f"{path}/route_lookup")
     sinks.write_table(global_lookup, f"{path}/global_lookup")
     sinks.write_record(evaluation, f"{path}/evaluation")
+    columns = ABSOLUTE_FEATURE_COLUMNS if kind == ABSOLUTE_KIND else FEATURE_COLUMNS
     about = route_lookup.sparkSession.range(1).select(
         F.lit(kind).alias("kind"),
         F.lit(MODEL_VERSION).alias("version"),
-        F.array(*[F.lit(c) for c in FEATURE_COLUMNS]).alias("feature_columns"),
+        F.array(*[F.lit(c) for c in columns]).alias("feature_columns"),
     )
     sinks.write_record(about, f"{path}/about")
 

@@ -1,3 +1,5 @@
+import dataclasses
+import pathlib
 from datetime import date, timedelta
 
 import pytest
@@ -6,8 +8,8 @@ from pyspark.sql import functions as F
 from leadcurve.operators import market
 from leadcurve.operators.features import attach_features
 from leadcurve.operators.pairs import remaining_pairs
-from leadcurve.plans import train
-from leadcurve.session import stage
+from leadcurve.plans import backtest, serve, train
+from leadcurve.session import shared_folder, stage
 from leadcurve.sources import bundle
 from tests.helpers import daily
 
@@ -54,3 +56,60 @@ def test_the_first_best_configuration_wins():
     keys = {"a": (0.5, -2.0, 0.1), "b": (0.6, -9.0, 0.0), "c": (0.6, -9.0, 0.0)}
     assert train.best_configuration(keys) == "b"
     assert set(train.CONFIGURATIONS) == {"default", "more trees, lower lr", "shallower + regularized"}
+
+
+def test_the_bundle_decides_how_requests_are_answered(spark, table, tmp_path):
+    settings = {"maxIter": 2, "maxDepth": 3}
+    counts = market.lookup_counts(table)
+    lookups = market.route_lookups(counts), market.global_lookups(counts)
+    evaluation = spark.range(1)
+    rows = numeric_rows(table)
+    models = {
+        bundle.MODEL_KIND: train.fit_model(rows, train.route_indexer(table), **settings),
+        bundle.ABSOLUTE_KIND: train.fit_absolute(table, **settings),
+    }
+    today = date(2022, 9, 1)
+    requests = spark.createDataFrame(
+        [(1, "ATL", "LAX", today, today + timedelta(days=20), 500.0, "all")],
+        "request_id int, origin string, destination string, today date, flight_date date, current_price double, stops string",
+    )
+    prices = {}
+    for kind, model in models.items():
+        path = str(tmp_path / kind)
+        bundle.save_bundle(path, model, market.with_market_columns(table), *lookups, evaluation, kind=kind)
+        kept = bundle.load_bundle(spark, path)
+        assert kept.kind == kind and len(kept.feature_columns) == (11 if kind == bundle.MODEL_KIND else 6)
+        prices[kind] = serve.answer(requests, kept).first().current_price
+    assert prices[bundle.MODEL_KIND] == 500.0  # pinned
+    assert 140 < prices[bundle.ABSOLUTE_KIND] < 200  # the model's own dollars
+    other = dataclasses.replace(kept, kind="other")
+    with pytest.raises(ValueError, match="unknown kind"):
+        serve.answer(requests, other)
+
+
+def numeric_rows(table):
+    return train.numeric_inputs(attach_features(remaining_pairs(table)))
+
+
+def test_a_backtest_is_written_and_leaves_nothing_staged(spark, table, tmp_path):
+    model = train.fit_model(numeric_rows(table), train.route_indexer(table), maxIter=2, maxDepth=3)
+    counts = market.lookup_counts(table)
+    path = str(tmp_path / "bundle")
+    bundle.save_bundle(
+        path, model, market.with_market_columns(table), market.route_lookups(counts), market.global_lookups(counts), spark.range(1)
+    )
+    shared = pathlib.Path(shared_folder(spark).removeprefix("file:"))
+    before = set(shared.iterdir())
+    market_rows = stage(market.with_market_columns(table), "market-test")
+    kept = {*before, *shared.iterdir()}
+    backtest.write_backtest(market_rows, bundle.load_bundle(spark, path), str(tmp_path / "out"), bootstrap_samples=20)
+    assert set(shared.iterdir()) == kept
+    assert spark.read.json(str(tmp_path / "out/policies")).count() == 6
+    decisions = spark.read.option("header", True).csv(str(tmp_path / "out/decisions"))
+    assert decisions.count() == int(spark.read.json(str(tmp_path / "out/record")).first().booking_decisions)
+
+
+def test_fitting_reads_a_bounded_sample_and_the_record_reads_all(spark, table):
+    small = {"one": {"maxIter": 1, "maxDepth": 1}}
+    record = train.train(table, small, max_pairs=50).record.first()
+    assert record.train_rows + record.validation_rows + record.test_rows == remaining_pairs(table).count() > 50
