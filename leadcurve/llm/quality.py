@@ -167,7 +167,7 @@ def cleaned(documents: DataFrame, **options) -> DataFrame:
         & (text_key() == F.col("_text_key"))
         & (F.coalesce(documents["source"], F.lit("")) == F.col("_host"))
     )
-    joined = documents.join(verdict, same).select(*[documents[c] for c in columns], "_gone")
+    joined = documents.join(verdict.hint("merge"), same).select(*[documents[c] for c in columns], "_gone")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.pieces(batches):
