@@ -146,7 +146,7 @@ def _stars(classes: DataFrame) -> DataFrame:
         .filter("least < most")
         .select("band", "least", F.col("drawn").bitwiseXOR(mask).alias("drawn"))
     )
-    met = keyed.join(hubs, "band")
+    met = keyed.join(staged(hubs, "hubs"), "band")
     pairs = met.select("node", F.inline(F.array(
         F.struct(F.col("least").alias("hub"), F.lit(True).alias("first")),
         F.struct(F.col("drawn").alias("hub"), F.lit(False).alias("first")),
@@ -172,8 +172,9 @@ def groups(
     sets_of = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     digest = ["set_a", "set_b", "n_shingles"]
     classes = sets_of.groupBy(*digest).agg(F.min("doc_id").alias("node"))
+    classes = staged(classes, "classes")  # written, so that the join is free to split a hot class
     member_of = staged(
-        sets_of.join(classes, digest).select("doc_id", "node", "text_key", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands")), "classes"
+        sets_of.join(classes, digest).select("doc_id", "node", "text_key", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands")), "members"
     )
     first_rows = member_of.filter("bands IS NOT NULL").dropDuplicates(["doc_id", "text_key"])
     pairs = staged(_stars(first_rows), "stars")
