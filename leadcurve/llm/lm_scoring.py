@@ -4,14 +4,14 @@ A text is taken in lower case (A-Z) as its words and one end. Documents whose
 crc32(doc_id as text) leaves remainder 1 by 5 are held out; all others are learned from,
 a null doc_id (as the empty text) among them. Null and empty texts hold the end alone.
 
-* Word counts cover all training documents. For the base score the ``FREQUENT_WORDS``
-  most frequent words (a table of fixed size) are broadcast; all other words meet their
+* Word counts cover all training documents. For the base score up to ``FREQUENT_WORDS``
+  of the most frequent words (a table of fixed size) are broadcast; all other words meet their
   counts in a join by word, so neither vocabulary nor documents pass through one place.
 * The model (``attention``) reads the subwords of " word" for each word in turn, by a
   public tokenizer's ranks. Its classes come from the counts of all training words.
   Weights are learned in ``ROUNDS`` rounds: in each, every task steps through its own
   part of the round's blocks, and the tasks' weights are averaged. Blocks of
-  ``BLOCK_WORDS`` words are dealt to rounds by document and place; one in ``SHARE`` is
+  ``BLOCK_CHARS`` characters are dealt to rounds by document and place; one in ``SHARE`` is
   used, from all documents and all parts of them, so what is learned from grows with
   the corpus.
 * Scores take every subword of the whole text once, in overlapping windows.
@@ -39,9 +39,9 @@ from leadcurve.llm.bpe import read_ranks
 from leadcurve.llm.frames import own_columns, staged
 
 FOLDS, HELD = 5, 1
-FREQUENT_WORDS = 1 << 18
-SHARE, ROUNDS, BLOCK_WORDS = 4, 3, 96
-RATES = (0.02, 0.01, 0.005)
+FREQUENT_WORDS = 1 << 17
+SHARE, ROUNDS, BLOCK_CHARS = 8, 2, 600
+RATES = (0.02, 0.007)
 PIECE_BYTES = 2 << 20
 _FIXED = 1 << 20  # weights are summed as whole numbers, so that the order of tasks does not matter
 
@@ -107,6 +107,18 @@ def training_words(documents: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The words from such a count on that they are ``most`` at most.
+
+    Counts are put into eight classes for each doubling, a few hundred in all; the
+    classes' sizes, from the largest count down, tell where to stop.
+    """
+    step = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
+    sizes = counts.groupBy(step.alias("step")).count().toPandas().sort_values("step", ascending=False)
+    fit = sizes[sizes["count"].cumsum() <= most]["step"]
+    return counts.filter(step >= int(fit.min())) if len(fit) else counts.limit(0)
+
+
 def subword_counts(words: DataFrame, tokenizer, ends: int) -> np.ndarray:
     """How often each subword occurs in the counted words; the end last."""
 
@@ -147,13 +159,20 @@ def _with_ends(ids: np.ndarray, first: np.ndarray, end: int, closed: np.ndarray)
 
 
 def _blocks(text: str | None, doc_id: int | None, turn: int) -> Iterator[tuple[list[bytes], bool]]:
-    """The text's blocks of this round, and whether each is the last of its text."""
-    words = _words(text)
+    """The text's blocks of this round as words, and whether each is the last of its text.
+
+    A block begins with the first space behind a multiple of ``BLOCK_CHARS``; blocks
+    that are not of this round are not split into words.
+    """
+    text = text or ""
     own = zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) // FOLDS
-    for b in range(len(words) // BLOCK_WORDS + 1):
-        if (own + b) % SHARE == 0 and (own + b) // SHARE % ROUNDS == turn:
-            part = words[b * BLOCK_WORDS : (b + 1) * BLOCK_WORDS]
-            yield part, len(words) < (b + 1) * BLOCK_WORDS
+    count = len(text) // BLOCK_CHARS + 1
+    for b in range((-own) % SHARE, count, SHARE):
+        if (own + b) // SHARE % ROUNDS == turn:
+            start = text.find(" ", b * BLOCK_CHARS) if b else 0
+            end = text.find(" ", (b + 1) * BLOCK_CHARS)
+            if start >= 0:
+                yield _words(text[start : end if end >= 0 else None]), end < 0
 
 
 def learned_weights(documents: DataFrame, tokenizer, subwords: A.Subwords, rounds: int = ROUNDS) -> A.Weights:
@@ -262,7 +281,7 @@ def scored(documents: DataFrame, rank_file: str, pattern: str, frequent_words: i
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     tokens, types = totals[0] + ends, totals[1] + (ends > 0)
     log_size = float(np.log10(tokens + 0.5 * (types + 1)))
-    top = counts.orderBy(F.desc("n"), "word").limit(frequent_words).toPandas()  # at most frequent_words rows
+    top = _frequent(counts, frequent_words).toPandas()  # at most frequent_words rows
     frequent = {w.encode(): int(n) for w, n in zip(top["word"], top["n"], strict=True)}
     subwords = A.subword_classes(subword_counts(counts, tokenizer, ends), tokenizer().opens())
     weights = learned_weights(own, tokenizer, subwords, rounds)

@@ -146,3 +146,13 @@ def test_subwords_of_words(spark):
 def test_clashing_columns(spark, tmp_path):
     df = docs(spark, [(1, "a b"), (2, "c")]).withColumnRenamed("lang", "held_out").withColumnRenamed("source", "word")
     assert QUERIES["op4_attention_lm"](spark, written(df, tmp_path)).count() == 2
+
+
+def test_blocks_are_parts_of_a_text_and_every_round_differs():
+    text = " ".join(f"w{i}" for i in range(5000))
+    found = [x for turn in range(lm_scoring.ROUNDS) for doc in range(40) for x in lm_scoring._blocks(text, doc, turn)]
+    words = {w for own, _ in found for w in own}
+    assert words == {w.encode() for w in text.split()}  # over many documents, every part is used
+    one = [tuple(own) for turn in range(lm_scoring.ROUNDS) for own, _ in lm_scoring._blocks(text, 3, turn)]
+    assert len(one) == len(set(one)) and sum(map(len, one)) < 5000 / lm_scoring.SHARE * 2
+    assert [x for t in range(lm_scoring.ROUNDS) for x in lm_scoring._blocks(None, 0, t)] in ([], [([], True)])
