@@ -6,11 +6,15 @@ class, and one set stands for it. A class's hashes fall into ``bands * rows`` bi
 each bin keeps its smallest hash and an empty bin takes the value of another bin, drawn
 by a fixed sequence, until that one is full. Classes that agree on a band share a bucket.
 
-A bucket gives two stars and no other pairs: from its smallest member, and from a
-member drawn anew in every bucket. The first star binds large groups at once; the
-second one compares each document with up to ``bands`` different partners. Every link
-is confirmed on the full sets. The second star's pairs are confirmed only where the
-first has not yet put both ends in one component.
+All classes of a bucket are compared, except those already known to be of one component.
+A bucket first gives two stars: from its smallest member, and from a member drawn anew in
+every bucket. The first star binds large groups at once; the second one's pairs are
+confirmed only where the first has not put both ends in one component. A bucket whose
+members still lie in several components gives a third star, from the member that meets
+most others over all its bands, which is about a group's centre. What is open after that
+is compared pair by pair: small buckets give their pairs, large ones are dealt to blocks
+of bounded size, and every two blocks are compared inside a task. Every link is confirmed
+on the full sets.
 
 Documents without words, or without doc_id, are linked with nothing and are kept. Rows
 that share a doc_id are one document: their links are joined, and all of them stay if
@@ -34,6 +38,9 @@ SHINGLE = 5
 BANDS, ROWS = 32, 5
 PERCENT = 85
 
+PAIRED = 8  # open buckets of at most so many members give their pairs
+BLOCK, BLOCK_SHINGLES = 256, 1 << 18  # about what a block of a larger one holds
+
 _EMPTY = np.iinfo(np.int64).max
 
 
@@ -136,9 +143,14 @@ def shingle_sets(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return documents.select("node", "text").mapInArrow(build, "node long, members array<long>")
 
 
+def _met(classes: DataFrame) -> DataFrame:
+    """(band, node)."""
+    return classes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
+
+
 def _stars(classes: DataFrame) -> DataFrame:
     """(member, hub, first): each bucket's members with its smallest and with its drawn member."""
-    keyed = classes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
+    keyed = _met(classes)
     mask = F.xxhash64("band")  # a drawn order of the nodes of a bucket, and its own inverse
     hubs = (
         keyed.groupBy("band")
@@ -154,6 +166,104 @@ def _stars(classes: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("node").alias("member"), "hub").agg(F.max("first").alias("first"))
 
 
+def _open_buckets(keyed: DataFrame, known: DataFrame) -> DataFrame:
+    """band, node, n_shingles and component of the buckets that hold several components.
+
+    Of buckets with the same members one is left.
+    """
+    known = known.withColumnRenamed("component", "found")
+    placed = keyed.join(known, "node", "left").withColumn("component", F.coalesce("found", "node")).drop("found")
+    placed = staged(placed, "placed")
+    folded = [F.sum(F.xxhash64(F.col("node"), F.lit(salt)).cast("decimal(38,0)")).alias(f"s{salt}") for salt in (1, 2)]
+    buckets = placed.groupBy("band").agg(
+        F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("n"), *folded
+    )
+    bands = buckets.filter("least < most").groupBy("n", "s1", "s2").agg(F.min("band").alias("band")).select("band")
+    return staged(placed.join(staged(bands, "open-bands"), "band"), "open")
+
+
+def _central_stars(members: DataFrame) -> DataFrame:
+    """(member, hub) of open buckets; the hub is the member with most others in all its buckets."""
+    sizes = staged(members.groupBy("band").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    weight = staged(members.join(sizes, "band").groupBy("node").agg(F.sum("n").alias("meets")), "meets")
+    ranked = members.join(weight, "node")
+    hubs = ranked.groupBy("band").agg(F.max_by(F.struct(F.col("node").alias("hub"), F.col("component").alias("of")), F.struct("meets", "node")).alias("h"))
+    hubs = staged(hubs.select("band", "h.hub", "h.of"), "centres")
+    return members.join(hubs, "band").filter("component <> of").select(F.col("node").alias("member"), "hub").distinct()
+
+
+class _Block:
+    """The sets of some nodes, with shingles numbered; hubs are compared with all others at once."""
+
+    def __init__(self, component: np.ndarray, lists: pa.ListArray):
+        values, at = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        self.at, self.size = at, np.diff(lists.offsets.to_numpy())
+        self.first = np.append(0, np.cumsum(self.size))
+        _, self.part = np.unique(component, return_inverse=True)
+        self.mark = np.zeros(len(values), dtype=bool)
+        # a group's centre has its group's most common shingles
+        share = np.add.reduceat(np.bincount(at, minlength=len(values))[at], self.first[:-1]) / self.size
+        self.order = np.argsort(-share, kind="stable")
+
+    def links(self, side: np.ndarray, cross: bool, percent: int) -> Iterator[tuple[int, int]]:
+        """Similar pairs until all that can be linked are: inside the block, or between its two sides."""
+        left = np.ones(len(self.size), dtype=bool)
+        for hub in self.order:
+            if cross and side[hub]:
+                continue
+            left[hub] = False
+            own, size = self.size[hub], self.size
+            meets = (side if cross else left) & (self.part != self.part[hub])
+            meets &= 100 * np.minimum(size, own) >= percent * np.maximum(size, own)
+            some = np.flatnonzero(meets)
+            if not len(some):
+                continue
+            self.mark[self.at[self.first[hub] : self.first[hub + 1]]] = True
+            length = size[some]
+            begin = np.append(0, np.cumsum(length))
+            index = np.repeat(self.first[some] - begin[:-1], length) + np.arange(begin[-1])
+            both = np.add.reduceat(self.mark[self.at[index]].astype(np.int64), begin[:-1])
+            self.mark[:] = False
+            for other in some[100 * both >= percent * (own + length - both)]:
+                if self.part[other] != self.part[hub]:
+                    self.part[self.part == self.part[other]] = self.part[hub]
+                    yield int(hub), int(other)
+
+
+def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between different components of large open buckets, from comparing every two blocks."""
+    parts = members.groupBy("band").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    )
+    dealt = members.join(staged(parts, "blocks"), "band").withColumn("own", F.pmod(F.xxhash64("node", "band"), "blocks").cast("int"))
+    dealt = dealt.select("node", "component", "band", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select(
+        "node", "component", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("side")
+    )
+    rows = dealt.join(sets, "node").select("band", "lo", "hi", "side", "node", "component", "members")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        node = table.column("node").to_numpy()
+        side = table.column("side").to_numpy(zero_copy_only=False)
+        cross = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
+        lists = table.column("members").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        found = list(_Block(table.column("component").to_numpy(), lists).links(side, cross, percent))
+        a, b = (np.array([x[k] for x in found], dtype=np.int64) for k in (0, 1))
+        return pa.table({"a": pa.array(node[a]), "b": pa.array(node[b])})
+
+    return rows.groupBy("band", "lo", "hi").applyInArrow(compare, "a long, b long")
+
+
+def _small_pairs(members: DataFrame) -> DataFrame:
+    """(member, hub): every two members of different components, of buckets of at most ``PAIRED``."""
+    own = F.collect_list(F.struct("node", "component")).alias("all")
+    sides = members.groupBy("band").agg(own).select(F.explode("all").alias("x"), "all")
+    pairs = sides.select("x", F.explode("all").alias("y")).filter("x.node < y.node AND x.component <> y.component")
+    return pairs.select(F.col("x.node").alias("member"), F.col("y.node").alias("hub")).distinct()
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets are similar enough."""
     left = pairs.join(sets.toDF("member", "own"), "member")
@@ -164,6 +274,27 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(bound).filter(close).select(F.col("member").alias("a"), F.col("hub").alias("b"))
 
 
+def _settled(classes: DataFrame, sets: DataFrame, links: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Components after all classes that share a bucket were compared or found to be of one component."""
+    keyed = _met(classes).join(classes.groupBy(F.col("doc_id").alias("node")).agg(F.max("n_shingles").alias("n_shingles")), "node").distinct()
+    members = _open_buckets(keyed, known)
+    if members.isEmpty():
+        return known
+    more = staged(_confirmed(_central_stars(members), sets, percent), "confirmed")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        known = components(links)
+        members = _open_buckets(members.drop("component"), known)
+    sizes = staged(members.groupBy("band").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    sized = members.join(sizes, "band")
+    small = _confirmed(_small_pairs(sized.filter(f"n <= {PAIRED}")), sets, percent)
+    large = _block_links(sized.filter(f"n > {PAIRED}").drop("n"), sets, percent)
+    more = staged(small.unionByName(large), "confirmed")
+    if not more.isEmpty():
+        known = components(links.unionByName(more))
+    return known
+
+
 def groups(
     documents: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -174,7 +305,7 @@ def groups(
     classes = sets_of.groupBy(*digest).agg(F.min("doc_id").alias("node"))
     classes = staged(classes, "classes")  # written, so that the join is free to split a hot class
     member_of = staged(
-        sets_of.join(classes, digest).select("doc_id", "node", "text_key", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands")), "members"
+        sets_of.join(classes, digest).select("doc_id", "node", "text_key", "n_shingles", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands")), "members"
     )
     first_rows = member_of.filter("bands IS NOT NULL").dropDuplicates(["doc_id", "text_key"])
     pairs = staged(_stars(first_rows), "stars")
@@ -196,7 +327,9 @@ def groups(
     )
     more = staged(_confirmed(open_pairs, sets, percent), "confirmed")
     if not more.isEmpty():
-        known = components(links.unionByName(more))
+        links = links.unionByName(more)
+        known = components(links)
+    known = _settled(first_rows, sets, links, known, percent)
     found = member_of.select("doc_id", "node").distinct().join(known, "node", "left")
     found = found.groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
     out = signed.select("doc_id", "text_key", "n_shingles").join(found, "doc_id", "left")

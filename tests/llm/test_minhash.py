@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from leadcurve.llm import minhash
@@ -52,3 +54,49 @@ def test_chain_of_links_is_one_group(spark):
     rows = [(i, " ".join(words[4 * i : 4 * i + 60])) for i in range(10)]  # neighbours share 52 of 60 shingles
     found = minhash.near_duplicates(docs(spark, rows), percent=80).collect()
     assert {r.component_id for r in found} == {0} and sum(r.kept for r in found) == 1
+
+
+def star_family(copies, seed=1, first=0, base=None):
+    """Copies with three edited words each, and their centre last: copies are like the centre, but not like each other."""
+    rng = random.Random(seed)
+    base = base or [f"w{i}" for i in range(200)]
+    rows = []
+    for c in range(copies):
+        own = list(base)
+        for at in rng.sample(range(5, 195, 5), 3):
+            own[at] = f"e{first + c}x{at}"
+        rows.append((first + c, " ".join(own)))
+    return [*rows, (first + copies, " ".join(base))]
+
+
+def test_large_group_with_its_centre_last_is_one_group(spark):
+    found = minhash.near_duplicates(docs(spark, star_family(300))).collect()
+    assert {r.component_id for r in found} == {0}
+
+
+def test_several_groups_in_shared_buckets_equal_sql(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    base = [f"w{i}" for i in range(200)]
+    other = [f"o{i}" if i % 40 == 20 else w for i, w in enumerate(base)]  # centres are below 85 %, copies often meet
+    rows = [*star_family(40, 2), *star_family(40, 3, 100, other), *star_family(40, 4, 200, other[::-1])]
+    folder = written(docs(spark, rows), tmp_path)
+    assert rows_of(QUERIES["op8_minhash"](spark, folder)) == sql_rows(ORACLE["op8_minhash"], folder)
+
+
+@pytest.mark.parametrize("cross", [False, True])
+def test_blocks_link_what_all_pairs_link(cross):
+    rng = random.Random(5)
+    sets = [sorted(rng.sample(range(40), rng.choice([20, 30, 36]))) for _ in range(60)]
+    side = np.array([cross and i % 2 == 0 for i in range(60)])
+    part = np.array([i // 3 for i in range(60)])
+
+    def joined(pairs):
+        root = part.copy()
+        for a, b in pairs:
+            root[root == root[b]] = root[a]
+        return {frozenset(np.flatnonzero(root == x).tolist()) for x in root}
+
+    block = minhash._Block(part, pa.array(sets, pa.list_(pa.int64())))
+    near = lambda a, b: 100 * len({*sets[a]} & {*sets[b]}) >= 70 * len({*sets[a]} | {*sets[b]})
+    pairs = [(a, b) for a in range(60) for b in range(a) if (not cross or side[a] != side[b]) and near(a, b)]
+    assert joined(block.links(side, cross, 70)) == joined(pairs)
