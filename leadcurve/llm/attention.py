@@ -88,7 +88,7 @@ class Windows:
 
     ``input``, ``target``: per place; ``at``: (window, place) into them; ``used``: which
     places are scored there. Every place is scored in exactly one window, after at least
-    ``OVERLAP`` others unless its sequence begins there.
+    ``overlap`` others unless its sequence begins there.
     """
 
     input: np.ndarray
@@ -98,19 +98,19 @@ class Windows:
     valid: np.ndarray
 
 
-def windows(subwords: Subwords, ids: np.ndarray, first: np.ndarray) -> Windows:
+def windows(subwords: Subwords, ids: np.ndarray, first: np.ndarray, overlap: int = OVERLAP) -> Windows:
     """``ids``: all sequences one after another, each with its end; ``first``: where each begins, and the total."""
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
     before[first[:-1]] = subwords.end
     length = np.diff(first)
-    step = WINDOW - OVERLAP
+    step = WINDOW - overlap
     count = np.where(length > WINDOW, 1 + -(-(length - WINDOW) // step), 1)
     owner = np.repeat(np.arange(len(length)), count)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     place = nth[:, None] * step + np.arange(WINDOW)
     valid = place < length[owner][:, None]
-    used = valid & ((np.arange(WINDOW) >= OVERLAP) | (nth == 0)[:, None])
+    used = valid & ((np.arange(WINDOW) >= overlap) | (nth == 0)[:, None])
     at = first[owner][:, None] + np.where(valid, place, 0)
     return Windows(subwords.input[before], ids, at, used, valid)
 

@@ -11,9 +11,8 @@ a null doc_id (as the empty text) among them. Null and empty texts hold the end
   public tokenizer's ranks. Its classes come from the counts of all training words.
   Weights are learned in ``ROUNDS`` rounds: in each, every task steps through its own
   part of the round's blocks, and the tasks' weights are averaged. Blocks of
-  ``BLOCK_CHARS`` characters are dealt to rounds by document and place; one in ``SHARE`` is
-  used, from all documents and all parts of them, so what is learned from grows with
-  the corpus.
+  ``BLOCK_CHARS`` characters are dealt to rounds by document and place. With ``SHARE`` 1
+  every block of every training document is learned from, in one of the rounds.
 * Scores take every subword of the whole text once, in overlapping windows.
 
 Rows are scored one by one, equal rows included.
@@ -40,7 +39,7 @@ from leadcurve.llm.frames import own_columns, staged
 
 FOLDS, HELD = 5, 1
 FREQUENT_WORDS = 1 << 17
-SHARE, ROUNDS, BLOCK_CHARS = 8, 2, 600
+SHARE, ROUNDS, BLOCK_CHARS = 1, 2, 600
 RATES = (0.02, 0.007)
 PIECE_BYTES = 2 << 20
 _FIXED = 1 << 20  # weights are summed as whole numbers, so that the order of tasks does not matter
@@ -186,7 +185,7 @@ def learned_weights(documents: DataFrame, tokenizer, subwords: A.Subwords, round
         def step(batches: Iterator[pa.RecordBatch], turn: int = turn, shared=shared) -> Iterator[pa.RecordBatch]:
             given, classes = shared.value
             own, learner = tokenizer(), A.Learner(given, classes, RATES[turn])
-            for batch in W.pieces(batches, size=2 * PIECE_BYTES):
+            for batch in W.pieces(batches, size=PIECE_BYTES):
                 parts = [
                     x for text, doc in zip(batch.column("text").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)
                     for x in _blocks(text, doc, turn)
@@ -198,7 +197,7 @@ def learned_weights(documents: DataFrame, tokenizer, subwords: A.Subwords, round
                 ids, first = _with_ends(ids, starts[bounds], classes.end, np.array([x for _, x in parts]))
                 some = np.append(True, np.diff(first) > 0)
                 if first[-1]:
-                    learner.learn(A.windows(classes, ids, first[some]))
+                    learner.learn(A.windows(classes, ids, first[some], overlap=0))
             if learner.places:
                 part = max(1, learner.places >> 10)
                 whole = np.round(A.flattened(learner.w).astype(np.float64) * _FIXED).astype(np.int64)

@@ -156,3 +156,18 @@ def test_blocks_are_parts_of_a_text_and_every_round_differs():
     one = [tuple(own) for turn in range(lm_scoring.ROUNDS) for own, _ in lm_scoring._blocks(text, 3, turn)]
     assert len(one) == len(set(one)) and sum(map(len, one)) < 5000 / lm_scoring.SHARE * 2
     assert [x for t in range(lm_scoring.ROUNDS) for x in lm_scoring._blocks(None, 0, t)] in ([], [([], True)])
+
+
+@pytest.mark.parametrize("length", [0, 1, 40, 599, 600, 601, 2000])
+def test_every_block_of_every_document_is_learned_from_once(length):
+    text = " ".join(f"w{i}" for i in range(length))[:length]
+    for doc in range(40):
+        found = [x for turn in range(lm_scoring.ROUNDS) for x in lm_scoring._blocks(text, doc, turn)]
+        assert Counter(w for own, _ in found for w in own) == Counter(text.encode().split())
+        assert sum(last for _, last in found) == 1
+
+
+def test_windows_without_overlap_hold_every_subword_once():
+    ids = np.append(np.arange(39) % 40, 40)
+    text = A.windows(subwords(), ids, np.array([0, 17, 40]), overlap=0)
+    assert sorted(text.at[text.valid]) == list(range(40)) and (text.valid == text.used).all()
