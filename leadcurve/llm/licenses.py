@@ -9,6 +9,10 @@ Two bounds prune without losing a match. A coefficient of at least t needs sizes
 a factor of (2 - t) / t, so a part meets only templates of its size; and it needs
 t / (2 - t) of the part's bigrams to occur in templates at all, so most parts meet none.
 
+Apart from parts, every template is sought in windows of the whole text, across lines and
+paragraphs: all windows of a fitting size that begin and end at a bigram of the template,
+which are the best ones. What they find is in columns of their own.
+
 Null and empty texts, and parts of fewer than two words, match nothing. Rows are scanned
 one by one, whatever their doc_id. Of equally good templates the first name is taken.
 """
@@ -116,8 +120,35 @@ def parts(words: W.Words, lines: W.Lines) -> Iterator[tuple[str, int, int, int]]
         yield "text", row, int(words.first[row]), int(words.first[row + 1])
 
 
-def matches_of(column: pa.Array, templates: Templates) -> list[list[tuple[float, str, str]]]:
-    """For each text its (coefficient, name, kind of part)."""
+def embedded(words: W.Words, pairs: np.ndarray, templates: Templates) -> list[dict[str, float]]:
+    """For each text the best coefficient of each licence that one of its windows matches."""
+    out: list[dict[str, float]] = [{} for _ in range(len(words.first) - 1)]
+    percent, rest = templates.percent, 200 - templates.percent
+    row = words.row[: len(pairs)]
+    at = np.flatnonzero((row == words.row[1:]) & np.isin(pairs, templates.known))
+    row, found = row[at], pairs[at]
+    place = at + row * (int(templates.sizes.max(initial=0)) * rest // percent + 1)  # no window reaches another text
+    for size, name, own in templates.own:
+        mine = np.flatnonzero(np.isin(found, np.array(list(own), dtype=np.uint64)))
+        pos = place[mine]
+        count = np.searchsorted(pos, pos + size * rest // percent) - np.arange(len(pos))
+        starts = np.flatnonzero(count * rest >= size * percent)
+        hashes, where = found[mine].tolist(), pos.tolist()
+        for i in starts.tolist():
+            left, both = dict(own), 0
+            best = out[row[mine[i]]]
+            for j in range(i, i + int(count[i])):
+                if left[hashes[j]]:
+                    left[hashes[j]] -= 1
+                    both += 1
+                    total = size + where[j] - where[i] + 1
+                    if 200 * both >= percent * total:
+                        best[name] = max(best.get(name, 0.0), 2 * both / total)
+    return out
+
+
+def matches_of(column: pa.Array, templates: Templates) -> tuple[list[list[tuple[float, str, str]]], list[dict[str, float]]]:
+    """For each text its parts' (coefficient, name, kind of part), and what is embedded in it."""
     words = W.split_words(column, lower=True, apart=_APART)
     lines = W.split_lines(words, W.text_buffer(column)[1])
     pairs = bigrams(words)
@@ -130,27 +161,35 @@ def matches_of(column: pa.Array, templates: Templates) -> list[list[tuple[float,
             best = templates.best(pairs[word : end - 1])
             if best:
                 out[row].append((*best, kind))
-    return out
+    return out, embedded(words, pairs, templates)
 
 
 def scanned(documents: DataFrame, percent: int = PERCENT, templates: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Per row: doc_id, license (of the best part, or null), score, part, n_matches and licenses (all names, sorted)."""
+    """Per row: doc_id, license (of the best part, or null), score, part, n_matches and licenses (all names, sorted).
+
+    Of the windows of the whole text: embedded (all names, sorted) and embedded_score (the best, or null).
+    """
     table = Templates(TEMPLATES if templates is None else templates, percent)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.pieces(batches):
             rows = []
-            for found in matches_of(batch.column("text"), table):
+            for found, inside in zip(*matches_of(batch.column("text"), table), strict=True):
                 score, name, kind = min(found, key=lambda x: (-x[0], x[1], x[2]), default=(None, None, None))
-                rows.append((name, score, kind, len(found), sorted({n for _, n, _ in found})))
-            name, score, kind, n, names = zip(*rows, strict=True)
+                rows.append((name, score, kind, len(found), sorted({n for _, n, _ in found}), sorted(inside), max(inside.values(), default=None)))
+            name, score, kind, n, names, inner, inner_score = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), pa.array(name, pa.string()), pa.array(score, pa.float64()), pa.array(kind, pa.string()),
                     pa.array(n, pa.int64()), pa.array(names, pa.list_(pa.string())),
+                    pa.array(inner, pa.list_(pa.string())), pa.array(inner_score, pa.float64()),
                 ],
-                ["doc_id", "license", "score", "part", "n_matches", "licenses"],
+                ["doc_id", "license", "score", "part", "n_matches", "licenses", "embedded", "embedded_score"],
             )
 
     own = own_columns(documents, doc_id="doc_id", text="text")
-    return own.mapInArrow(scan, "doc_id long, license string, score double, part string, n_matches long, licenses array<string>")
+    return own.mapInArrow(
+        scan,
+        "doc_id long, license string, score double, part string, n_matches long, licenses array<string>, "
+        "embedded array<string>, embedded_score double",
+    )

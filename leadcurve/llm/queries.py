@@ -50,7 +50,8 @@ def op8_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return licenses.scanned(_table(spark, folder, "documents")).withColumn("licenses", F.array_join("licenses", ","))
+    out = licenses.scanned(_table(spark, folder, "documents"))
+    return out.withColumns({c: F.array_join(c, ",") for c in ("licenses", "embedded")})
 
 
 def op10_multi_index_hashing(spark: SparkSession, folder: str) -> DataFrame:

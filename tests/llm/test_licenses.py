@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from leadcurve.llm import licenses
@@ -88,3 +89,35 @@ def test_size_bounds_keep_every_match():
 def test_clashing_columns(spark, tmp_path):
     df = docs(spark, [(1, "Released under the MIT License.")]).withColumnRenamed("lang", "license").withColumnRenamed("source", "score")
     assert [r.license for r in QUERIES["op9_license_scan"](spark, written(df, tmp_path)).collect()] == ["MIT"]
+
+
+def inside(texts, templates=licenses.TEMPLATES, percent=80):
+    return licenses.matches_of(pa.array(texts), licenses.Templates(templates, percent))[1]
+
+
+def test_notices_of_several_paragraphs_inside_other_text(spark):
+    apache = [t for n, t in licenses.TEMPLATES if n == "Apache-2.0"][1]
+    gpl = next(t for n, t in licenses.TEMPLATES if n == "GPL-3.0" and t.startswith("This program"))
+    cut = lambda t: "\n#\n# ".join(re.split(r"(?=You may obtain|Unless required|See the|This program is distributed)", t))
+    around = "\n\n".join(f"some code {i} that is about other things" for i in range(60))
+    texts = [f"{around}\n\n{cut(apache)}\n\n{around}", f"{around}\n{cut(gpl)}\n{around}", "Our code is free. Released under the MIT License. See docs.", around]
+    got = licenses.scanned(docs(spark, list(enumerate(texts)))).collect()
+    assert [r.embedded for r in sorted(got, key=lambda r: r.doc_id)] == [["Apache-2.0"], ["GPL-3.0"], ["MIT"], []]
+
+
+@pytest.mark.parametrize("percent", [60, 80, 100])
+def test_embedded_equals_all_windows(percent):
+    rng = random.Random(percent)
+    templates = [("a", "x y z x y"), ("b", "z z y x x y z y"), ("c", "q r")]
+    texts = [" ".join(rng.choice("xyzqr") for _ in range(rng.randrange(14))) for _ in range(80)] + [None]
+    for text, got in zip(texts, inside(texts, templates, percent), strict=True):
+        words, want = (text or "").split(), {}
+        for name, template in templates:
+            other = bigrams(template)
+            for a in range(len(words)):
+                for b in range(a + 2, len(words) + 1):
+                    own = bigrams(" ".join(words[a:b]))
+                    both, total = (own & other).total(), own.total() + other.total()
+                    if 200 * both >= percent * total:
+                        want[name] = max(want.get(name, 0), 2 * both / total)
+        assert got == want
