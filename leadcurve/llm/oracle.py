@@ -144,9 +144,128 @@ SELECT doc_id, n_lines::BIGINT AS n_lines, n_removed::BIGINT AS n_removed,
 FROM docs JOIN kept USING (rid) LEFT JOIN longest USING (rid)
 """
 
+
+
+def _crc32(value: str) -> str:
+    """The unsigned crc32 of a string of digits, bit by bit."""
+    bit = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    byte = f"list_reduce(range(8), lambda c, i: {bit}, xor(crc, b))"
+    digits = f"list_transform(string_split({value}, ''), lambda x: ord(x)::BIGINT)"
+    return f"xor(list_reduce({digits}, lambda crc, b: {byte}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _tree(name: str, nodes: str) -> str:
+    """All nodes above ``nodes`` (own, place, count, digest), and the siblings of each."""
+    run = "PARTITION BY level, own, place // 3 ORDER BY place ROWS BETWEEN"
+    return rf"""
+{name}_tree AS (
+  SELECT 0 AS level, own, place, count, digest FROM {nodes}
+  UNION ALL
+  SELECT level + 1, own, place // 3, (count + 2) // 3, sha256(string_agg(digest, '' ORDER BY place))
+  FROM {name}_tree WHERE count > 1 GROUP BY level, own, place // 3, count
+),
+{name}_sides AS (
+  SELECT level, own, place, coalesce(string_agg(digest, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(digest, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {name}_tree WHERE count > 1
+)"""
+
+
+def _climb(name: str, start: str, tree: str) -> str:
+    """The rows of ``start`` (rid, own, place, digest, proof) at each level on their way up."""
+    return rf"""
+{name} AS (
+  SELECT rid, 0 AS level, own, place, digest, proof FROM {start}
+  UNION ALL
+  SELECT rid, c.level + 1, c.own, c.place // 3, sha256(l || digest || r), proof || l || r
+  FROM {name} c JOIN {tree}_sides s ON s.level = c.level AND s.own = c.own AND s.place = c.place
+)"""
+
+
+MERKLE = rf"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, {_leaf("text")} AS leaf,
+         {_leaf("replace(text, chr(10), '')")} AS tampered, {_crc32("doc_id::VARCHAR")} AS crc FROM documents
+),
+leaves AS (
+  SELECT rid, coalesce('s' || source, '') AS own, leaf AS digest,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS place,
+         count(*) OVER (PARTITION BY source) AS count FROM docs
+),
+{_tree("lower", "leaves")},
+subroots AS (
+  SELECT '' AS own, own AS source, digest, row_number() OVER (ORDER BY encode(own)) - 1 AS place, count(*) OVER () AS count
+  FROM lower_tree WHERE count = 1
+),
+{_tree("upper", "subroots")},
+low_start AS (
+  SELECT rid, own, place, CASE WHEN crc % 2 = 0 THEN tampered ELSE leaf END AS digest, '' AS proof FROM leaves JOIN docs USING (rid)
+),
+{_climb("low_way", "low_start", "lower")},
+top_start AS (
+  SELECT rid, s.own, s.place, w.digest, proof FROM low_way w
+  JOIN (SELECT rid, max(level) AS level FROM low_way GROUP BY rid) USING (rid, level) JOIN subroots s ON s.source = w.own
+),
+{_climb("top_way", "top_start", "upper")},
+ends AS (
+  SELECT rid, digest, proof FROM top_way JOIN (SELECT rid, max(level) AS level FROM top_way GROUP BY rid) USING (rid, level)
+)
+SELECT doc_id, leaf, s.digest AS subroot, t.digest AS root, sha256(proof) AS proof_sha256, e.digest AS folded_root,
+       e.digest = t.digest AS verified
+FROM docs JOIN ends e USING (rid) JOIN leaves l USING (rid) JOIN subroots s ON s.source = l.own
+JOIN upper_tree t ON t.count = 1
+"""
+
+# every period is tried: words that are q apart and identical, in stretches without a gap
+PERIODIC = rf"""
+WITH raw AS (
+  SELECT row_number() OVER () AS rid, doc_id, {WORDS} AS words, {_crc32("doc_id::VARCHAR")} AS h FROM documents
+),
+drawn AS (SELECT *, len(words) AS n, h // 10 AS g, h % 10 = 0 AND len(words) > 0 AS changed FROM raw),
+placed AS (SELECT *, CASE WHEN changed THEN g % n END AS a FROM drawn),
+docs AS (
+  SELECT rid, doc_id, n, CASE WHEN changed
+    THEN list_transform(range(n), lambda i: words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END])
+    ELSE words END AS words
+  FROM placed
+),
+shown AS (SELECT rid, n, i, words[i + 1] AS word FROM (SELECT rid, n, words, unnest(range(n)) AS i FROM docs)),
+pairs AS (
+  SELECT x.rid, x.i, y.i - x.i AS q FROM shown x JOIN shown y ON x.rid = y.rid AND x.word = y.word
+   AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+),
+stretches AS (
+  SELECT rid, q, min(i) AS s, count(*) + q AS n
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM pairs) GROUP BY rid, q, island
+),
+runs AS (SELECT rid, s, n, min(q) AS q FROM stretches WHERE n >= greatest(6, 4 * q) GROUP BY rid, s, n),
+summed AS (
+  SELECT rid, count(*) AS n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS listed,
+         first((s, n, q) ORDER BY n DESC, s, q) AS longest FROM runs GROUP BY rid
+),
+gone AS (SELECT DISTINCT rid, unnest(range(s + q, s + n)) AS i FROM runs),
+kept AS (
+  SELECT rid, string_agg(word, ' ' ORDER BY i) AS left_text FROM shown ANTI JOIN gone USING (rid, i) GROUP BY rid
+)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, longest[1]::BIGINT AS start, longest[2]::BIGINT AS length,
+       longest[3]::BIGINT AS period, (1000 * longest[2] // longest[3])::BIGINT AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(left_text, '')) AS collapsed_sha256
+FROM docs LEFT JOIN summed USING (rid) LEFT JOIN kept USING (rid)
+"""
+
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": SUBSTRING_DEDUP,
     "op3_quality_rules": QUALITY,
     "op5_line_dedup": LINE_DEDUP,
     "op8_minhash": MINHASH,
+    "op12_merkle": MERKLE,
+    "op13_periodic_runs": PERIODIC,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadcurve.llm import ann, bpe, licenses, line_dedup, lm_scoring, minhash, packing, quality, substring_dedup, warc
+from leadcurve.llm import ann, bpe, licenses, line_dedup, lm_scoring, merkle, minhash, packing, periodic, quality, substring_dedup, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -58,6 +58,14 @@ def op10_multi_index_hashing(spark: SparkSession, folder: str) -> DataFrame:
     return ann.self_neighbours(_table(spark, folder, "embeddings"))
 
 
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.tamper_checks(_table(spark, folder, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.digests(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_warc": op2_warc,
@@ -69,4 +77,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_license_scan": op9_license_scan,
     "op10_multi_index_hashing": op10_multi_index_hashing,
+    "op12_merkle": op12_merkle,
+    "op13_periodic_runs": op13_periodic_runs,
 }
