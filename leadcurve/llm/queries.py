@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadcurve.llm import ann, bpe, licenses, line_dedup, lm_scoring, merkle, minhash, packing, periodic, quality, substring_dedup, warc
+from leadcurve.llm import ann, bpe, embedding_dedup, licenses, line_dedup, lm_scoring, merkle, minhash, packing, periodic, quality, substring_dedup, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_multi_index_hashing(spark: SparkSession, folder: str) -> DataFrame:
     return ann.self_neighbours(_table(spark, folder, "embeddings"))
 
 
+def op11_flat_graph(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, folder, "embeddings"))
+
+
 def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.tamper_checks(_table(spark, folder, "documents"))
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_license_scan": op9_license_scan,
     "op10_multi_index_hashing": op10_multi_index_hashing,
+    "op11_flat_graph": op11_flat_graph,
     "op12_merkle": op12_merkle,
     "op13_periodic_runs": op13_periodic_runs,
 }
