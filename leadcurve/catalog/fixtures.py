@@ -94,7 +94,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey AS request_id",
         "CASE o_custkey % 5 WHEN 0 THEN 'ATL' WHEN 1 THEN 'BOS' WHEN 2 THEN 'LAX'"
-        " WHEN 3 THEN 'ORD' ELSE 'XYZ' END AS origin",
+        " WHEN 3 THEN 'ORD' ELSE IF(o_custkey % 10 = 9, 'DEN', 'XYZ') END AS origin",  # no quote leaves DEN
         "CASE o_orderkey % 4 WHEN 0 THEN 'ATL' WHEN 1 THEN 'BOS' WHEN 2 THEN 'LAX'"
         " ELSE 'ORD' END AS destination",
         "DATE'2022-06-01' AS today",

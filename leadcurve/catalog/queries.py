@@ -470,9 +470,7 @@ def request_fields(spark, sf):
 
 def _lookups(spark, sf) -> tuple[DataFrame, DataFrame]:
     counts = stage(market.lookup_counts(_daily(spark, sf)), "lookup-counts")
-    # ORD routes are left to the global values
-    routes = market.route_lookups(counts).filter(~F.col("route").startswith("ORD-"))
-    return stage(routes, "routes"), stage(market.global_lookups(counts), "globals")
+    return stage(market.route_lookups(counts), "routes"), stage(market.global_lookups(counts), "globals")
 
 
 def _find_published(spark, sf) -> Callable[[DataFrame], DataFrame]:

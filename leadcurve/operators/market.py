@@ -9,7 +9,7 @@ from leadcurve.constants import CURVE_KEYS, MIN_CURVE_DAYS
 from leadcurve.functions.dates import day_of_week
 from leadcurve.functions.keys import route_key
 from leadcurve.operators import clean
-from leadcurve.operators.quantiles import weighted_quantiles
+from leadcurve.operators.quantiles import ranked_quantiles, weighted_quantiles
 
 DAILY_KEYS = ["startingAirport", "destinationAirport", "flightDate", "searchDate", "isNonStop"]
 
@@ -123,7 +123,7 @@ def lookup_counts(daily: DataFrame) -> DataFrame:
 
 def route_lookups(counts: DataFrame) -> DataFrame:
     """Per route: median distance and median best fare, for serving."""
-    medians = weighted_quantiles(counts, ["route", "measure"], "value", "n", {"median": 0.5})
+    medians = ranked_quantiles(counts, ["route", "measure"], "value", "n", {"median": 0.5})
     return medians.groupBy("route").agg(
         F.expr("max(CASE WHEN measure = 'distance' THEN median END) AS route_distance"),
         F.expr("max(CASE WHEN measure = 'fare' THEN median END) AS route_median_fare"),
@@ -131,9 +131,9 @@ def route_lookups(counts: DataFrame) -> DataFrame:
 
 
 def global_lookups(counts: DataFrame) -> DataFrame:
-    """One row with the two global medians; a window sees distinct values only."""
+    """One row with the two global medians."""
     totals = counts.groupBy("measure", "value").agg(F.sum("n").alias("n"))
-    medians = weighted_quantiles(totals, ["measure"], "value", "n", {"median": 0.5})
+    medians = ranked_quantiles(totals, ["measure"], "value", "n", {"median": 0.5})
     return medians.agg(
         F.expr("max(CASE WHEN measure = 'fare' THEN median END) AS global_median_fare"),
         F.expr("max(CASE WHEN measure = 'distance' THEN median END) AS global_median_distance"),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadcurve import constants as C
-from leadcurve.operators.quantiles import weighted_quantiles
+from leadcurve.operators.quantiles import ranked_quantiles
 from leadcurve.operators.simulate import apply_threshold
 
 # The probabilities of at most 0, 1, 2, ... draws at a mean of one; what lies beyond is below 1e-9.
@@ -39,8 +39,8 @@ def policy_rows(decisions: DataFrame) -> DataFrame:
 def summarize(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Ten figures per group of rows with ``savings`` and ``action``.
 
-    Equal savings are counted first. Savings are differences of fares below
-    $5,000, so a group shrinks to its distinct amounts before it is ranked.
+    Equal savings are counted first; the groups are few and may be large, so ranks are
+    found over ranges of amounts.
     """
     counted = rows.groupBy(*keys, "savings").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("action") == "WAIT").alias("waits")
@@ -50,7 +50,7 @@ def summarize(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     def having(condition: Column) -> Column:
         return F.sum(F.when(condition, n).otherwise(F.lit(0)))
 
-    figures = weighted_quantiles(
+    figures = ranked_quantiles(
         counted,
         keys,
         "savings",

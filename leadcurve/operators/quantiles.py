@@ -1,8 +1,10 @@
 """Exact weighted quantiles that hold no group in memory.
 
 Callers first count equal values, so a hot group arrives as its distinct values.
-A running count over the sorted values then marks the row that covers each rank;
-windows spill to disk, so memory stays bounded whatever the group's size.
+``weighted_quantiles`` is for many groups of few distinct values: a running count over
+the sorted values of a group marks the row that covers each rank. ``ranked_quantiles``
+is for groups of any size: values are dealt to ranges, the sizes of a group's ranges tell
+in which of them a rank falls, and only there values are counted on.
 """
 
 from __future__ import annotations
@@ -61,37 +63,95 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
 
 
-def global_quantiles(df: DataFrame, value: str, quantiles: Mapping[str, float]) -> DataFrame:
-    """One row with the named quantiles over all rows, without a task that sees all values.
+def _ranges(ordered: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per group and range the weight of its values, told as one row per group: an array of at most one entry per range."""
+    sizes = ordered.groupBy(*keys, "_range").agg(F.sum("_held").alias("_size"))
+    size = F.struct(F.col("_range").alias("range"), F.col("_size").alias("size"))
+    return sizes.groupBy(*keys).agg(F.sort_array(F.collect_list(size)).alias("_sizes"), F.sum("_size").alias("_total"))
+
+
+def _place(rank: Column) -> Column:
+    """The range in which a rank falls, and the weight of the ranges before it."""
+    start = F.struct(F.lit(0).cast("bigint").alias("before"), F.lit(None).cast("int").alias("range"), F.lit(0).cast("bigint").alias("skipped"))
+
+    def step(state: Column, size: Column) -> Column:
+        end = state["before"] + size["size"]
+        here = state["range"].isNull() & (rank < end)
+        return F.struct(
+            end.alias("before"),
+            F.when(here, size["range"]).otherwise(state["range"]).alias("range"),
+            F.when(here, state["before"]).otherwise(state["skipped"]).alias("skipped"),
+        )
+
+    return F.aggregate("_sizes", start, step)
+
+
+def ranked_quantiles(
+    counted: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    weight: str,
+    quantiles: Mapping[str, float],
+    extra: Sequence[Column] = (),
+) -> DataFrame:
+    """As ``weighted_quantiles``, without a task or window that sees a whole group.
 
-    Distinct values are dealt to ranges and stored with the number of their range. The
-    sizes of the ranges (one row each) tell in which of them a rank falls; counting on
-    happens inside the ranges.
+    Values are stored in ranges of key and value, so a group of a million distinct values
+    spreads over the ranges. A group's ranks are found in its ranges' sizes; then the
+    ranges that hold a rank, and no others, are ordered and counted.
     """
-    counted = value_counts(df, [], value).withColumn("_value", F.col(value).cast("double"))
-    counted = spread_by_range(counted.select("_value", "n"), "_value")
-    placed = stage(counted.withColumn("_range", F.spark_partition_id()), "value-ranges")
-    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(F.lit(0))
-    sizes = placed.groupBy("_range").agg(F.sum("n").alias("_size"))  # one row per range
-    offsets = sizes.select(
-        "_range",
-        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
-        F.sum("_size").over(everything).alias("_total"),
+    keys = list(keys)
+    held = F.expr(f"CAST(IF(`{value}` IS NULL, 0, `{weight}`) AS BIGINT)")
+    dealt = spread_by_range(counted.withColumn("_held", held), *keys, value)
+    placed = stage(dealt.withColumn("_range", F.spark_partition_id()), "value-ranges")
+    present = placed.filter(F.col("_held") > 0)
+    groups = _ranges(present, keys)
+    wanted = []
+    for name, p in quantiles.items():
+        at = F.lit(float(p)) * (F.col("_total") - 1)
+        wanted += [
+            F.struct(F.lit(f"{name} {end}").alias("pick"), rank.cast("bigint").alias("rank"), (at - F.floor(at)).alias("step"))
+            for end, rank in (("lo", F.floor(at)), ("hi", F.ceil(at)))
+        ]
+    ranks = groups.select(*keys, "_sizes", F.inline(F.array(*wanted)))
+    ranks = ranks.withColumn("_at", _place(F.col("rank"))).select(
+        *keys, F.col("_at.range").alias("_range"), F.struct("pick", (F.col("rank") - F.col("_at.skipped")).alias("rank"), "step").alias("_rank")
     )
-    inside = Window.partitionBy("_range").orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = placed.join(F.broadcast(offsets), "_range").withColumn("_end", F.col("_before") + F.sum("n").over(inside))
+    # at most two ranks per quantile and range
+    ranks = stage(ranks.groupBy(*keys, "_range").agg(F.collect_list("_rank").alias("_ranks")), "ranks")
+    asked = ranks.select(*[F.col(c).alias(f"_asked_{c}") for c in keys], F.col("_range").alias("_asked_range"), "_ranks")
+    same = F.col("_range") == F.col("_asked_range")
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_asked_{c}"))
+    inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted_on = present.join(asked, same).withColumn("_end", F.sum("_held").over(inside))
+    hit = F.filter("_ranks", lambda r: (r["rank"] < F.col("_end")) & (r["rank"] >= F.col("_end") - F.col("_held")))
+    hits = counted_on.select(*keys, F.col(value).alias("_value"), F.explode(hit).alias("_hit"))
+
+    def at(pick: str, column: Column) -> Column:
+        return F.max(F.when(F.col("_hit.pick") == pick, column))
+
+    def between(name: str) -> Column:
+        low, high = at(f"{name} lo", F.col("_value")), at(f"{name} hi", F.col("_value"))
+        return low + (high - low) * at(f"{name} lo", F.col("_hit.step"))
+
+    found = hits.groupBy(*keys).agg(*[between(name).alias(name) for name in quantiles])
+    if not extra and keys:
+        return found
+    # one row per group; groups without any value have no quantiles
+    totals = placed.groupBy(*keys).agg(*(extra or [F.lit(1).alias("_one")]))
+    both = totals.select("*", *[F.col(c).alias(f"_own_{c}") for c in keys]).drop(*keys)
+    match = F.lit(True)
+    for c in keys:
+        match = match & F.col(f"_own_{c}").eqNullSafe(F.col(c))
+    joined = both.join(found, match, "left").drop(*keys, "_one")
+    return joined.withColumnsRenamed({f"_own_{c}": c for c in keys})
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_end") - F.col("n") <= rank) & (rank < F.col("_end")), F.col("_value")))
 
-    found = []
-    for name, p in quantiles.items():
-        place = F.lit(float(p)) * (F.col("_total") - 1)
-        step = F.max(place - F.floor(place))
-        low, high = at(F.floor(place)), at(F.ceil(place))
-        found.append((low + (high - low) * step).alias(name))
-    return ends.agg(*found)
+def global_quantiles(df: DataFrame, value: str, quantiles: Mapping[str, float]) -> DataFrame:
+    """One row with the named quantiles over all rows, without a task that sees all values."""
+    counted = value_counts(df, [], value).withColumn(value, F.col(value).cast("double"))
+    return ranked_quantiles(counted, [], value, "n", quantiles)
 
 
 def exact_quantiles(

@@ -13,8 +13,8 @@ from leadcurve.functions.dates import day_of_week
 from leadcurve.functions.fares import cents
 from leadcurve.functions.keys import normalize_stops
 from leadcurve.operators.features import attach_features, departure_features
-from leadcurve.operators.scorers import Scorer
-from leadcurve.session import spread
+from leadcurve.operators.scorers import FormulaScorer, Scorer
+from leadcurve.session import spread, stage
 
 
 def _first(*cases: tuple[Column, Column | str]) -> Column:
@@ -139,13 +139,14 @@ def _serving_features(requests: DataFrame) -> DataFrame:
 def _unfolded(requests: DataFrame, pools: Column) -> DataFrame:
     """One feature row per request row, stop type (``pools``: nonstop or not) and lead day.
 
-    Rows are numbered where they are read and spread by that number, so that equal,
-    repeated or null request ids stay apart and a request's rows stay together. What the
-    flight alone decides is worked out before the lead days unfold. The request's own
-    columns travel with one of its rows only.
+    Rows are numbered, so that equal, repeated or null request ids stay apart, and stored
+    with their number: a task that is run again reads the numbers that others have seen,
+    in whatever order the rows arrived. They spread by that number, so that a request's
+    rows stay together. What the flight alone decides is worked out before the lead days
+    unfold. The request's own columns travel with one of its rows only.
     """
     given = requests.columns
-    numbered = requests.withColumn("_row", F.monotonically_increasing_id())
+    numbered = stage(requests.withColumn("_row", F.monotonically_increasing_id()), "requests")
     prepared = departure_features(_serving_features(spread(numbered, "_row")))
     days = F.explode(F.sequence(F.lit(C.MAX_LEAD_DAYS), F.lit(1)))
     rows = prepared.withColumn("_pools", pools).withColumn("is_nonstop", F.explode("_pools"))
@@ -176,13 +177,40 @@ def _gathered(scored: DataFrame, value: str) -> DataFrame:
     return gathered.select("about.*", "values")
 
 
+def _every_day(fare: Callable[[Column], Column]) -> Column:
+    """Points of the lead days from the largest to 1, with the fare of each."""
+    days = F.sequence(F.lit(C.MAX_LEAD_DAYS), F.lit(1), F.lit(-1))
+    return F.transform(days, lambda day: F.struct(day.alias("day"), fare(day).alias("fare")))
+
+
+def _curve_in_row(requests: DataFrame, scorer: FormulaScorer) -> DataFrame:
+    """``curve_points`` of a formula: every lead day of a request inside its row, nothing unfolds or moves."""
+    left, price, stops = F.col("days_left"), F.col("pin_price"), F.col("stops")
+
+    def base(nonstop: bool) -> Column:
+        today = scorer.at(left, left, F.lit(nonstop))
+        return F.when(left.between(1, C.MAX_LEAD_DAYS) & (today > 0), today).otherwise(F.lit(1.0))
+
+    based = requests.withColumns({"_base_nonstop": base(True), "_base_connecting": base(False)})
+
+    def fare(day: Column) -> Column:
+        direct = scorer.at(day, left, F.lit(True)) / F.col("_base_nonstop") * price
+        via = scorer.at(day, left, F.lit(False)) / F.col("_base_connecting") * price
+        return F.when(stops == "nonstop", direct).when(stops == "connecting", via).otherwise(F.least(via, direct))
+
+    return based.select(*requests.columns, _every_day(fare).alias("points"))
+
+
 def curve_points(requests: DataFrame, scorer: Scorer) -> DataFrame:
     """Requests with ``points``: the predicted fare of each of the 60 lead days, largest day first.
 
-    A request for one stop type is scored for that one, a request for both for both, all
-    in one pass of the scorer. Each stop type then costs the pinned fare today, and the
-    cheaper one of each day is the curve of a request for both.
+    A formula is worked out inside the request's row. For another scorer a request for one
+    stop type is unfolded for that one, a request for both for both, and scored in one
+    pass. Each stop type costs the pinned fare today, and the cheaper one of each day is
+    the curve of a request for both.
     """
+    if isinstance(scorer, FormulaScorer):
+        return _curve_in_row(requests, scorer)
     both, stops = F.array(F.lit(False), F.lit(True)), F.col("stops")
     pools = F.when(stops == "nonstop", F.array(F.lit(True))).when(stops == "connecting", F.array(F.lit(False)))
     gathered = _gathered(scorer(_unfolded(requests, pools.otherwise(both))), "predicted_relative")
@@ -210,6 +238,9 @@ def curve_points(requests: DataFrame, scorer: Scorer) -> DataFrame:
 
 def absolute_curve_points(requests: DataFrame, scorer: Scorer) -> DataFrame:
     """Curves of a model that predicts dollars (``predicted_fare``): one pool, no pinning."""
+    if isinstance(scorer, FormulaScorer):
+        points = _every_day(lambda day: scorer.at(day, F.col("days_left"), F.lit(False)))
+        return requests.select(*requests.columns, points.alias("points"))
     gathered = _gathered(scorer(_unfolded(requests, F.array(F.lit(False)))), "predicted_fare")
     points = F.transform("values", lambda v: F.struct(v["day"].alias("day"), v["value"].alias("fare")))
     return gathered.select(*requests.columns, points.alias("points"))

@@ -170,3 +170,55 @@ def test_each_stop_type_is_scored_once(spark):
     pinned = recommend.pin_prices(recommend.validate_requests(requests), *lookups(spark))
     recommend.curve_points(pinned, counting).collect()
     assert len(seen) == 1 and seen[0].count() == 180
+
+
+def many(spark, n=400):
+    """Requests of all stop types and lead days, with repeated and null ids, in no order."""
+    ends = [("ATL", "LAX"), ("LAX", "BOS"), ("BOS", "ATL")]
+    rows = [
+        (None if i % 7 == 0 else i % 90, *ends[i % 3], TODAY, TODAY + timedelta(days=1 + i % 60), 100.0 + i if i % 4 else None, ["all", "stop", "nonstop"][i % 3])
+        for i in range(n)
+    ]
+    return spark.createDataFrame(rows, SCHEMA).repartition(7, F.rand(3))
+
+
+def answers(spark, requests, scorer):
+    rows = recommend.recommend_requests(requests, scorer, *lookups(spark)).collect()
+    return sorted((str(r.request_id), r.origin, r.days_left, r.status, r.current_price, r.best_day, r.message, tuple(p.predicted_fare for p in r.curve)) for r in rows)
+
+
+@pytest.mark.parametrize("formula", [scorers.by_stop, scorers.drift, scorers.dip])
+def test_curves_in_the_row_equal_unfolded_ones(spark, formula):
+    requests = many(spark)
+    opaque = lambda rows: formula()(rows)
+    inside, unfolded = answers(spark, requests, formula()), answers(spark, requests, opaque)
+    assert len(inside) == 400
+    for a, b in zip(inside, unfolded, strict=True):
+        assert a[:4] == b[:4] and a[4] == pytest.approx(b[4]) and a[7] == pytest.approx(b[7], abs=0.011)
+
+
+def test_formulas_move_no_request(spark):
+    pinned = recommend.pin_prices(recommend.validate_requests(many(spark)), *lookups(spark))
+    before = pinned._jdf.queryExecution().optimizedPlan().toString()
+    after = recommend.curve_points(pinned, scorers.by_stop())._jdf.queryExecution().optimizedPlan().toString()
+    for step in ("Generate", "Aggregate", "Repartition"):
+        assert after.count(step) == before.count(step)
+
+
+def test_row_numbers_are_stored_before_rows_move(spark):
+    """A model's requests are read back with their numbers, so that a repeated task cannot number them otherwise."""
+    pinned = recommend.pin_prices(recommend.validate_requests(many(spark)), *lookups(spark))
+    rows = recommend._unfolded(pinned, F.array(F.lit(False)))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "monotonically_increasing_id" not in plan and "parquet" in plan
+    assert rows.select("_row").distinct().count() == 400 and rows.count() == 400 * 60
+    again = answers(spark, many(spark), lambda r: scorers.dip()(r))
+    assert again == answers(spark, many(spark).repartition(3), lambda r: scorers.dip()(r))
+
+
+def test_dollar_formula_equals_unfolded_one(spark):
+    requests = recommend.pin_prices(recommend.validate_requests(many(spark, 40)), *lookups(spark))
+    score = scorers.dollars()
+    both = [recommend.predict_curves(requests, s, absolute=True) for s in (score, lambda rows: score(rows))]
+    found = [sorted((str(r.request_id), r.origin, r.days_left, tuple(map(tuple, r.points))) for r in df.collect()) for df in both]
+    assert found[0] == found[1]
