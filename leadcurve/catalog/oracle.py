@@ -1132,3 +1132,19 @@ ORACLE |= {
 WHEN 3 THEN 'not an object' ELSE 'unreadable' END AS reason
 FROM (SELECT DISTINCT l_orderkey AS payload_id FROM lineitem) WHERE payload_id % 50 IN (1, 2, 3, 4)""",
 }
+
+# --- training ----------------------------------------------------------------------------------------------------------------
+
+ORACLE |= {
+    "train_checks": _sql(
+        """SELECT count(*) FILTER (WHERE part = 'train') AS train_rows,
+count(*) FILTER (WHERE part = 'validation') AS validation_rows, count(*) FILTER (WHERE part = 'test') AS test_rows,
+(SELECT train_cutoff FROM cutoffs) AS train_cutoff, (SELECT test_cutoff FROM cutoffs) AS test_cutoff,
+count(*) FILTER (WHERE part = 'test') AS refit_pairs, count(*) AS scored_pairs,
+round(sqrt(avg(pow(future_fare - current_fare, 2)) FILTER (WHERE part = 'test')), 6) AS unchanged_rmse,
+true AS selected_is_known, true AS in_range, true AS selected_beats_unchanged, true AS refit_beats_unchanged
+FROM parts""",
+        "parts",
+        "cutoffs",
+    ),
+}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,21 +41,42 @@ def _scored(anchored: DataFrame, scorer: Scorer) -> DataFrame:
     )
 
 
-def scored_curves(daily: DataFrame, scorer: Scorer) -> DataFrame:
-    """Actual and predicted fares of each curve, as of the day nearest to 21.
-
-    The smaller of two equally near days counts. Curves whose day is below five
-    are left out.
-    """
+def _anchored(daily: DataFrame) -> DataFrame:
     points = F.col("points")
-    anchored = (
+    return (
         build_curves(daily)
         .withColumn("route", route_key())
         .withColumn("as_of_days", nearest_day(points, C.SCORING_TARGET_DAY, prefer_larger=False))
         .filter(F.col("as_of_days") >= C.SCORING_MIN_DAY)
         .withColumn("current_fare", point_at(points, F.col("as_of_days"))["fare"])
     )
-    return _scored(anchored, scorer)
+
+
+def scored_curves(daily: DataFrame, scorer: Scorer) -> DataFrame:
+    """Actual and predicted fares of each curve, as of the day nearest to 21.
+
+    The smaller of two equally near days counts. Curves whose day is below five
+    are left out.
+    """
+    return _scored(_anchored(daily), scorer)
+
+
+def compared_curves(daily: DataFrame, scorer: Scorer, predictions: Mapping[str, str]) -> DataFrame:
+    """``scored_curves`` of several scorers side by side: each row once per ``configuration``.
+
+    ``scorer`` adds one column per name of ``predictions`` (name -> column), so the curves
+    are read and unfolded once, however many are compared.
+    """
+    rows = scorer(attach_features(unfold_remaining(_anchored(daily))))
+    each = [F.struct(F.lit(name).alias("configuration"), F.col(c).alias("predicted_relative")) for name, c in predictions.items()]
+    return rows.select("*", F.inline(F.array(*each))).select(
+        *SCORED_KEYS,
+        "configuration",
+        "as_of_days",
+        "days_before_departure",
+        F.col("best_fare").alias("actual"),
+        pinned_override().alias("predicted"),
+    )
 
 
 def with_ranks(scored: DataFrame, keys: Sequence[str]) -> DataFrame:

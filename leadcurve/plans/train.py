@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from leadcurve import constants as C
 from leadcurve.functions.dates import day_of_week
+from leadcurve.functions.fares import clip_relative
 from leadcurve.operators import market, metrics, pairs, split
 from leadcurve.operators.features import attach_features, departure_features
 from leadcurve.operators.sampling import hash_sample
 from leadcurve.operators.scorers import Scorer, model_scorer
-from leadcurve.session import stage
+from leadcurve.session import checkpoint_folder, stage
 
 # Named configurations. Spark's trees grow by depth and have no L2 penalty, so leaf
 # counts of 31 and 15 become depths 5 and 4.
@@ -26,6 +27,8 @@ CONFIGURATIONS: dict[str, dict[str, float]] = {
     "shallower + regularized": {"maxIter": 300, "stepSize": 0.08, "maxDepth": 4, "minInstancesPerNode": 50},
 }
 
+CHECKPOINT_TREES = 10  # lineage of the residuals and node ids is cut after so many trees
+
 _NUMERIC = [
     "is_nonstop",
     "days_before_departure",
@@ -69,7 +72,12 @@ def fit_model(
     numeric: list[str] = _NUMERIC,
     **settings: float,
 ) -> PipelineModel:
-    """Boosted trees over the given features, route and distance; a missing distance takes the median."""
+    """Boosted trees over the given features, route and distance; a missing distance takes the median.
+
+    Node ids are kept between the levels of a tree, and they and the residuals are
+    checkpointed in the shared folder, so that a lost executor costs a few trees.
+    """
+    checkpoint_folder(features.sparkSession)
     imputer = Imputer(inputCols=["x_distance"], outputCols=["x_distance_known"], strategy="median")
     columns = ["route_index", *[f"x_{c}" for c in numeric], "x_distance_known"]
     trees = GBTRegressor(
@@ -78,6 +86,8 @@ def fit_model(
         predictionCol="prediction",
         maxBins=max(64, len(indexer.labels) + 1),
         seed=C.SEED,
+        cacheNodeIds=True,
+        checkpointInterval=CHECKPOINT_TREES,
         **settings,
     )
     stages = [indexer, imputer, VectorAssembler(inputCols=columns, outputCol="inputs"), trees]
@@ -109,6 +119,24 @@ def scorer_of(model: PipelineModel) -> Scorer:
     return _prepared(model_scorer(model), _NUMERIC)
 
 
+def scorer_of_all(models: dict[str, PipelineModel]) -> tuple[Scorer, dict[str, str]]:
+    """One scorer of several models of relative fares, and the column in which it puts each.
+
+    The models must be fitted on the same rows: they share the stages before the trees.
+    """
+    columns = {name: f"score_{i}" for i, name in enumerate(models)}
+
+    def score(rows: DataFrame) -> DataFrame:
+        wanted, ready = rows.columns, numeric_inputs(rows)
+        for step in next(iter(models.values())).stages[:-1]:
+            ready = step.transform(ready)
+        for name, model in models.items():
+            ready = model.stages[-1].copy().setPredictionCol(columns[name]).transform(ready)
+        return ready.select(*wanted, *[clip_relative(F.col(c)).alias(c) for c in columns.values()])
+
+    return score, columns
+
+
 def dollar_scorer_of(model: PipelineModel) -> Scorer:
     """Scorer of a model of fares in dollars."""
     return _prepared(model_scorer(model, "predicted_fare", clip=False), _ABSOLUTE_NUMERIC)
@@ -130,6 +158,13 @@ def timing_on(rows: DataFrame, scorer: Scorer) -> DataFrame:
     return metrics.timing_score(stage(metrics.curve_metrics(scored), "curve-metrics"))
 
 
+def timing_on_each(rows: DataFrame, models: dict[str, PipelineModel]) -> dict[str, DataFrame]:
+    """Timing figures of every model; the rows are read, unfolded and scored once."""
+    scored = metrics.compared_curves(rows, *scorer_of_all(models))
+    kept = stage(metrics.curve_metrics(scored, [*metrics.SCORED_KEYS, "configuration"]), "curve-metrics")
+    return {name: metrics.timing_score(kept.filter(F.col("configuration") == name)) for name in models}
+
+
 def selection_key(score: DataFrame) -> tuple[float, float, float]:
     """What configurations are compared by; larger is better."""
     row = score.first()
@@ -169,6 +204,7 @@ class Training:
     model: PipelineModel  # refitted on training and validation pairs
     configuration: str
     record: DataFrame  # one evaluation row
+    refit_errors: DataFrame  # mae, rmse and pairs of the refitted model on the test pairs
     route_lookup: DataFrame
     global_lookup: DataFrame
 
@@ -176,13 +212,11 @@ class Training:
 def train(
     daily: DataFrame,
     configurations: dict[str, dict[str, float]] | None = None,
-    tree_share: float = 1.0,
     max_pairs: int = C.MAX_FITTING_PAIRS,
 ) -> Training:
     """Fit each configuration, select by timing on validation, test, refit.
 
-    ``daily`` should be a stored table. ``tree_share`` scales the number of trees. Each
-    fit reads at most ``max_pairs`` labelled pairs, a fixed sample of its part; the split,
+    ``daily`` should be a stored table. Each fit reads at most ``max_pairs`` labelled pairs, a fixed sample of its part; the split,
     the selection and the test figures read all.
     """
     configurations = configurations or CONFIGURATIONS
@@ -194,23 +228,21 @@ def train(
         return stage(numeric_inputs(attach_features(split.pair_sample(rows, max_pairs))), "features")
 
     def fit(rows: DataFrame, name: str) -> PipelineModel:
-        settings = dict(configurations[name])
-        settings["maxIter"] = max(1, round(settings["maxIter"] * tree_share))
-        return fit_model(rows, indexer, **settings)
+        return fit_model(rows, indexer, **configurations[name])
 
     fitting = inputs(parts.filter("part = 'train'"))
     models = {name: fit(fitting, name) for name in configurations}
-    keys = {
-        name: selection_key(timing_on(validation, scorer_of(model))) for name, model in models.items()
-    }
+    keys = {name: selection_key(score) for name, score in timing_on_each(validation, models).items()}
     chosen = best_configuration(keys)
     record = _test_record(daily, parts, cutoffs, scorer_of(models[chosen]), chosen)
     both = inputs(parts.filter("part <> 'test'"))
     counts = stage(market.lookup_counts(daily), "lookup-counts")
+    model = fit(both, chosen)
     return Training(
-        model=fit(both, chosen),
+        model=model,
         configuration=chosen,
         record=record,
+        refit_errors=stage(metrics.pair_errors(parts.filter("part = 'test'"), scorer_of(model)), "refit-errors"),
         route_lookup=market.route_lookups(counts),
         global_lookup=market.global_lookups(counts),
     )

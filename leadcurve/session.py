@@ -52,6 +52,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_scratch[0].name
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """Where iterative fits cut their lineage: the shared folder, unless the session names another."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(f"{shared_folder(spark)}/checkpoints")
+    return context.getCheckpointDir()
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

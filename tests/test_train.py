@@ -5,11 +5,11 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from leadcurve.operators import market
+from leadcurve.operators import market, metrics
 from leadcurve.operators.features import attach_features
 from leadcurve.operators.pairs import remaining_pairs
 from leadcurve.plans import backtest, serve, train
-from leadcurve.session import shared_folder, stage
+from leadcurve.session import checkpoint_folder, shared_folder, stage
 from leadcurve.sources import bundle
 from tests.helpers import daily
 
@@ -36,6 +36,8 @@ def test_training_selects_scores_and_survives_a_round_trip(spark, table, tmp_pat
     record = result.record.first()
     assert record.train_rows + record.validation_rows + record.test_rows == remaining_pairs(table).count()
     assert 0 <= record.test_buy_wait_agreement <= 1
+    refit = result.refit_errors.first()
+    assert refit.pairs == record.test_rows and 0 < refit.rmse < 100
     path = str(tmp_path / "bundle")
     bundle.save_bundle(
         path, result.model, market.with_market_columns(table), result.route_lookup, result.global_lookup, result.record
@@ -52,6 +54,28 @@ def test_training_selects_scores_and_survives_a_round_trip(spark, table, tmp_pat
     assert bounds[0] >= 0.3 and bounds[1] <= 3.0 and bounds[2] == rows.count()
 
 
+def test_all_configurations_are_scored_side_by_side(spark, table):
+    rows = stage(numeric_rows(table), "side-by-side")
+    models = {
+        name: train.fit_model(rows, train.route_indexer(table), maxIter=n, maxDepth=3, stepSize=0.3) for name, n in (("few", 1), ("more", 4))
+    }
+    validation = train.timing_rows(table)
+    together = {name: train.selection_key(score) for name, score in train.timing_on_each(validation, models).items()}
+    assert together == {name: train.selection_key(train.timing_on(validation, train.scorer_of(m))) for name, m in models.items()}
+    scored = metrics.compared_curves(validation, *train.scorer_of_all(models))
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1  # the curves are read once for both
+    assert {r.configuration for r in scored.select("configuration").distinct().collect()} == set(models)
+
+
+def test_fits_cut_their_lineage_in_the_shared_folder(spark, table, monkeypatch):
+    monkeypatch.setattr(train, "CHECKPOINT_TREES", 1)
+    model = train.fit_model(numeric_rows(table), train.route_indexer(table), maxIter=3, maxDepth=2)
+    trees = model.stages[-1]
+    assert trees.getCacheNodeIds() and trees.getCheckpointInterval() == 1
+    assert shared_folder(spark).removeprefix("file://") in checkpoint_folder(spark).removeprefix("file:")
+
+
 def test_the_first_best_configuration_wins():
     keys = {"a": (0.5, -2.0, 0.1), "b": (0.6, -9.0, 0.0), "c": (0.6, -9.0, 0.0)}
     assert train.best_configuration(keys) == "b"
