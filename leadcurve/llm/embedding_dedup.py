@@ -220,10 +220,7 @@ class Shard:
         where = np.array(flat.field("home").to_pylist(), dtype=object)
         out = where != home
         place = np.searchsorted(self.node, to[~out])
-        own = of[~out]
-        edges = np.full((len(self.node), max(int(np.bincount(own, minlength=1).max()), 1)), -1, dtype=np.int64)
-        edges[own, np.arange(len(own)) - np.searchsorted(own, own)] = place
-        self.graph = flatgraph.Graph(_unit(_matrix(table.column("vector"))), edges)
+        self.graph = flatgraph.United(_unit(_matrix(table.column("vector"))), of[~out], place)
         self.start = self.graph.medoid()
         self.met = np.zeros((len(self.node), len(self.node)), dtype=bool)  # which class met which, both at home here
         self.asked = np.zeros(len(self.node), dtype=bool)
@@ -242,13 +239,29 @@ class Shard:
         """Rows met at home; what only one of two classes met counts for both."""
         return (self.met | self.met.T) @ self.weight
 
-    def onward(self, pool: flatgraph.Pool, reach: float) -> tuple[np.ndarray, np.ndarray]:
-        """(point, edge out) of what was found, where the edge's end may be in reach of the point."""
-        count = np.diff(self.out_first)[pool.vector]
-        edge = np.repeat(self.out_first[pool.vector], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        limit = np.repeat(np.arccos(np.clip(pool.sim, -1, 1)), count) + np.arccos(reach) + 1e-7
-        some = self.out_angle[edge] <= limit
-        return np.repeat(pool.point, count)[some], edge[some]
+    def onward(self, pool: flatgraph.Pool, reach: float) -> np.ndarray:
+        """(point, edge out) of what was found, where the edge's end may be in reach of the point.
+
+        One edge per point and end. Found rows are followed in parts of bounded size.
+        """
+        found = [np.zeros((2, 0), dtype=np.int64)]
+        first, count = self.out_first[pool.vector], np.diff(self.out_first)[pool.vector]
+        limit = np.arccos(np.clip(pool.sim, -1, 1)) + np.arccos(reach) + 1e-7
+        part = np.cumsum(count) // flatgraph.STEP_EDGES
+        for lo, hi in zip(*(np.searchsorted(part, np.unique(part), side) for side in ("left", "right")), strict=True):
+            n = count[lo:hi]
+            edge = np.repeat(first[lo:hi] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            some = self.out_angle[edge] <= np.repeat(limit[lo:hi], n)
+            found.append(self._once(np.stack([np.repeat(pool.point[lo:hi], n)[some], edge[some]])))
+        return self._once(np.concatenate(found, axis=1))
+
+    def _once(self, pairs: np.ndarray) -> np.ndarray:
+        node = self.out_node[pairs[1]]
+        order = np.lexsort((pairs[1], node, pairs[0]))
+        pairs, node = pairs[:, order], node[order]
+        new = np.ones(len(node), dtype=bool)
+        new[1:] = (node[1:] != node[:-1]) | (pairs[0, 1:] != pairs[0, :-1])
+        return pairs[:, new]
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -299,10 +312,7 @@ def _answers(batches: Iterator[pa.RecordBatch], beam: int, reach: float) -> Iter
         yield rows(ends, other=least)
         point, edge = shard.onward(pool, reach)
         if len(point):
-            node = shard.out_node[edge]
-            once = np.unique(np.stack([point, node, edge]), axis=1)
-            once = once[:, np.append(True, (once[:2, 1:] != once[:2, :-1]).any(axis=0))]
-            yield rows(query[once[0]], shard.out_home[once[2]].tolist(), entry=once[1])
+            yield rows(query[point], shard.out_home[edge].tolist(), entry=shard.out_node[edge])
 
     for cell, own in _cells(batches, "cell"):
         nodes, asked, shard = [], [], None

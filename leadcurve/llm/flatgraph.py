@@ -14,6 +14,7 @@ DEGREE, BEAM = 24, 40
 STEPS = ((1.0, 40), (1.2, 40))  # passes of building: alpha of pruning, beam
 BATCH = 256
 WIDTH = 4  # vectors of a beam that are expanded at once
+STEP_EDGES = 1 << 18  # edges that one step of a search follows; what is left waits for the next
 CANDIDATES = 96  # nearest visited vectors that pruning chooses from
 
 
@@ -25,6 +26,31 @@ class Graph:
     def medoid(self) -> int:
         return int(np.argmax(self.vectors @ self.vectors.sum(axis=0)))
 
+    def degrees(self, vectors: np.ndarray) -> np.ndarray:
+        return (self.edges[vectors] >= 0).sum(axis=1)
+
+    def ends(self, vectors: np.ndarray) -> np.ndarray:
+        """The ends of the vectors' edges, one vector after the other."""
+        ends = self.edges[vectors].ravel()
+        return ends[ends >= 0]
+
+
+class United:
+    """The same for lists of any length: vector i's edges are ``to[first[i] : first[i + 1]]``."""
+
+    def __init__(self, vectors: np.ndarray, of: np.ndarray, to: np.ndarray):
+        self.vectors, self.to = vectors, to
+        self.first = np.searchsorted(of, np.arange(len(vectors) + 1))
+
+    medoid = Graph.medoid
+
+    def degrees(self, vectors: np.ndarray) -> np.ndarray:
+        return self.first[vectors + 1] - self.first[vectors]
+
+    def ends(self, vectors: np.ndarray) -> np.ndarray:
+        count = self.degrees(vectors)
+        return self.to[np.repeat(self.first[vectors] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+
 
 @dataclass
 class Pool:
@@ -48,7 +74,7 @@ def _sorted(pool: Pool) -> Pool:
     return pool[np.lexsort((pool.vector, -pool.sim, pool.point))]
 
 
-def search(graph: Graph, points: np.ndarray, point: np.ndarray, vector: np.ndarray, beam: int = BEAM, reach: float = np.inf) -> Pool:
+def search(graph: Graph | United, points: np.ndarray, point: np.ndarray, vector: np.ndarray, beam: int = BEAM, reach: float = np.inf) -> Pool:
     """Greedy search from the entries (point, vector), range-expanding.
 
     A point's open vectors are expanded best first while they are among its ``beam`` best;
@@ -79,10 +105,11 @@ def search(graph: Graph, points: np.ndarray, point: np.ndarray, vector: np.ndarr
         chosen = open_[(_rank(pool.point[open_]) < WIDTH) | near[open_]]
         if not len(chosen):
             return pool
+        count = graph.degrees(pool.vector[chosen])
+        some = max(1, int(np.searchsorted(np.cumsum(count), STEP_EDGES, side="right")))
+        chosen, count = chosen[:some], count[:some]
         pool.done[chosen] = True
-        point = np.repeat(pool.point[chosen], graph.edges.shape[1])
-        vector = graph.edges[pool.vector[chosen]].ravel()
-        point, vector = point[vector >= 0], vector[vector >= 0]
+        point, vector = np.repeat(pool.point[chosen], count), graph.ends(pool.vector[chosen])
 
 
 def _padded(row: np.ndarray, value: np.ndarray, rows: int, width: int) -> np.ndarray:
