@@ -90,6 +90,21 @@ def offers_all_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _offers(spark, sf_dir).selectExpr(*others, seats)
 
 
+def offers_csv(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """A CSV table of quotes at ``path``: some lines are cut short, too long or have an open quote."""
+    names = ("searchDate", "flightDate", "startingAirport", "destinationAirport", "totalFare", "isNonStop",
+             "seatsRemaining", "totalTravelDistance", "isBasicEconomy")
+    values = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]
+    whole, cut = F.concat_ws(",", *values), F.concat_ws(",", *values[:6])
+    key = F.col("l_partkey")
+    line = F.when(key % 61 == 0, cut).when(key % 59 == 0, F.concat(whole, F.lit(",more"))).when(
+        key % 53 == 0, F.concat(F.lit('"'), whole)
+    ).otherwise(whole)
+    # one text column whose name is the header line
+    writer = _offers(spark, sf_dir).select(line.alias(",".join(names))).write.option("header", True)
+    writer.option("sep", "\u0001").option("quote", "").mode("overwrite").csv(path)
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey AS request_id",

@@ -1148,3 +1148,64 @@ FROM parts""",
         "cutoffs",
     ),
 }
+
+# --- files and stored bundles ------------------------------------------------------------------------------------------------
+
+_CSV_FAULT = """CASE WHEN l_partkey % 61 = 0 THEN 'short' WHEN l_partkey % 59 = 0 THEN 'long'
+  WHEN l_partkey % 53 = 0 THEN 'open quote' END"""
+_CSV_FIELDS = [
+    f"coalesce(CAST({c} AS VARCHAR), '')"
+    for c in ("searchDate", "flightDate", "startingAirport", "destinationAirport", "totalFare", "isNonStop",
+              "seatsRemaining", "totalTravelDistance", "isBasicEconomy")
+]
+_fragment("offers_csv", "offers_keyed", sql=f"SELECT *, {_CSV_FAULT} AS fault FROM offers_keyed")
+_fragment("offers_fitting", "offers_csv", sql="SELECT * EXCLUDE (l_partkey, fault) FROM offers_csv WHERE fault IS NULL")
+_fragment("clean_csv", "offers_fitting", sql=_clean("offers_fitting", "flightDate > searchDate", True))
+_served = """SELECT p.*, w.* EXCLUDE (request_id), pin_price - best_price AS savings,
+  best_day = days_left OR pin_price - best_price < 8 AS buy, flight_date - CAST(window_start_days AS INTEGER) AS buy_window_start,
+  flight_date - CAST(window_end_days AS INTEGER) AS buy_window_end, flight_date - CAST(best_day AS INTEGER) AS best_date
+  FROM pinned p JOIN dip_windows w USING (request_id)"""
+ORACLE |= {
+    "csv_clean": _sql("SELECT * FROM clean_csv", "clean_csv"),
+    "csv_rejects": _sql(
+        f"""SELECT fault AS reason, count(*) AS lines,
+sum(len(CASE fault WHEN 'short' THEN {" || ',' || ".join(_CSV_FIELDS[:6])}
+  WHEN 'long' THEN {" || ',' || ".join(_CSV_FIELDS)} || ',more' ELSE '"' || {" || ',' || ".join(_CSV_FIELDS)} END))::BIGINT
+  AS characters,
+(SELECT count(*) FROM offers_csv WHERE fault IS NOT NULL) AS broken_lines,
+(SELECT count(*) FROM offers_fitting) AS input_rows, (SELECT count(*) FROM clean_csv) AS accepted_rows
+FROM offers_csv WHERE fault IS NOT NULL GROUP BY fault""",
+        "clean_csv",
+    ),
+    "month_refresh": _sql(
+        """SELECT route, flightDate, isNonStop, days_before_departure,
+best_fare + CASE WHEN month(flightDate) IN (6, 7) THEN 1 ELSE 0 END AS best_fare, offers_observed
+FROM daily WHERE flightDate BETWEEN DATE '2022-05-01' AND DATE '2022-07-31'""",
+        "daily",
+    ),
+    "bundle_answers": _sql(
+        f"""WITH d AS ({_served}),
+t AS (SELECT request_id, round(sum(round_even(fare * 100, 0) / 100), 2) AS curve_total FROM dip_curves GROUP BY request_id)
+SELECT request_id, CASE WHEN buy THEN 'buy_now' ELSE 'wait' END AS status,
+  CASE WHEN current_price IS NULL THEN 'model' ELSE 'user' END AS price_source,
+  round_even(pin_price * 100, 0) / 100 AS current_price,
+  CASE WHEN NOT buy THEN round_even(best_price * 100, 0) / 100 END AS expected_best_price,
+  CASE WHEN NOT buy THEN round_even(savings * 100, 0) / 100 END AS expected_savings,
+  CASE WHEN NOT buy THEN CAST(days_left - best_day AS INTEGER) END AS wait_days, CAST(best_day AS INTEGER) AS best_day,
+  CAST(window_start_days AS INTEGER) AS buy_window_start_days, CAST(window_end_days AS INTEGER) AS buy_window_end_days,
+  CASE WHEN buy THEN 'Buy ' || {_WHEN} || {_text(C.MSG_BUY_TAIL)}
+    ELSE 'Wait, then buy ' || {_WHEN} || '. Lowest predicted fare is around ' || {_best} ||
+      '. You could save around $' || printf('%.2f', round_even(savings * 100, 0) / 100) || ' by waiting.' END AS message,
+  curve_total
+FROM d JOIN t USING (request_id)
+UNION ALL BY NAME SELECT request_id, status, message FROM checked WHERE status <> 'ok'""",
+        "dip_windows",
+        "checked",
+    ),
+    "absolute_curve": _sql(
+        """SELECT request_id, 120e0 + 2.5e0 * abs(days_left - 10) AS current_price,
+CAST(day AS INTEGER) AS days_before_departure, 120e0 + 2.5e0 * abs(day - 10) AS predicted_fare
+FROM usable, (SELECT unnest(range(1, 61)) AS day)""",
+        "usable",
+    ),
+}

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +27,8 @@ from leadcurve.operators import (
     split,
 )
 from leadcurve.operators.features import attach_features
-from leadcurve.session import stage
+from leadcurve.session import shared_folder, stage
+from leadcurve.sources import bundle, offers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -122,6 +126,51 @@ def stop_collapse(spark, sf):
     return market.stop_collapse(_daily(spark, sf))
 
 
+# --- files -------------------------------------------------------------------------------
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def csv_clean(spark, sf):
+    """Cleaned quotes of a CSV table in which some lines are broken."""
+    path = _folder(spark, "quotes")
+    fx.offers_csv(spark, sf, path)
+    return clean.clean_offers(offers.load_offers(spark, path, "csv"))
+
+
+@query
+def csv_rejects(spark, sf):
+    """Ingest of that table: rejected lines by reason, beside the counts of its profile."""
+    from leadcurve.plans.ingest import ingest
+
+    path, out, rejects = (_folder(spark, name) for name in ("quotes", "clean", "rejects"))
+    fx.offers_csv(spark, sf, path)
+    profile = stage(ingest(spark, path, out, rejects_path=rejects, fmt="csv"), "profile")
+    counts = [profile.select(c).scalar().alias(c) for c in ("broken_lines", "input_rows", "accepted_rows")]
+    by_reason = spark.read.parquet(rejects).groupBy("reason").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("characters")
+    )
+    return by_reason.select("*", *counts)
+
+
+@query
+def month_refresh(spark, sf):
+    """A stored market of which two flight months are written anew, twice; three months are read back."""
+    path = _folder(spark, "months")
+    daily = stage(_daily(spark, sf), "daily")
+    sinks.write_market(daily, path)
+    later = daily.filter(F.col("flightDate").between("2022-06-01", "2022-07-31"))
+    for _ in range(2):
+        sinks.refresh_months(later.withColumn("best_fare", F.col("best_fare") + 1), path)
+    rows = sinks.read_months(spark, path, "2022-05", "2022-07")
+    return rows.select(
+        route_key().alias("route"), "flightDate", "isNonStop", "days_before_departure", "best_fare", "offers_observed"
+    )
+
+
 # --- exploration ---------------------------------------------------------------------
 
 
@@ -549,6 +598,36 @@ def recommendations(spark, sf):
     ).drop("curve", "today")
 
 
+def _served(spark, sf, formula: str, kind: str) -> DataFrame:
+    """Answers of a stored bundle whose model is one SQL formula."""
+    from leadcurve.plans import serve
+
+    formula_stage = SQLTransformer(statement=f"SELECT *, {formula} AS prediction FROM __THIS__")
+    model = Pipeline(stages=[formula_stage]).fit(spark.range(0))
+    daily, path = market.with_market_columns(stage(_daily(spark, sf), "daily")), _folder(spark, "bundle")
+    record = spark.range(1).select(F.lit("formula").alias("selected_configuration"))
+    bundle.save_bundle(path, model, daily, *_lookups(spark, sf), record, kind=kind)
+    return serve.answer(fx.requests(spark, sf), bundle.load_bundle(spark, path))
+
+
+@query
+def bundle_answers(spark, sf):
+    """Answers of a bundle that was saved and loaded; its model is scored row by row, as a fitted one is."""
+    rows = _served(spark, sf, "0.80D + 0.02D * abs(days_before_departure - 10)", bundle.MODEL_KIND)
+    total = F.aggregate("curve", F.lit(0.0), lambda s, p: s + p["predicted_fare"])
+    return rows.select(
+        "request_id", "status", "price_source", "current_price", "expected_best_price", "expected_savings", "wait_days",
+        "best_day", "buy_window_start_days", "buy_window_end_days", "message", F.round(total, 2).alias("curve_total"),
+    )
+
+
+@query
+def absolute_curve(spark, sf):
+    """Curves of a bundle whose model predicts dollars: nothing is pinned to today's fare."""
+    rows = _served(spark, sf, "120 + 2.5D * abs(days_before_departure - 10)", bundle.ABSOLUTE_KIND)
+    return rows.filter("curve IS NOT NULL").select("request_id", "current_price", F.inline("curve"))
+
+
 # --- extraction -----------------------------------------------------------------------------------------
 
 

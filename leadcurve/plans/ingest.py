@@ -12,22 +12,38 @@ from leadcurve.sources import sinks
 
 
 def ingest(
-    spark: SparkSession, input_path: str, output_path: str, profile_path: str | None = None
+    spark: SparkSession,
+    input_path: str,
+    output_path: str,
+    profile_path: str | None = None,
+    rejects_path: str | None = None,
+    fmt: str | None = None,
 ) -> DataFrame:
     """Write the cleaned quotes and their profile; returns the profile row.
 
+    Lines of a CSV file that do not fit its header are counted as ``broken_lines`` and, with
+    ``rejects_path``, written there with the reason.
+
     The raw file is parsed once. The accepted quotes are stored typed, the profile is
     counted on the way, and what follows reads the stored columns. That first step has
     no shuffle, so a lost executor repeats whole tasks and no row is counted twice.
     """
-    raw = source.load_offers(spark, input_path)
+    lines = None
+    if (fmt or source.kind_of(input_path)) == "csv":
+        lines, broken = source.csv_lines(spark, input_path), Observation("broken")
+        raw = source.fitting(lines.observe(broken, source.broken_count().alias("broken_lines")))
+    else:
+        raw = source.load_offers(spark, input_path, fmt)
     source.require_columns(raw.columns)
     seen = Observation("profile")
     typed = clean.typed_offers(raw).observe(seen, *clean.profile_counts())
     with owned_stages(spark):
         kept = stage(clean.accepted(typed), "accepted")
         sinks.write_market(clean.finish_clean(kept), output_path)
-    counts = [F.lit(value).cast("bigint").alias(name) for name, value in seen.get.items()]
+    found = {**seen.get, **(broken.get if lines is not None else {"broken_lines": 0})}
+    if lines is not None and rejects_path:
+        sinks.write_table(source.rejected_lines(lines), rejects_path)
+    counts = [F.lit(value).cast("bigint").alias(name) for name, value in found.items()]
     profile = spark.range(1).select(
         F.lit(input_path).alias("source"), F.lit(output_path).alias("output"), *counts
     )

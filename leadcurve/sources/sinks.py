@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,21 @@ def write_market(df: DataFrame, path: str, mode: str = "overwrite", by_month: bo
     writer.parquet(path)
 
 
+def refresh_months(df: DataFrame, path: str) -> None:
+    """Replace the flight months that ``df`` holds, and no others; writing the same rows again changes nothing."""
+    month = F.date_format("flightDate", "yyyy-MM")
+    rows = df.withColumn("flight_month", month).hint("rebalance", "flight_month")
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.option("compression", "zstd").partitionBy("flight_month").parquet(path)
+
+
+def read_months(spark: SparkSession, path: str, first: str, last: str) -> DataFrame:
+    """The flight months from ``first`` to ``last`` ("2022-05"); other months' folders are not read."""
+    # months stay text: a folder name that looks like a date would be read as one
+    stored = spark.read.parquet(path)
+    return stored.filter(F.col("flight_month").cast("string").between(first, last)).drop("flight_month")
+
+
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Parquet (zstd) without partition folders: pairs, lookups."""
     df.write.mode(mode).option("compression", "zstd").parquet(path)

@@ -2,6 +2,7 @@ from datetime import date
 from statistics import median
 
 import pytest
+from pyspark.sql import functions as F
 
 from leadcurve.operators import clean, explore, market
 from leadcurve.plans import ingest
@@ -144,3 +145,38 @@ def test_schema_check_names_missing_columns(spark):
         source.require_columns(messy(spark).drop("seatsRemaining", "isBasicEconomy").columns)
     assert source.require_backtest_columns(messy(spark).columns) == sorted(messy(spark).columns)
     assert OFFER_SCHEMA.count(",") == 8
+
+
+def test_lines_that_do_not_fit_are_rejected_by_the_parser(spark, tmp_path):
+    header = "searchDate,flightDate,startingAirport,destinationAirport,totalFare,isNonStop,seatsRemaining,totalTravelDistance,isBasicEconomy"
+    good = "2022-04-16,2022-05-20,ATL,LAX,250.5,True,7,1940,False"
+    lines = [header, good, "2022-04-16,2022-05-20,ATL", good + ",x", '"' + good, good.replace("ATL", '"A,T"'), "", good.replace("250.5", "n/a"), '"a,b",c']
+    (tmp_path / "q").mkdir()
+    (tmp_path / "q" / "one.csv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "q" / "two.csv").write_text(header + "\n" + good + "\n")
+    path = str(tmp_path / "q")
+    rows = source.load_offers(spark, path, "csv")
+    assert sorted(r.startingAirport for r in rows.collect()) == ["A,T", "ATL", "ATL", "ATL"] and source.BROKEN not in rows.columns
+    rejected = source.rejected_lines(source.csv_lines(spark, path))
+    assert sorted(map(tuple, rejected.collect())) == sorted([
+        ("2022-04-16,2022-05-20,ATL", "short"), (good + ",x", "long"), ('"' + good, "open quote"), ('"a,b",c', "short")])
+    assert rejected.count() == 4
+    profile = ingest.ingest(spark, path, str(tmp_path / "clean"), rejects_path=str(tmp_path / "rejects"), fmt="csv").first()
+    assert (profile.broken_lines, profile.input_rows, profile.accepted_rows, profile.invalid_fares) == (4, 4, 3, 1)
+    assert spark.read.parquet(str(tmp_path / "rejects")).count() == profile.broken_lines
+
+
+def test_months_are_refreshed_and_pruned(spark, tmp_path):
+    path = str(tmp_path / "months")
+    days = ["2022-05-20", "2022-06-20", "2022-06-21", "2022-07-20"]
+    rows = spark.createDataFrame([(d, float(i)) for i, d in enumerate(days)], "day string, fare double")
+    table = rows.select(F.col("day").cast("date").alias("flightDate"), "fare")
+    sinks.write_market(table, path)
+    june = table.filter(F.month("flightDate") == 6).withColumn("fare", F.col("fare") + 100)
+    for _ in range(2):
+        sinks.refresh_months(june, path)
+    assert sorted(r.fare for r in spark.read.parquet(path).collect()) == [0.0, 3.0, 101.0, 102.0]
+    kept = sinks.read_months(spark, path, "2022-06", "2022-06")
+    assert sorted(r.fare for r in kept.collect()) == [101.0, 102.0]
+    scan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "flight_month" in scan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
