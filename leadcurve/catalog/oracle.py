@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from leadcurve import constants as C
 from leadcurve.catalog.fixtures import AIRPORT, PAGE_BLOCK
-from leadcurve.catalog.queries import CURVE_SAMPLE, PAIR_SAMPLE
+from leadcurve.catalog.queries import CURVE_SAMPLE, KNOWN_ROUTES, PAIR_SAMPLE
 from leadcurve.operators.policy import POISSON_BOUNDS
 
 # name -> (fragments it needs, SQL)
@@ -469,6 +469,13 @@ SELECT DISTINCT route, flightDate, isNonStop, days_before_departure FROM (
   QUALIFY row_number() OVER (PARTITION BY route, flightDate, isNonStop, target
     ORDER BY abs(days_before_departure - target), days_before_departure DESC) = 1)""",
 )
+_fragment(
+    "known_routes",
+    "market",
+    sql=f"""
+SELECT route FROM market GROUP BY route, startingAirport, destinationAirport
+ORDER BY count(*) DESC, startingAirport, destinationAirport LIMIT {KNOWN_ROUTES}""",
+)
 _PREDICTED = "least(3e0, greatest(0.3e0, 0.8e0 + 0.02e0 * abs({day} - 10)))"
 
 
@@ -488,6 +495,7 @@ SELECT max(d) FILTER (WHERE i = least(n - 1, floor(n * {start}e0))) AS period_st
     _fragment(
         f"{prefix}_candidates",
         "nearest",
+        "known_routes",
         f"{prefix}_bounds",
         sql=f"""
 SELECT concat_ws('|', route, strftime(flightDate, '%Y-%m-%d'), {_STOP}, CAST(days_before_departure AS VARCHAR))
@@ -496,7 +504,7 @@ SELECT concat_ws('|', route, strftime(flightDate, '%Y-%m-%d'), {_STOP}, CAST(day
   best_fare AS current_fare, seen_median AS trailing_median_fare
 FROM measured JOIN nearest USING (route, flightDate, isNonStop, days_before_departure), {prefix}_bounds
 WHERE searchDate >= period_start AND (period_end IS NULL OR searchDate < period_end)
-  AND days_before_departure > last_day
+  AND days_before_departure > last_day AND route IN (SELECT route FROM known_routes)
 {f"ORDER BY sha256(decision_id), decision_id LIMIT {limit}" if limit else ""}""",
     )
     _fragment(

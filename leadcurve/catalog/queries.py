@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadcurve.catalog import fixtures as fx
+from leadcurve.constants import CURVE_KEYS
 from leadcurve.functions import dates
 from leadcurve.functions.keys import route_key, stable_uniform
 from leadcurve.operators import (
@@ -27,7 +28,7 @@ from leadcurve.operators import (
     split,
 )
 from leadcurve.operators.features import attach_features
-from leadcurve.session import shared_folder, stage
+from leadcurve.session import shared_folder, stage, stage_bucketed
 from leadcurve.sources import bundle, offers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,8 +93,17 @@ def _daily(spark, sf) -> DataFrame:
 
 
 def _market(spark, sf) -> DataFrame:
-    """The backtest's daily table, written once because several steps read it."""
-    return stage(market.daily_market(fx.offers(spark, sf)), "market")
+    """The backtest's daily table, written once because several steps read it: by route, in buckets of curves."""
+    return stage_bucketed(market.daily_market(fx.offers(spark, sf)), "market", CURVE_KEYS, by=["route"])
+
+
+KNOWN_ROUTES = 8
+
+
+def _known_routes(daily: DataFrame) -> DataFrame:
+    """The routes that the formula's model is taken to know: those with most daily rows."""
+    sizes = daily.groupBy(*explore.ROUTE).agg(F.count(F.lit(1)).alias("n"))
+    return explore.top_routes(sizes, KNOWN_ROUTES).select(route_key().alias("route"))
 
 
 @query
@@ -337,7 +347,7 @@ def train_val_union(spark, sf):
 
 def _candidates(daily: DataFrame, start: float, end: float, limit: int | None = None) -> DataFrame:
     bounds = split.period_bounds(daily, start, end)
-    return simulate.decision_candidates(daily, bounds, routes=daily, max_decisions=limit)
+    return simulate.decision_candidates(daily, bounds, routes=_known_routes(daily), max_decisions=limit)
 
 
 def _decisions(spark, sf) -> DataFrame:
@@ -441,7 +451,8 @@ def decision_accuracy(spark, sf):
 def full_backtest(spark, sf):
     from leadcurve.plans.backtest import evaluate
 
-    result = evaluate(_market(spark, sf), scorers.dip())
+    daily = _market(spark, sf)
+    result = evaluate(daily, scorers.dip(), _known_routes(daily))
     record = result.record.select("threshold", "decision_accuracy", "booking_decisions")
     rows = result.policies.withColumns({c: record.select(c).scalar() for c in record.columns})
     return rounded(rows, *SHARES, *INTERVAL, "decision_accuracy")

@@ -28,14 +28,20 @@ def decision_candidates(
 ) -> DataFrame:
     """Booking decisions of a period, each with its curve's points.
 
+    ``routes`` (column ``route``) are the routes that count. Over a market that is stored in
+    folders by route only theirs are read, and over one in buckets of the curve keys no
+    row is shuffled (``session.stage_bucketed``).
+
     Per curve the observed day nearest to each decision day is taken once. The
     curve needs three points, two of them from the decision on. With
     ``max_decisions`` the decisions that come first by hashed id are kept.
     """
-    daily = daily.withColumn("route", route_key())
+    if "route" not in daily.columns:
+        daily = daily.withColumn("route", route_key())
     if routes is not None:  # before curves are built: the known routes are few and staged small
         known = stage(routes.select("route").distinct(), "known-routes")
-        daily = daily.join(known, "route", "left_semi")
+        # Spark prunes folders at run time only by a list that is filtered itself
+        daily = daily.join(known.filter("route > ''"), "route", "left_semi")
     curves = build_curves(daily).withColumn("route", route_key())
     points, as_of = F.col("points"), F.col("as_of_days")
     nearest = [nearest_day(points, t, prefer_larger=True) for t in decision_days]

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,6 +68,25 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_bucketed(df: DataFrame, name: str, keys: Sequence[str], by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+    """Written once to the shared folder as buckets of ``keys``, in folders of ``by``, and read back.
+
+    What groups by ``keys`` afterwards needs no shuffle, and a filter or join on ``by`` reads
+    only its folders. ``buckets`` should grow with the table; by default there are as many as
+    shuffle partitions.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{table}"
+    # one task per bucket, so that a bucket is one file in each folder
+    writer = df.repartition(buckets, *keys).write.format("parquet").option("compression", "zstd").option("path", path)
+    writer = writer.partitionBy(*by) if by else writer
+    writer.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+    _staged.append(path)
+    return spark.table(table)
+
+
 @contextmanager
 def owned_stages(spark: SparkSession) -> Iterator[None]:
     """Tables staged inside are removed when the block ends, also by an error.

@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leadcurve.operators import policy, scorers, simulate, split
+from leadcurve.constants import CURVE_KEYS
+from leadcurve.operators import market, metrics, pairs, policy, scorers, simulate, split
 from leadcurve.plans import backtest
-from leadcurve.session import stage
+from leadcurve.session import stage, stage_bucketed
 from tests.helpers import daily, ten_flights
 
 
@@ -105,3 +106,31 @@ def test_whole_backtest_and_its_errors(spark):
     thin = daily(spark, {("ATL", "LAX", date(2022, 10, d), False): {3: 100, 2: 90} for d in range(1, 9)})
     with pytest.raises(ValueError, match="No eligible"):
         backtest.evaluate(thin, scorers.dip())
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_known_routes_prune_folders_and_buckets_save_shuffles(spark):
+    first = date(2022, 10, 1)
+    curves = {
+        (o, d, first + timedelta(days=i), i % 2 == 0): {day: 150.0 + day + i for day in (30, 21, 14, 7, 2)}
+        for i in range(12) for o, d in (("ATL", "LAX"), ("BOS", "LAX"), ("LAX", "ATL"))
+    }
+    flat = market.with_market_columns(daily(spark, curves))
+    laid = stage_bucketed(flat, "laid-out", CURVE_KEYS, by=["route"], buckets=4)
+    bounds = stage(split.period_bounds(flat, 0.0, 1.0), "bounds")
+    known = spark.createDataFrame([("ATL-LAX",), ("LAX-ATL",), ("SEA-BOS",)], "route string")
+    wanted = lambda df: sorted((r.decision_id, r.current_fare, r.trailing_median_fare) for r in df.collect())
+    found = simulate.decision_candidates(laid, bounds, known)
+    assert wanted(found) == wanted(simulate.decision_candidates(flat, bounds, known))
+    assert {r.route for r in found.select("route").distinct().collect()} == {"ATL-LAX", "LAX-ATL"}
+    plan = plan_of(found)
+    assert "dynamicpruning" in plan.lower()
+    assert "Exchange hashpartitioning" not in plan
+    pairs_plan = plan_of(pairs.remaining_pairs(laid))
+    assert "Exchange" not in pairs_plan and "Exchange" in plan_of(pairs.remaining_pairs(flat))
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(pairs.remaining_pairs(laid)) == key(pairs.remaining_pairs(flat))
+    assert "Exchange" not in plan_of(metrics.scored_curves(laid, scorers.dip()))
