@@ -773,6 +773,21 @@ SELECT avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, count(*) AS pairs FROM (
   SELECT future_fare - CASE WHEN days_before_departure = as_of_days THEN current_fare
     ELSE {_PREDICTED.format(day='days_before_departure')} * current_fare END AS e FROM parts WHERE part = 'test')""",
 )
+def _comparison(predicted: str) -> str:
+    return f"""WITH t AS (SELECT startingAirport, destinationAirport, count(*) AS n FROM daily GROUP BY ALL
+  ORDER BY n DESC, startingAirport, destinationAirport LIMIT 4),
+b AS (SELECT startingAirport, destinationAirport, flightDate FROM daily SEMI JOIN t
+  USING (startingAirport, destinationAirport) GROUP BY startingAirport, destinationAirport, flightDate
+  QUALIFY row_number() OVER (
+    PARTITION BY startingAirport, destinationAirport ORDER BY count(*) DESC, flightDate) = 1),
+c AS (SELECT collapsed.*, first_value(days_before_departure) OVER w AS as_of_days,
+    first_value(best_fare) OVER w AS current_fare
+  FROM collapsed SEMI JOIN b USING (startingAirport, destinationAirport, flightDate)
+  WINDOW w AS (PARTITION BY startingAirport, destinationAirport, flightDate ORDER BY days_before_departure DESC))
+SELECT startingAirport || '-' || destinationAirport AS route, flightDate, as_of_days, days_before_departure,
+  best_fare AS actual, round({predicted}, 6) AS predicted FROM c"""
+
+
 _CURVE = "route, flightDate, isNonStop"
 _TIMING = """round(coalesce(avg(CASE WHEN agrees THEN 1e0 ELSE 0e0 END), 0e0), 6) AS {0}buy_wait{1},
   round(coalesce(median(day_error), 99e0), 6) AS {0}median_best_day_err{2},
@@ -801,21 +816,12 @@ ORACLE |= {
         "errors",
     ),
     "predicted_vs_actual": _sql(
-        f"""WITH t AS (SELECT startingAirport, destinationAirport, count(*) AS n FROM daily GROUP BY ALL
-  ORDER BY n DESC, startingAirport, destinationAirport LIMIT 4),
-b AS (SELECT startingAirport, destinationAirport, flightDate FROM daily SEMI JOIN t
-  USING (startingAirport, destinationAirport) GROUP BY startingAirport, destinationAirport, flightDate
-  QUALIFY row_number() OVER (
-    PARTITION BY startingAirport, destinationAirport ORDER BY count(*) DESC, flightDate) = 1),
-c AS (SELECT collapsed.*, first_value(days_before_departure) OVER w AS as_of_days,
-    first_value(best_fare) OVER w AS current_fare
-  FROM collapsed SEMI JOIN b USING (startingAirport, destinationAirport, flightDate)
-  WINDOW w AS (PARTITION BY startingAirport, destinationAirport, flightDate ORDER BY days_before_departure DESC))
-SELECT startingAirport || '-' || destinationAirport AS route, flightDate, as_of_days, days_before_departure,
-  best_fare AS actual, round(CASE WHEN days_before_departure = as_of_days THEN current_fare
-    ELSE {_PREDICTED.format(day='days_before_departure')} * current_fare END, 6) AS predicted FROM c""",
+        _comparison(
+            f"""CASE WHEN days_before_departure = as_of_days THEN current_fare ELSE {_PREDICTED.format(day='days_before_departure')} * current_fare END"""
+        ),
         "collapsed",
     ),
+    "predicted_dollars_vs_actual": _sql(_comparison("120e0 + 2.5e0 * abs(days_before_departure - 10)"), "collapsed"),
 }
 
 # --- requests -----------------------------------------------------------------------------------------------------------
@@ -950,8 +956,10 @@ _fragment(
 SELECT request_id, coalesce(page, city) AS published_price,
   CASE WHEN page IS NOT NULL THEN coalesce(m, 'route_lowest') WHEN city IS NOT NULL THEN 'route_lowest' END AS match,
   CASE WHEN page IS NOT NULL THEN deal_date END AS live_matched_date,
+  CASE WHEN page IS NOT NULL THEN deal_stops END AS published_stops,
+  CASE WHEN page IS NOT NULL THEN carrier END AS published_carrier,
   CASE WHEN page IS NOT NULL THEN 'route page' WHEN city IS NOT NULL THEN 'city page' END AS source FROM (
-  SELECT r.request_id, h.match AS m, deal_date,
+  SELECT r.request_id, h.match AS m, deal_date, deal_stops, carrier,
     CASE WHEN price IS NULL THEN headline WHEN h.match = 'route_lowest' THEN least(price, headline) ELSE price END AS page,
     CASE WHEN l.block IS NOT NULL AND r.block % 20 <> 19 THEN CAST(90 + r.block % 7 AS DOUBLE) END AS city
   FROM checked r LEFT JOIN deal_hits h USING (request_id)
@@ -968,7 +976,9 @@ SELECT u.*, u.origin || '-' || u.destination AS route,
   coalesce(current_price, published_price, route_median_fare, fare, 150e0) AS pin_price,
   CASE WHEN current_price IS NOT NULL THEN 'user' WHEN published_price IS NOT NULL THEN 'web' ELSE 'model' END
     AS price_source, coalesce(route_distance, distance) AS totalTravelDistance,
-  CASE WHEN current_price IS NULL THEN live_matched_date END AS live_matched_date
+  CASE WHEN current_price IS NULL THEN live_matched_date END AS live_matched_date,
+  CASE WHEN current_price IS NULL THEN published_stops END AS published_stops,
+  CASE WHEN current_price IS NULL THEN published_carrier END AS published_carrier
 FROM checked u JOIN web USING (request_id)
 LEFT JOIN lookups l ON l.route = u.origin || '-' || u.destination, overall WHERE u.status = 'ok'""",
 )
@@ -1068,6 +1078,7 @@ FROM dip_windows""",
 t AS (SELECT request_id, count(*) AS curve_points, round(sum(round_even(fare * 100, 0) / 100), 2) AS curve_total
   FROM web_curves GROUP BY request_id)
 SELECT request_id, origin, destination, flight_date, days_left, stops, price_source, live_matched_date,
+  published_stops, published_carrier, stops = 'nonstop' AS nonstop_only,
   CASE WHEN buy THEN 'buy_now' ELSE 'wait' END AS status,
   CASE WHEN NOT buy THEN CAST(days_left - best_day AS INTEGER) END AS wait_days,
   round_even(pin_price * 100, 0) / 100 AS current_price,

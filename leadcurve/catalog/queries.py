@@ -511,6 +511,13 @@ def predicted_vs_actual(spark, sf):
     return rounded(rows, "predicted")
 
 
+@query
+def predicted_dollars_vs_actual(spark, sf):
+    """The same of a scorer of dollars."""
+    rows = metrics.predicted_vs_actual(stage(_daily(spark, sf), "daily"), scorers.dollars(), absolute=True)
+    return rounded(rows, "predicted")
+
+
 # --- recommendation -----------------------------------------------------------------------------------
 
 
@@ -704,7 +711,7 @@ def nearest_deal(spark, sf):
 def published_fare(spark, sf):
     requests = recommend.validate_requests(fx.requests(spark, sf)).filter("status <> 'error'")
     return _find_published(spark, sf)(requests).select(
-        "request_id", "published_price", "match", "live_matched_date", "source"
+        "request_id", "published_price", "match", "live_matched_date", "published_stops", "published_carrier", "source"
     )
 
 

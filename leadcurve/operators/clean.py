@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from leadcurve.functions.dates import day_of_week
 from leadcurve.functions.fares import fare_in_range
@@ -90,10 +91,14 @@ def finish_clean(kept: DataFrame, upper: bool = True) -> DataFrame:
 def clean_offers(offers: DataFrame, same_day: bool = False, upper: bool = True) -> DataFrame:
     """Accepted, typed quotes with imputed distance and calendar columns.
 
-    The source is read twice: once for the route medians (a small table) and once
-    for the rows themselves, which are not shuffled while the medians are small.
+    Rows are needed twice: for the route medians (a small table) and themselves, unshuffled
+    while the medians are small. Text is parsed once and the accepted rows are stored
+    typed; a typed source is read twice, the first time three columns of it and those of
+    the rules, which costs less than a copy.
     """
-    return finish_clean(accepted(typed_offers(offers), same_day), upper)
+    kept = accepted(typed_offers(offers), same_day)
+    text = isinstance(offers.schema["totalFare"].dataType, StringType)
+    return finish_clean(stage(kept, "accepted") if text else kept, upper)
 
 
 def quality_profile(offers: DataFrame, same_day: bool = False) -> DataFrame:

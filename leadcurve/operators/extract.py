@@ -301,8 +301,8 @@ def match_name(tier: Column) -> Column:
 def route_page_fare(matched: DataFrame) -> DataFrame:
     """Fare of the route page: the deal, lowered to the headline when no date matched.
 
-    Takes the columns ``deal`` and ``headline`` and adds ``page_price``, ``page_match``
-    and ``page_date``.
+    Takes the columns ``deal`` and ``headline`` and adds ``page_price``, ``page_match``,
+    ``page_date``, ``page_stops`` and ``page_carrier``; the last three are the deal's.
     """
     deal, headline = F.col("deal"), F.col("headline")
     lowest = F.when(deal["tier"] == 2, F.least(deal["price"], headline)).otherwise(deal["price"])
@@ -313,6 +313,8 @@ def route_page_fare(matched: DataFrame) -> DataFrame:
             "page_price": price,
             "page_match": F.when(price.isNotNull(), match),
             "page_date": deal["date"],
+            "page_stops": deal["stops"],
+            "page_carrier": deal["carrier"],
         }
     )
 
@@ -340,6 +342,8 @@ def published_fare(
         F.coalesce("page_price", "city_price").alias("published_price"),
         F.when(paged, F.col("page_match")).when(city, "route_lowest").alias("match"),
         F.when(paged, F.col("page_date")).alias("live_matched_date"),
+        F.when(paged, F.col("page_stops")).alias("published_stops"),
+        F.when(paged, F.col("page_carrier")).alias("published_carrier"),
         F.when(paged, first).when(city, second).alias("source"),
     )
 

@@ -30,14 +30,14 @@ def pinned_override() -> Column:
     )
 
 
-def _scored(anchored: DataFrame, scorer: Scorer) -> DataFrame:
+def _scored(anchored: DataFrame, scorer: Scorer, absolute: bool = False) -> DataFrame:
     rows = scorer(attach_features(unfold_remaining(anchored)))
     return rows.select(
         *SCORED_KEYS,
         "as_of_days",
         "days_before_departure",
         F.col("best_fare").alias("actual"),
-        pinned_override().alias("predicted"),
+        (F.col("predicted_fare") if absolute else pinned_override()).alias("predicted"),
     )
 
 
@@ -203,11 +203,12 @@ def evaluation_record(
     )
 
 
-def predicted_vs_actual(daily: DataFrame, scorer: Scorer, routes: int = 4) -> DataFrame:
+def predicted_vs_actual(daily: DataFrame, scorer: Scorer, routes: int = 4, absolute: bool = False) -> DataFrame:
     """Actual and predicted curve of the busiest flight date of each of the largest routes.
 
     Stop types are collapsed to the cheaper one and the prediction starts from the
-    first observed fare.
+    first observed fare; with ``absolute`` the scorer gives dollars (``predicted_fare``),
+    which are taken as they are.
     """
     sizes = daily.groupBy(*explore.ROUTE, "flightDate").agg(F.count(F.lit(1)).alias("n"))
     top = explore.top_routes(sizes, routes)
@@ -215,4 +216,4 @@ def predicted_vs_actual(daily: DataFrame, scorer: Scorer, routes: int = 4) -> Da
     keys = [*explore.ROUTE, "flightDate"]
     chosen = daily.join(flights.select(*keys), keys, "left_semi")
     first_day = asof_anchors(stop_collapse(chosen), lambda points, p: p["day"] == points[0]["day"])
-    return _scored(first_day, scorer).drop("isNonStop")
+    return _scored(first_day, scorer, absolute).drop("isNonStop")

@@ -112,7 +112,8 @@ def pin_prices(requests: DataFrame, route_lookup: DataFrame, global_lookup: Data
     typical = F.coalesce("route_median_fare", fare, F.lit(C.DEFAULT_FARE))
     if "live_matched_date" in requests.columns:
         used = user.isNull() & web.isNotNull()
-        joined = joined.withColumn("live_matched_date", F.when(used, F.col("live_matched_date")))
+        about = [c for c in ("live_matched_date", "published_stops", "published_carrier") if c in requests.columns]
+        joined = joined.withColumns({c: F.when(used, F.col(c)) for c in about})
     return joined.withColumns(
         {
             "pin_price": F.coalesce(user, web, typical),
@@ -330,11 +331,12 @@ def recommend(windows: DataFrame, margin: float = C.MEANINGFUL_SAVINGS) -> DataF
     kept = [
         c
         for c in ("request_id", "origin", "destination", "flight_date", "today", "days_left",
-                  "stops", "price_source", "live_matched_date")
+                  "stops", "price_source", "live_matched_date", "published_stops", "published_carrier")
         if c in windows.columns
     ]
     return dated.select(
         *kept,
+        (F.col("stops") == "nonstop").alias("nonstop_only"),
         F.when(buy, "buy_now").otherwise("wait").alias("status"),
         F.when(~buy, left - best_day).alias("wait_days"),
         cents(F.col("today_price")).alias("current_price"),
