@@ -115,45 +115,75 @@ def windows(subwords: Subwords, ids: np.ndarray, first: np.ndarray, overlap: int
     return Windows(subwords.input[before], ids, at, used, valid)
 
 
-_MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, dtype=np.float32), 1)
+_SEEN = np.tril(np.ones((WINDOW, WINDOW), dtype=np.float32))
+_ONES = np.ones((max(WINDOW, CLASSES), 1), dtype=np.float32)
+_LOW, _HIGH = np.float32(-80), np.float32(60)  # exponents outside would leave the range of single precision
+
+
+def _row_sums(values: np.ndarray) -> np.ndarray:
+    """As a product with ones, which is much faster than adding along short rows."""
+    ones = _ONES if values.shape[-1] <= len(_ONES) else np.ones((values.shape[-1], 1), values.dtype)
+    return values.reshape(-1, values.shape[-1]) @ ones[: values.shape[-1]].astype(values.dtype, copy=False)
+
+
+def _scaled(w: Weights) -> np.ndarray:
+    """The projection to query, key and value, with the scale of products in the query."""
+    out = w["qkv"].copy()
+    out[:, :WIDTH] *= out.dtype.type(WIDTH**-0.5)
+    return out
 
 
 def _forward(w: Weights, index: np.ndarray) -> dict[str, np.ndarray]:
     """Places see themselves and those before: filler stands after all of a window's own places."""
-    x = w["input"][index] + w["place"]
+    x = w["input"][index]
+    x += w["place"]
     b = len(x)
-    qkv = (x.reshape(-1, WIDTH) @ w["qkv"]).reshape(b, WINDOW, 3 * WIDTH)
+    qkv = (x.reshape(-1, WIDTH) @ _scaled(w)).reshape(b, WINDOW, 3 * WIDTH)
     q, k, v = qkv[..., :WIDTH], qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
     s = np.matmul(q, k.transpose(0, 2, 1))
-    s *= np.float32(WIDTH**-0.5)
-    s += _MASK
-    s -= s.max(axis=2, keepdims=True)
+    np.clip(s, _LOW, _HIGH, out=s)
     np.exp(s, out=s)
-    s /= s.sum(axis=2, keepdims=True)
+    s *= _SEEN
+    s /= _row_sums(s).reshape(b, WINDOW, 1)
     o = np.matmul(s, v)
-    h = x + (o.reshape(-1, WIDTH) @ w["out"]).reshape(x.shape)
+    h = (o.reshape(-1, WIDTH) @ w["out"]).reshape(x.shape)
+    h += x
     return {"x": x, "q": q, "k": k, "v": v, "a": s, "o": o, "h": h}
 
 
 def _class_scores(w: Weights, h: np.ndarray) -> np.ndarray:
     """Natural log probabilities of the classes."""
+    z = _logits(w, h)
+    z -= np.log(_row_sums(np.exp(z)))
+    return z
+
+
+def _logits(w: Weights, h: np.ndarray) -> np.ndarray:
     z = h @ w["classes"]
     z += w["bias"]
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+    return np.clip(z, _LOW, _HIGH, out=z)
 
 
 def scores(w: Weights, subwords: Subwords, text: Windows, batch: int = 2 * BATCH) -> np.ndarray:
     """log10 probability of each place's target."""
     out = np.zeros(len(text.target))
+    klass = subwords.klass[text.target]
     for lo in range(0, len(text.at), batch):
         at, used = text.at[lo : lo + batch], text.used[lo : lo + batch]
-        h = _forward(w, text.input[at])["h"][used]
         place = at[used]
-        target = text.target[place]
-        z = _class_scores(w, h)
-        out[place] = z[np.arange(len(place)), subwords.klass[target]] / np.log(10) + subwords.share[target]
+        z = _logits(w, _forward(w, text.input[at])["h"][used])
+        own = z[np.arange(len(place)), klass[place]]
+        out[place] = own - np.log(_row_sums(np.exp(z, out=z))[:, 0])
+    return out / np.log(10) + subwords.share[text.target]
+
+
+def _summed_rows(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """The values of equal rows added up."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    head = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    out = np.zeros((size, values.shape[1]), dtype=values.dtype)
+    out[rows[head]] = np.add.reduceat(values[order], head, axis=0)
     return out
 
 
@@ -162,29 +192,32 @@ def gradients(w: Weights, index: np.ndarray, target: np.ndarray, used: np.ndarra
     f = _forward(w, index)
     h = f["h"][used]
     n = max(len(h), 1)
-    dz = np.exp(_class_scores(w, h))
+    dz = np.exp(_logits(w, h))
+    dz /= _row_sums(dz)
     dz[np.arange(len(h)), target[used]] -= 1
-    dz /= np.float32(n)
+    dz /= dz.dtype.type(n)
     dh = np.zeros_like(f["h"])
     dh[used] = dz @ w["classes"].T
     flat = lambda y: y.reshape(-1, y.shape[-1])
     do = (flat(dh) @ w["out"].T).reshape(dh.shape)
-    da = np.matmul(do, f["v"].transpose(0, 2, 1))
-    dv = np.matmul(f["a"].transpose(0, 2, 1), do)
-    ds = f["a"] * (da - (da * f["a"]).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
-    dqkv = np.concatenate([np.matmul(ds, f["k"]), np.matmul(ds.transpose(0, 2, 1), f["q"]), dv], axis=2)
-    dx = dh + (flat(dqkv) @ w["qkv"].T).reshape(dh.shape)
-    rows, d = index.reshape(-1), flat(dx)
-    size = len(w["input"])
-    dinput = np.stack([np.bincount(rows, weights=d[:, i], minlength=size) for i in range(WIDTH)], axis=1)
+    ds = np.matmul(do, f["v"].transpose(0, 2, 1))
+    ds *= f["a"]
+    ds -= f["a"] * _row_sums(ds).reshape(*ds.shape[:2], 1)
+    dqkv = np.empty((*dh.shape[:2], 3 * WIDTH), dtype=dh.dtype)
+    np.matmul(ds, f["k"], out=dqkv[..., :WIDTH])
+    np.matmul(ds.transpose(0, 2, 1), f["q"], out=dqkv[..., WIDTH : 2 * WIDTH])
+    np.matmul(f["a"].transpose(0, 2, 1), do, out=dqkv[..., 2 * WIDTH :])
+    dx = dh + (flat(dqkv) @ _scaled(w).T).reshape(dh.shape)
+    projection = flat(f["x"]).T @ flat(dqkv)
+    projection[:, :WIDTH] *= projection.dtype.type(WIDTH**-0.5)
     return {
-        "input": dinput.astype(np.float32), "place": dx.sum(axis=0), "qkv": flat(f["x"]).T @ flat(dqkv),
+        "input": _summed_rows(index.reshape(-1), flat(dx), len(w["input"])), "place": dx.sum(axis=0), "qkv": projection,
         "out": flat(f["o"]).T @ flat(dh), "classes": h.T @ dz, "bias": dz.sum(axis=0),
     }
 
 
 class Learner:
-    """Adam over windows as they come."""
+    """Adam over windows as they come; input vectors move where their subword is read."""
 
     def __init__(self, weights: Weights, subwords: Subwords, rate: float):
         self.w = {k: v.copy() for k, v in weights.items()}
@@ -195,14 +228,19 @@ class Learner:
     def learn(self, text: Windows) -> None:
         for lo in range(0, len(text.at), BATCH):
             at, valid = text.at[lo : lo + BATCH], text.valid[lo : lo + BATCH]
-            grads = gradients(self.w, text.input[at], self.subwords.klass[text.target[at]], valid)
+            index = text.input[at]
+            grads = gradients(self.w, index, self.subwords.klass[text.target[at]], valid)
+            read = np.flatnonzero(np.bincount(index.ravel(), minlength=len(self.w["input"])))
             self.steps += 1
             self.places += int(valid.sum())
             rate = np.float32(self.rate * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps))
             for k, g in grads.items():
-                self.mean[k] += np.float32(0.1) * (g - self.mean[k])
-                self.square[k] += np.float32(0.01) * (g * g - self.square[k])
-                self.w[k] -= rate * self.mean[k] / (np.sqrt(self.square[k]) + np.float32(1e-8))
+                rows = read if k == "input" else slice(None)
+                g, mean, square = g[rows], self.mean[k][rows], self.square[k][rows]
+                mean = mean + np.float32(0.1) * (g - mean)
+                square = square + np.float32(0.01) * (g * g - square)
+                self.mean[k][rows], self.square[k][rows] = mean, square
+                self.w[k][rows] -= rate * mean / (np.sqrt(square) + np.float32(1e-8))
 
 
 def flattened(w: Weights) -> np.ndarray:

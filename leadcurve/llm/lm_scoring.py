@@ -21,7 +21,6 @@ Rows are scored one by one, equal rows included.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +40,8 @@ FOLDS, HELD = 5, 1
 FREQUENT_WORDS = 1 << 17
 SHARE, ROUNDS, BLOCK_CHARS = 1, 2, 600
 RATES = (0.02, 0.007)
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 4 << 20
+REMEMBERED = 1 << 18  # words whose subwords a task remembers
 _FIXED = 1 << 20  # weights are summed as whole numbers, so that the order of tasks does not matter
 
 _SPACES = regex.compile(r"[^\S\n ]")
@@ -57,6 +57,13 @@ def _words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def _indexed(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of all texts, each word's place among them, and where each text's begin."""
+    words = W.split_words(texts, lower=True)
+    coded = W.slices(words.buf, words.start, words.end).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), words.first
+
+
 class Tokenizer:
     """Subwords of words, each with a space before it."""
 
@@ -67,6 +74,23 @@ class Tokenizer:
         self.encoding = _encodings[key]
         self.size = self.encoding.max_token_value + 1
         self.feed = self.encoding.encode_single_token(b"\n")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.ids, self.first = np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def remembered(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As a call, for words of which many have been asked before; up to ``REMEMBERED`` are kept."""
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        new = [w for w in words if w not in self.known]
+        if new:
+            ids, first = self(new)
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.first = np.append(self.first, first[1:] + self.first[-1])
+            self.ids = np.append(self.ids, ids)
+        return _gather(self.ids, self.first, np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
 
     def opens(self) -> np.ndarray:
         """Does the id begin with a space? The end, one past the ids, does not."""
@@ -94,13 +118,10 @@ def training_words(documents: DataFrame) -> DataFrame:
     """word and n over all training documents (doc_id, text, held_out), without ends."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.pieces(batches, size=4 * PIECE_BYTES):
-            found: Counter = Counter()
-            for text in batch.column("text"):
-                found.update(_words(text.as_py()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"]
-            )
+        for batch in W.pieces(batches, size=2 * PIECE_BYTES):
+            words, place, _ = _indexed(batch.column("text"))
+            times = np.bincount(place, minlength=len(words))
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())], ["word", "n"])
 
     counted = documents.filter("NOT held_out").select("text").mapInArrow(count, "word string, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
@@ -138,13 +159,6 @@ def subword_counts(words: DataFrame, tokenizer, ends: int) -> np.ndarray:
     return counts
 
 
-def _indexed(lists: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct words, each word's place among them, and where each list begins."""
-    known: dict[bytes, int] = {}
-    place = np.fromiter((known.setdefault(w, len(known)) for own in lists for w in own), np.int64)
-    return list(known), place, np.append(0, np.cumsum([len(x) for x in lists], dtype=np.int64))
-
-
 def _gather(values: np.ndarray, first: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs values[first[p]:first[p + 1]] for each p, and where each begins."""
     length = np.diff(first)[place]
@@ -158,7 +172,12 @@ def _with_ends(ids: np.ndarray, first: np.ndarray, end: int, closed: np.ndarray)
 
 
 def _blocks(text: str | None, doc_id: int | None, turn: int) -> Iterator[tuple[list[bytes], bool]]:
-    """The text's blocks of this round as words, and whether each is the last of its text.
+    """The words of the text's blocks of this round, and whether each is the last."""
+    return ((_words(part), last) for part, last in _block_texts(text, doc_id, turn))
+
+
+def _block_texts(text: str | None, doc_id: int | None, turn: int) -> Iterator[tuple[str, bool]]:
+    """The text's blocks of this round, and whether each is the last of its text.
 
     A block begins with the first space behind a multiple of ``BLOCK_CHARS``; blocks
     that are not of this round are not split into words.
@@ -171,7 +190,7 @@ def _blocks(text: str | None, doc_id: int | None, turn: int) -> Iterator[tuple[l
             start = text.find(" ", b * BLOCK_CHARS) if b else 0
             end = text.find(" ", (b + 1) * BLOCK_CHARS)
             if start >= 0:
-                yield _words(text[start : end if end >= 0 else None]), end < 0
+                yield text[start : end if end >= 0 else None], end < 0
 
 
 def learned_weights(documents: DataFrame, tokenizer, subwords: A.Subwords, rounds: int = ROUNDS) -> A.Weights:
@@ -188,12 +207,12 @@ def learned_weights(documents: DataFrame, tokenizer, subwords: A.Subwords, round
             for batch in W.pieces(batches, size=PIECE_BYTES):
                 parts = [
                     x for text, doc in zip(batch.column("text").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)
-                    for x in _blocks(text, doc, turn)
+                    for x in _block_texts(text, doc, turn)
                 ]
                 if not parts:
                     continue
-                words, place, bounds = _indexed([x for x, _ in parts])
-                ids, starts = _gather(*own(words), place)
+                words, place, bounds = _indexed(pa.array([x for x, _ in parts], pa.string()))
+                ids, starts = _gather(*own.remembered(words), place)
                 ids, first = _with_ends(ids, starts[bounds], classes.end, np.array([x for _, x in parts]))
                 some = np.append(True, np.diff(first) > 0)
                 if first[-1]:
@@ -235,14 +254,14 @@ class _Scorer:
             n = batch.num_rows
             row_id = self.rows + np.arange(n)
             self.rows += n
-            words, place, bounds = _indexed([_words(t) for t in batch.column("text").to_pylist()])
+            words, place, bounds = _indexed(batch.column("text"))
             row = np.repeat(np.arange(n), np.diff(bounds))
             count = np.fromiter((self.frequent.get(w, -1) for w in words), np.int64, len(words))[place]
             known = count >= 0
             base = np.bincount(row[known], np.log10(count[known] + 0.5) - self.log_size, n)
             base = base + np.log10(self.ends + 0.5) - self.log_size
             sure = np.bincount(row[known], minlength=n) + (self.ends > 0)
-            ids, starts = _gather(*self.tokenizer(words), place)
+            ids, starts = _gather(*self.tokenizer.remembered(words), place)
             ids, first = _with_ends(ids, starts[bounds], self.subwords.end, np.ones(n, bool))
             scores = A.scores(self.weights, self.subwords, A.windows(self.subwords, ids, first))
             yield pa.RecordBatch.from_arrays(
