@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leadcurve.llm import line_dedup, minhash, packing, quality, substring_dedup
 from leadcurve.llm.frames import staged
 
 
+def _not_emptied(docs: DataFrame) -> DataFrame:
+    """Documents that still hold a word: what a stage emptied stands in earlier documents, and goes."""
+    return docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; lines that a host repeats over many documents are cut from the others."""
     return quality.cleaned(docs)
 
 
 def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs of lines are cut; every document stays."""
-    return line_dedup.without_repeats(docs)
+    """Later copies of repeated runs of lines are cut; documents without anything else go."""
+    return _not_emptied(line_dedup.without_repeats(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of words that an earlier document has are cut; every document stays."""
-    return substring_dedup.without_repeats(docs)
+    """Windows of words that an earlier document has are cut; documents without anything else go."""
+    return _not_emptied(substring_dedup.without_repeats(docs))
 
 
 def length_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,7 +69,7 @@ def brute_lines(rows, n=3):
                     continue
             left.append(line)
         cut[doc] = "\n".join(left)
-    return [(d, cut[d], h) for d, _, h in rows]
+    return [(d, cut[d], h) for d, _, h in rows if words(cut[d])]
 
 
 def brute_near(rows):
@@ -107,7 +107,9 @@ def brute_passages(rows, n=13):
     for doc, text, host in rows:
         w = words(text)
         spans = [{"lo": i, "hi": i + n} for i in range(len(w) - n + 1) if first[tuple(w[i : i + n])] < doc]
-        out.append((doc, substring_dedup.without_spans(text, spans) if spans else text, host))
+        left = substring_dedup.without_spans(text, spans) if spans else text
+        if words(left):
+            out.append((doc, left, host))
     return out
 
 
@@ -149,6 +151,24 @@ def test_stages_equal_brute_force(spark, tmp_path, source):
     verify(out, [(d, len(words(t)) + 1) for d, t, _ in rows], packing.BUCKETS, packing.MAX_LENGTH, packing.TOKEN_BUDGET)
 
 
+def test_copies_and_near_copies_are_gone_at_the_end(spark, tmp_path):
+    rng = random.Random(4)
+    line = lambda n=9: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    text = [line() for _ in range(12)]
+    one_line = line(80)
+    rows = [(i, "\n".join(line() for _ in range(6)), "h") for i in range(20)]
+    rows += [
+        (30, "\n".join(text), "h"), (31, "\n".join(text), "h"), (32, "\n".join(text[:11]), "g"),
+        (33, one_line, "h"), (34, f"{one_line} edited", "h"), (35, one_line, "g"),
+    ]
+    frame = docs(spark, rows)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        frame = stage(spark, frame, str(tmp_path))
+    kept = {r.doc_id: r.text for r in frame.collect()}
+    assert set(kept) == {*range(20), 30, 33}  # one of each group, and no emptied text
+    assert all(words(t) for t in kept.values())
+
+
 def test_empty_table_and_other_columns(spark, tmp_path):
     df = docs(spark, []).withColumnRenamed("lang", "spans").withColumnRenamed("n_chars", "gone")
     assert corpus_pipeline.run(spark, written(df, tmp_path)).collect() == []
