@@ -670,7 +670,8 @@ SELECT policy, round(quantile_cont(mean, 0.025), 6) AS mean_savings_ci95_low,
   round(quantile_cont(mean, 0.975), 6) AS mean_savings_ci95_high FROM (
   SELECT policy, resample, sum(savings * weight) / sum(weight) AS mean FROM (
     SELECT policy, resample, savings, len(list_filter([{bounds}], lambda b: b <=
-      CAST(('0x' || substr(md5('42|' || resample || '|' || decision_id), 1, 8)) AS BIGINT) / 4294967296e0)) AS weight
+      CAST(('0x' || substr(md5('42|' || (resample // 4) || '|' || decision_id), 1 + 8 * (resample % 4), 8)) AS BIGINT)
+      / 4294967296e0)) AS weight
     FROM {long}, (SELECT unnest(range(0, {samples})) AS resample))
   GROUP BY policy, resample HAVING sum(weight) > 0) GROUP BY policy"""
 

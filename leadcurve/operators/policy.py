@@ -88,10 +88,17 @@ def policy_summary(decisions: DataFrame) -> DataFrame:
     return summarize(policy_rows(decisions), ["policy"])
 
 
-def _draws(seed: int) -> Column:
-    """How often a resample draws a decision: Poisson with mean one, fixed by the hash of both."""
-    key = F.concat_ws("|", F.lit(str(seed)), F.col("resample").cast("string"), "decision_id")
-    uniform = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+DRAWS_PER_HASH = 4  # eight hex digits of an md5 for each
+
+
+def _hash(seed: int) -> Column:
+    """The hash of a decision from which ``DRAWS_PER_HASH`` neighbouring resamples draw."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("quartet").cast("string"), "decision_id"))
+
+
+def _draws(digits: Column) -> Column:
+    """How often a resample draws a decision: Poisson with mean one, fixed by its digits of the hash."""
+    uniform = F.conv(digits, 16, 10).cast("double") / F.lit(4294967296.0)
     return F.aggregate(
         F.array(*[F.lit(b) for b in POISSON_BOUNDS]), F.lit(0), lambda n, b: n + F.when(b <= uniform, 1).otherwise(0)
     )
@@ -107,12 +114,15 @@ def bootstrap_intervals(
 
     In each resample a decision counts as often as a Poisson draw says, which follows
     drawing with replacement. A draw is fixed by seed, resample and decision, and all
-    columns share it. Sums are made where the decisions are: each task passes on one row
+    columns share it; one hash serves four resamples. Sums are made where the decisions are: each task passes on one row
     per resample, and no decision is shuffled or joined.
     """
     wanted = [F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns.values())]
-    every = F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))
-    drawn = decisions.select("decision_id", *wanted, every.alias("resample")).withColumn("weight", _draws(seed))
+    quartets = F.explode(F.sequence(F.lit(0), F.lit((samples - 1) // DRAWS_PER_HASH)))
+    hashed = decisions.select("decision_id", *wanted, quartets.alias("quartet")).withColumn("hash", _hash(seed))
+    drawn = hashed.withColumn("nth", F.explode(F.array(*[F.lit(i) for i in range(DRAWS_PER_HASH)])))
+    drawn = drawn.withColumn("resample", F.col("quartet") * DRAWS_PER_HASH + F.col("nth")).filter(F.col("resample") < samples)
+    drawn = drawn.withColumn("weight", _draws(F.substring("hash", F.col("nth") * 8 + 1, F.lit(8))))
     sums = drawn.groupBy("resample").agg(
         F.sum("weight").alias("weight"), *[F.sum(F.col(f"v{i}") * F.col("weight")).alias(f"v{i}") for i in range(len(wanted))]
     )
