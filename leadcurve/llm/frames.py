@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadcurve.session import shared_folder
+from leadcurve.session import stage
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -31,12 +30,9 @@ def tidy(spark: SparkSession) -> Iterator[None]:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Written once to the shared folder and read back."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    with tidy(spark):
-        df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Written once to the shared folder and read back; ``session.owned_stages`` around a job removes it."""
+    with tidy(df.sparkSession):
+        return stage(df, name)
 
 
 def text_key(text: str = "text") -> Column:
