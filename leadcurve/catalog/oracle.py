@@ -856,7 +856,7 @@ SELECT *, CASE WHEN message IS NULL THEN 'ok' WHEN days_left > 60 AND message LI
     WHEN origin = destination THEN {_text(C.MSG_SAME_AIRPORT)}
     WHEN origin = 'XYZ' THEN {_text(C.MSG_UNSUPPORTED)}
     WHEN flight_date <= today THEN {_text(C.MSG_NOT_FUTURE)}
-    WHEN flight_date - today > 60 THEN {_text(C.MSG_TOO_FAR_HEAD)} || (flight_date - today) || {_text(C.MSG_TOO_FAR_TAIL)}
+    WHEN flight_date - today > 60 THEN printf({_text(C.MSG_TOO_FAR)}, CAST(flight_date - today AS VARCHAR))
   END AS message FROM requests)""",
 )
 _fragment("usable", "checked", sql="SELECT * FROM checked WHERE status = 'ok'")
@@ -1041,8 +1041,10 @@ _start, _end, _best = (
     _SHORT.format("buy_window_end"),
     _SHORT.format("best_date"),
 )
-_WHEN = f"""CASE WHEN buy_window_start = buy_window_end THEN 'by ' || {_start}
-  ELSE 'between ' || {_start} || ' and ' || {_end} END"""
+_WHEN = f"""CASE WHEN buy_window_start = buy_window_end THEN printf({_text(C.WINDOW_OF_ONE_DAY)}, {_start})
+  ELSE printf({_text(C.WINDOW_OF_DAYS)}, {_start}, {_end}) END"""
+_MESSAGE = f"""CASE WHEN buy THEN printf({_text(C.MSG_BUY)}, {_WHEN})
+    ELSE printf({_text(C.MSG_WAIT)}, {_WHEN}, {_best}, printf('%.2f', round_even(savings * 100, 0) / 100)) END"""
 _CURVE_COLUMNS = (
     "SELECT request_id, stops, CAST(day AS INTEGER) AS days_before_departure, "
     "round(fare, 6) AS predicted_fare FROM stop_curves"
@@ -1087,9 +1089,7 @@ SELECT request_id, origin, destination, flight_date, days_left, stops, price_sou
   CASE WHEN NOT buy THEN round_even(savings * 100, 0) / 100 END AS expected_savings,
   CAST(best_day AS INTEGER) AS best_day, best_date, buy_window_start, buy_window_end,
   CAST(window_start_days AS INTEGER) AS buy_window_start_days, CAST(window_end_days AS INTEGER) AS buy_window_end_days,
-  CASE WHEN buy THEN 'Buy ' || {_WHEN} || {_text(C.MSG_BUY_TAIL)}
-    ELSE 'Wait, then buy ' || {_WHEN} || '. Lowest predicted fare is around ' || {_best} ||
-      '. You could save around $' || printf('%.2f', round_even(savings * 100, 0) / 100) || ' by waiting.' END AS message,
+  {_MESSAGE} AS message,
   curve_points, curve_total
 FROM d JOIN t USING (request_id)
 UNION ALL BY NAME
@@ -1213,9 +1213,7 @@ SELECT request_id, CASE WHEN buy THEN 'buy_now' ELSE 'wait' END AS status,
   CASE WHEN NOT buy THEN round_even(savings * 100, 0) / 100 END AS expected_savings,
   CASE WHEN NOT buy THEN CAST(days_left - best_day AS INTEGER) END AS wait_days, CAST(best_day AS INTEGER) AS best_day,
   CAST(window_start_days AS INTEGER) AS buy_window_start_days, CAST(window_end_days AS INTEGER) AS buy_window_end_days,
-  CASE WHEN buy THEN 'Buy ' || {_WHEN} || {_text(C.MSG_BUY_TAIL)}
-    ELSE 'Wait, then buy ' || {_WHEN} || '. Lowest predicted fare is around ' || {_best} ||
-      '. You could save around $' || printf('%.2f', round_even(savings * 100, 0) / 100) || ' by waiting.' END AS message,
+  {_MESSAGE} AS message,
   curve_total
 FROM d JOIN t USING (request_id)
 UNION ALL BY NAME SELECT request_id, status, message FROM checked WHERE status <> 'ok'""",

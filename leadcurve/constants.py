@@ -146,13 +146,12 @@ HEADLINE_END = r'(?i)</tr>|"cheapestPopular|"title"\s*:'
 HEADLINE_PRICE = r"\$([0-9][0-9,]*(?:\.[0-9]+)?)"
 CARD_PRICE = r'(?is)"title"\s*:\s*"Cheapest flight"\s*,\s*"dataText"\s*:\s*"\$([0-9][0-9,]*(?:\.[0-9]+)?)"'
 
-# Messages of request checks and recommendations.
+# Messages of request checks and recommendations; %s stands for what is filled in.
 MSG_SAME_AIRPORT = "Origin and destination must be different airports."
 MSG_UNSUPPORTED = "Pick both airports from the supported list."
 MSG_NOT_FUTURE = "Flight date must be in the future."
-MSG_TOO_FAR_HEAD = "Flight is "
-MSG_TOO_FAR_TAIL = (
-    " days out - the model only has reliable data up to 60 days before departure. "
+MSG_TOO_FAR = (
+    "Flight is %s days out - the model only has reliable data up to 60 days before departure. "
     "Check back closer to the flight."
 )
 MSG_STOPS = "Stops must be ALL, non-stop, or stop."
@@ -160,12 +159,7 @@ MSG_PRICE_TYPE = "Current price must be a number."
 MSG_PRICE_SIGN = "Current price must be greater than 0."
 MSG_CODE_LENGTH = "Enter valid 3-letter airport codes."
 MSG_DATE = "Enter a valid flight date."
-MSG_BUY_HEAD = "Buy "
-MSG_BUY_TAIL = ". Waiting isn't expected to save $8+ before departure."
-MSG_WAIT_HEAD = "Wait, then buy "
-MSG_WAIT_LOWEST = ". Lowest predicted fare is around "
-MSG_WAIT_SAVE = ". You could save around $"
-MSG_WAIT_TAIL = " by waiting."
-WINDOW_ONE_DAY = "by "
-WINDOW_START = "between "
-WINDOW_END = " and "
+MSG_BUY = "Buy %s. Waiting isn't expected to save $8+ before departure."
+MSG_WAIT = "Wait, then buy %s. Lowest predicted fare is around %s. You could save around $%s by waiting."
+WINDOW_OF_ONE_DAY = "by %s"
+WINDOW_OF_DAYS = "between %s and %s"

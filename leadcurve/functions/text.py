@@ -14,26 +14,17 @@ def short_date(day: Column) -> Column:
 
 
 def window_text(start: Column, end: Column) -> Column:
-    return F.when(start == end, F.concat(F.lit(C.WINDOW_ONE_DAY), short_date(start))).otherwise(
-        F.concat(F.lit(C.WINDOW_START), short_date(start), F.lit(C.WINDOW_END), short_date(end))
-    )
+    one, both = F.format_string(C.WINDOW_OF_ONE_DAY, short_date(start)), F.format_string(C.WINDOW_OF_DAYS, short_date(start), short_date(end))
+    return F.when(start == end, one).otherwise(both)
 
 
 def buy_now_message(when: Column) -> Column:
-    return F.concat(F.lit(C.MSG_BUY_HEAD), when, F.lit(C.MSG_BUY_TAIL))
+    return F.format_string(C.MSG_BUY, when)
 
 
 def wait_message(when: Column, best_date: Column, savings: Column) -> Column:
-    return F.concat(
-        F.lit(C.MSG_WAIT_HEAD),
-        when,
-        F.lit(C.MSG_WAIT_LOWEST),
-        short_date(best_date),
-        F.lit(C.MSG_WAIT_SAVE),
-        F.format_string("%.2f", cents(savings)),
-        F.lit(C.MSG_WAIT_TAIL),
-    )
+    return F.format_string(C.MSG_WAIT, when, short_date(best_date), F.format_string("%.2f", cents(savings)))
 
 
 def too_far_message(days_left: Column) -> Column:
-    return F.concat(F.lit(C.MSG_TOO_FAR_HEAD), days_left.cast("string"), F.lit(C.MSG_TOO_FAR_TAIL))
+    return F.format_string(C.MSG_TOO_FAR, days_left.cast("string"))
