@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadcurve.llm import flatgraph
+from leadcurve.llm.blas import single_thread
 from leadcurve.llm.frames import own_columns, partitions, staged
 from leadcurve.llm.graph import components
 
@@ -128,6 +129,7 @@ def _fitted(rows: DataFrame, big: DataFrame, turn: int, limit: int) -> DataFrame
 
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by cell and salt, the cell's centroids before them."""
+    single_thread()
     for _, own in _cells(batches, "place"):
         centroids = None
         for part in own:
@@ -181,6 +183,7 @@ def shards(nodes: DataFrame, limit: int = SHARD_ROWS) -> DataFrame:
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The adjacency list of each member of each shard."""
+    single_thread()
     for _, own in _cells(batches, "cell"):
         table = pa.Table.from_batches(list(own))
         node = table.column("node").to_numpy()
@@ -291,6 +294,8 @@ def _answers(batches: Iterator[pa.RecordBatch], beam: int, reach: float) -> Iter
     (query, cell, links), (query, other): a spanning link, and (query, cell, entry): a message.
     """
 
+    single_thread()
+
     def rows(query, cell=None, links=None, other=None, entry=None):
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
         columns = [pa.nulls(len(query), k) if v is None else pa.array(v, k) for v, k in zip((query, cell, links, other, entry), kinds, strict=True)]

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from leadcurve.llm import attention as A
 from leadcurve.llm import words as W
+from leadcurve.llm.blas import single_thread
 from leadcurve.llm.bpe import read_ranks
 from leadcurve.llm.frames import own_columns, staged
 
@@ -202,6 +203,7 @@ def learned_weights(documents: DataFrame, tokenizer, subwords: A.Subwords, round
         shared = spark.sparkContext.broadcast((weights, subwords))  # of fixed size
 
         def step(batches: Iterator[pa.RecordBatch], turn: int = turn, shared=shared) -> Iterator[pa.RecordBatch]:
+            single_thread()
             given, classes = shared.value
             own, learner = tokenizer(), A.Learner(given, classes, RATES[turn])
             for batch in W.pieces(batches, size=PIECE_BYTES):
@@ -306,6 +308,7 @@ def scored(documents: DataFrame, rank_file: str, pattern: str, frequent_words: i
     shared = spark.sparkContext.broadcast((frequent, weights, subwords))  # frequent_words, and weights of fixed size
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single_thread()
         words, learned, classes = shared.value
         return _Scorer(tokenizer(), words, log_size, ends, learned, classes)(batches)
 

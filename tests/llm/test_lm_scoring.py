@@ -171,3 +171,11 @@ def test_windows_without_overlap_hold_every_subword_once():
     ids = np.append(np.arange(39) % 40, 40)
     text = A.windows(subwords(), ids, np.array([0, 17, 40]), overlap=0)
     assert sorted(text.at[text.valid]) == list(range(40)) and (text.valid == text.used).all()
+
+
+def test_products_take_one_thread():
+    from leadcurve.llm.blas import single_thread
+
+    assert single_thread()  # the library that numpy brings here is known
+    a = np.random.default_rng(1).normal(size=(300, 40))
+    assert np.allclose(a.T @ a, np.einsum("ij,ik->jk", a, a))
