@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from leadcurve import constants as C
 from leadcurve.catalog.fixtures import AIRPORT, PAGE_BLOCK
-from leadcurve.catalog.queries import CURVE_SAMPLE, KNOWN_ROUTES, PAIR_SAMPLE
+from leadcurve.catalog.queries import CURVE_SAMPLE, PAIR_SAMPLE
 from leadcurve.operators.policy import POISSON_BOUNDS
 
 # name -> (fragments it needs, SQL)
@@ -469,13 +469,6 @@ SELECT DISTINCT route, flightDate, isNonStop, days_before_departure FROM (
   QUALIFY row_number() OVER (PARTITION BY route, flightDate, isNonStop, target
     ORDER BY abs(days_before_departure - target), days_before_departure DESC) = 1)""",
 )
-_fragment(
-    "known_routes",
-    "market",
-    sql=f"""
-SELECT route FROM market GROUP BY route, startingAirport, destinationAirport
-ORDER BY count(*) DESC, startingAirport, destinationAirport LIMIT {KNOWN_ROUTES}""",
-)
 _PREDICTED = "least(3e0, greatest(0.3e0, 0.8e0 + 0.02e0 * abs({day} - 10)))"
 
 
@@ -483,7 +476,7 @@ def _wait_rule(threshold: str) -> str:
     return f"(predicted_savings >= {threshold} AND predicted_purchase_days < as_of_days)"
 
 
-def _period(prefix: str, start: float, end: float, limit: int | None = None) -> None:
+def _period(prefix: str, start: float, end: float) -> None:
     """Bounds, candidates and simulated decisions of a period."""
     _fragment(
         f"{prefix}_bounds",
@@ -495,7 +488,6 @@ SELECT max(d) FILTER (WHERE i = least(n - 1, floor(n * {start}e0))) AS period_st
     _fragment(
         f"{prefix}_candidates",
         "nearest",
-        "known_routes",
         f"{prefix}_bounds",
         sql=f"""
 SELECT concat_ws('|', route, strftime(flightDate, '%Y-%m-%d'), {_STOP}, CAST(days_before_departure AS VARCHAR))
@@ -504,8 +496,7 @@ SELECT concat_ws('|', route, strftime(flightDate, '%Y-%m-%d'), {_STOP}, CAST(day
   best_fare AS current_fare, seen_median AS trailing_median_fare
 FROM measured JOIN nearest USING (route, flightDate, isNonStop, days_before_departure), {prefix}_bounds
 WHERE searchDate >= period_start AND (period_end IS NULL OR searchDate < period_end)
-  AND days_before_departure > last_day AND route IN (SELECT route FROM known_routes)
-{f"ORDER BY sha256(decision_id), decision_id LIMIT {limit}" if limit else ""}""",
+  AND days_before_departure > last_day""",
     )
     _fragment(
         f"{prefix}_rows",
@@ -557,7 +548,6 @@ FROM {prefix}_facts""",
 
 
 _period("val", 0.70, 0.85)
-_period("small", 0.70, 0.85, 200)
 _period("test", 0.85, 1.0)
 
 
@@ -581,7 +571,7 @@ ORACLE |= {
     "period_slice": _sql(
         f"{_slice('validation', 'val')} UNION ALL {_slice('test', 'test')}", "val_bounds", "test_bounds"
     ),
-    "decision_candidates": _sql("SELECT * FROM small_candidates", "small_candidates"),
+    "decision_candidates": _sql("SELECT * FROM val_candidates", "val_candidates"),
     "trailing_median": _sql(
         """SELECT route, flightDate, isNonStop, days_before_departure AS as_of_days, median(best_fare) OVER (
 PARTITION BY route, flightDate, isNonStop ORDER BY days_before_departure DESC ROWS UNBOUNDED PRECEDING)

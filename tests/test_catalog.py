@@ -9,6 +9,7 @@ import pytest
 from __spark_entry__ import entry
 from leadcurve.catalog.oracle import ORACLE
 from leadcurve.catalog.queries import QUERIES
+from leadcurve.session import stage
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,3 +49,12 @@ def test_entry_runs(spark):
 
 def test_every_query_but_training_has_sql():
     assert set(QUERIES) - set(ORACLE) == {"train_gbt"}
+
+
+def test_backtest_queries_take_every_route(spark):
+    routes = {r.route for r in QUERIES["period_slice"](spark, SF).filter("period = 'test'").select("route").distinct().collect()}
+    assert len(routes) == 12
+    decided = stage(QUERIES["simulate_decisions"](spark, SF), "decided")
+    assert {r.route for r in decided.select("route").distinct().collect()} == routes
+    assert {r.route for r in QUERIES["decision_candidates"](spark, SF).select("route").distinct().collect()} == routes
+    assert {r.booking_decisions for r in QUERIES["full_backtest"](spark, SF).collect()} == {decided.count()}

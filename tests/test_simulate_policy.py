@@ -1,3 +1,4 @@
+import hashlib
 from datetime import date, timedelta
 
 import numpy as np
@@ -37,6 +38,15 @@ def test_trailing_median_counts_the_past_and_today(decisions):
     assert {r.as_of_days: r.trailing_median_fare for r in decisions.collect()} == expected
 
 
+def test_a_sample_keeps_the_decisions_that_come_first_by_hash(spark):
+    table = ten_flights(spark)
+    bounds = split.period_bounds(table, 0.1, 1.0)
+    ids = [r.decision_id for r in simulate.decision_candidates(table, bounds).collect()]
+    few = [r.decision_id for r in simulate.decision_candidates(table, bounds, max_decisions=5).collect()]
+    assert len(ids) > 5
+    assert sorted(few) == sorted(sorted(ids, key=lambda i: hashlib.sha256(i.encode()).hexdigest())[:5])
+
+
 def test_nearest_day_prefers_the_larger_and_is_taken_once(spark):
     flight = date(2022, 10, 30)
     table = daily(spark, {
