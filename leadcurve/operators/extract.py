@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from leadcurve import constants as C
 from leadcurve.functions.fares import cents
+from leadcurve.functions.once import once
 
 # --- itineraries -----------------------------------------------------------------
 
@@ -37,9 +38,10 @@ def _trimmed(text: Column) -> Column:
 
 def _clock(raw: Column) -> Column:
     """hh:mm of a ``date time`` text, or of a bare time."""
-    second = F.regexp_extract(raw, r"^\s*\S+\s+(\S{1,5})", 1)
-    bare = F.regexp_extract(raw, r"^\s*(?=\S*:)(?=\S{4})(\S{1,5})\S*\s*$", 1)
-    return F.when(second != "", second).otherwise(_filled(bare))
+    bare = once(F.regexp_extract(raw, r"^\s*(?=\S*:)(?=\S{4})(\S{1,5})\S*\s*$", 1), _filled)
+    return once(
+        F.regexp_extract(raw, r"^\s*\S+\s+(\S{1,5})", 1), lambda second: F.when(second != "", second).otherwise(bare)
+    )
 
 
 def _flight_numbers(legs: Column) -> Column:
@@ -55,7 +57,7 @@ def _usable(option: Column) -> Column:
     """An option needs a leg and an acceptable price."""
     price = option["price"].try_cast("double")
     legs = F.coalesce(F.size(option["flights"]), F.lit(0))
-    return (legs > 0) & price.between(C.ITINERARY_MIN, C.ITINERARY_MAX)
+    return (legs > 0) & once(price, lambda p: p.between(C.ITINERARY_MIN, C.ITINERARY_MAX))
 
 
 def _identity(option: Column) -> Column:
@@ -118,9 +120,10 @@ def itineraries(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     options = F.concat(
         F.coalesce("doc.best_flights", none), F.coalesce("doc.other_flights", none)
     )
+    # sort_array compares rows as they are; array_sort would call a comparator of expressions
     tagged = parsed.select(
         *keys,
-        F.array_sort(
+        F.sort_array(
             F.transform(
                 F.filter(options, _usable),
                 lambda o, i: F.struct(_identity(o).alias("key"), i.alias("place"), o.alias("option")),
@@ -128,7 +131,7 @@ def itineraries(payloads: DataFrame, payload: str = "payload") -> DataFrame:
         ).alias("tagged"),
     )
     # sorted by key, then place: an entry equal to the one before it is a copy
-    before = F.concat(F.array(F.lit(None)), F.transform("tagged", lambda t: t["key"]))
+    before = F.concat(F.array(F.lit(None)), F.col("tagged.key"))
     firsts = F.transform(
         F.filter(
             F.arrays_zip(F.col("tagged").alias("entry"), before.alias("before")),
@@ -140,7 +143,7 @@ def itineraries(payloads: DataFrame, payload: str = "payload") -> DataFrame:
             z["entry"]["option"].alias("option"),
         ),
     )
-    kept = tagged.select(*keys, F.posexplode(F.array_sort(firsts)).alias("id", "entry"))
+    kept = tagged.select(*keys, F.posexplode(F.sort_array(firsts)).alias("id", "entry"))
     return _details(kept.select(*keys, "id", "entry.key", "entry.option"), keys)
 
 
@@ -176,18 +179,22 @@ def with_curve_pool(found: DataFrame) -> DataFrame:
 def _published(price: Column) -> Column:
     """The price as a number if it lies in the accepted range."""
     amount = F.regexp_replace(price, r"[,$]", "").try_cast("double")
-    return F.when(amount.between(C.PUBLISHED_MIN, C.PUBLISHED_MAX), amount)
+    return once(amount, lambda a: F.when(a.between(C.PUBLISHED_MIN, C.PUBLISHED_MAX), a))
 
 
 def _found(text: Column, pattern: str) -> Column:
-    return _filled(F.regexp_extract(text, pattern, 1))
+    return once(F.regexp_extract(text, pattern, 1), _filled)
+
+
+def _behind_first(parts: Column) -> Column:
+    """All parts of a split text but the first."""
+    return F.filter(parts, lambda part, i: i > 0)
 
 
 def _after_headline(html: Column, headline: str) -> Column:
     """Price of the first headline that has one before it ends."""
-    parts = F.split(html, headline)
     own = F.transform(
-        F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))),
+        _behind_first(F.split(html, headline)),
         lambda part: _found(F.get(F.split(part, C.HEADLINE_END, 2), F.lit(0)), C.HEADLINE_PRICE),
     )
     return F.get(F.filter(own, lambda price: price.isNotNull()), F.lit(0))
@@ -210,16 +217,25 @@ def _deals_block(html: Column) -> Column:
 
 def deals_array(html: Column) -> Column:
     """Deals of a route page in page order: ``array<struct<pos, price, date, stops, carrier>>``."""
-    parts = F.split(_deals_block(html), C.DEAL_START)
-    offers = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
-    deals = F.transform(
-        offers,
+    # each text is matched once for each field: what is found is named first, then read
+    found = F.transform(
+        _behind_first(F.split(_deals_block(html), C.DEAL_START)),
         lambda part, i: F.struct(
             i.alias("pos"),
-            _published(_found(part, C.DEAL_PRICE)).alias("price"),
-            _found(part, C.DEAL_DATE).alias("date"),
-            _found(part, C.DEAL_STOPS).try_cast("int").alias("stops"),
-            _found(part, C.DEAL_CARRIER).alias("carrier"),
+            F.regexp_extract(part, C.DEAL_PRICE, 1).try_cast("double").alias("amount"),
+            F.regexp_extract(part, C.DEAL_DATE, 1).alias("date"),
+            F.regexp_extract(part, C.DEAL_STOPS, 1).try_cast("int").alias("stops"),
+            F.regexp_extract(part, C.DEAL_CARRIER, 1).alias("carrier"),
+        ),
+    )
+    deals = F.transform(
+        found,
+        lambda d: F.struct(
+            d["pos"].alias("pos"),
+            F.when(d["amount"].between(C.PUBLISHED_MIN, C.PUBLISHED_MAX), d["amount"]).alias("price"),
+            _filled(d["date"]).alias("date"),
+            d["stops"].alias("stops"),
+            _filled(d["carrier"]).alias("carrier"),
         ),
     )
     usable = F.filter(deals, lambda d: d["price"].isNotNull() & d["date"].isNotNull())
@@ -227,6 +243,12 @@ def deals_array(html: Column) -> Column:
     return F.coalesce(usable, empty)
 
 
+def _dated(deals: Column) -> Column:
+    """The deals as ``pick_deal`` reads them: with the date typed, by price and place on the page."""
+    fields = lambda d: [d[c].alias(c) for c in ("price", "pos", "date", "stops", "carrier")]
+    return F.sort_array(F.transform(deals, lambda d: F.struct(*fields(d), d["date"].try_cast("date").alias("day"))))
+
+
 def parse_route_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     """Replace each page's text by its ``deals`` and ``headline``."""
     keys = [c for c in pages.columns if c != html]
@@ -247,33 +269,31 @@ def published_deals(pages: DataFrame, html: str = "html") -> DataFrame:
 def pick_deal(deals: Column, flight_date: Column, stops: Column) -> Column:
     """The deal nearest to a flight date: ``struct<tier, gap, price, pos, date, ...>``.
 
+    ``deals`` come from ``_dated``: with a ``day`` and in the order of their price.
     Tier 0 is the exact date, 1 a date within ten days, 2 the route's lowest fare.
     Within a tier the smaller gap (tier 1), the lower price and the page order
     decide. A stop type without a deal falls back to all deals.
     """
-    fitting = F.filter(
-        deals,
-        lambda d: F.when(stops == "nonstop", F.coalesce(d["stops"] == 0, F.lit(False)))
-        .when(stops == "connecting", F.coalesce(d["stops"] != 0, F.lit(False)))
-        .otherwise(F.lit(True)),
+    fitting = (
+        F.when(stops == "nonstop", F.filter(deals, lambda d: d["stops"] == 0))
+        .when(stops == "connecting", F.filter(deals, lambda d: d["stops"] != 0))
+        .otherwise(deals)
     )
-    pool = F.when(F.size(fitting) > 0, fitting).otherwise(deals)
-
-    def ranked(d: Column) -> Column:
-        gap = F.abs(F.datediff(d["date"].try_cast("date"), flight_date))
-        near = F.coalesce(gap <= C.NEARBY_DAYS, F.lit(False))
-        tier = F.when(F.coalesce(gap == 0, F.lit(False)), 0).when(near, 1).otherwise(2)
-        return F.struct(
-            tier.alias("tier"),
-            F.when(tier == 1, gap).otherwise(0).alias("gap"),
-            d["price"].alias("price"),
-            d["pos"].alias("pos"),
-            d["date"].alias("date"),
-            d["stops"].alias("stops"),
-            d["carrier"].alias("carrier"),
+
+    def ranked(d: Column, tier: Column, gap: Column) -> Column:
+        rest = [d[c].alias(c) for c in ("price", "pos", "date", "stops", "carrier")]
+        return F.struct(tier.alias("tier"), gap.alias("gap"), *rest)
+
+    def nearest(pool: Column) -> Column:
+        gaps = F.transform(pool, lambda d: F.struct(F.abs(F.datediff(d["day"], flight_date)).alias("gap"), d.alias("deal")))
+        near = F.filter(gaps, lambda g: g["gap"] <= C.NEARBY_DAYS)
+        dated = F.array_min(
+            F.transform(near, lambda g: ranked(g["deal"], F.when(g["gap"] == 0, 0).otherwise(1), g["gap"]))
         )
+        lowest = once(F.get(pool, F.lit(0)), lambda d: F.when(d.isNotNull(), ranked(d, F.lit(2), F.lit(0))))
+        return F.coalesce(dated, lowest)
 
-    return F.array_min(F.transform(pool, ranked))
+    return once(once(fitting, lambda f: F.when(F.size(f) > 0, f).otherwise(deals)), nearest)
 
 
 def one_page_each(pages: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -289,7 +309,9 @@ def one_page_each(pages: DataFrame, on: Sequence[str]) -> DataFrame:
 
 def nearest_deal(requests: DataFrame, pages: DataFrame, on: Sequence[str]) -> DataFrame:
     """Each request's best matching deal on its route page (``deals`` from ``parse_route_pages``)."""
-    joined = requests.join(one_page_each(pages, on), list(on), "left")
+    # dates are read once per page, not once per request
+    dated = one_page_each(pages, on).withColumn("deals", _dated(F.col("deals")))
+    joined = requests.join(dated, list(on), "left")
     hit = pick_deal(F.col("deals"), F.col("flight_date"), F.col("stops"))
     return joined.withColumn("deal", hit).drop("deals")
 

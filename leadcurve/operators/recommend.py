@@ -194,12 +194,19 @@ def _curve_in_row(requests: DataFrame, scorer: FormulaScorer) -> DataFrame:
 
     based = requests.withColumns({"_base_nonstop": base(True), "_base_connecting": base(False)})
 
-    def fare(day: Column) -> Column:
-        direct = scorer.at(day, left, F.lit(True)) / F.col("_base_nonstop") * price
-        via = scorer.at(day, left, F.lit(False)) / F.col("_base_connecting") * price
-        return F.when(stops == "nonstop", direct).when(stops == "connecting", via).otherwise(F.least(via, direct))
+    def direct(day: Column) -> Column:
+        return scorer.at(day, left, F.lit(True)) / F.col("_base_nonstop") * price
 
-    return based.select(*requests.columns, _every_day(fare).alias("points"))
+    def via(day: Column) -> Column:
+        return scorer.at(day, left, F.lit(False)) / F.col("_base_connecting") * price
+
+    # the stop type is looked at once per row, not once per day
+    points = (
+        F.when(stops == "nonstop", _every_day(direct))
+        .when(stops == "connecting", _every_day(via))
+        .otherwise(_every_day(lambda day: F.least(via(day), direct(day))))
+    )
+    return based.select(*requests.columns, points.alias("points"))
 
 
 def curve_points(requests: DataFrame, scorer: Scorer) -> DataFrame:
@@ -267,38 +274,21 @@ def buy_windows(curves: DataFrame, margin: float = C.MEANINGFUL_SAVINGS) -> Data
     Only days up to departure count. The run ends before the nearest dearer day on
     either side.
     """
-    left, best_day = F.col("days_left"), F.col("best_day")
-
-    def days(points: Column) -> Column:
-        return F.transform(points, lambda p: p["day"])
-
-    cheapest = F.array_min(
-        F.transform("ahead", lambda p: F.struct(p["fare"].alias("fare"), (-p["day"]).alias("order")))
-    )
-    limit = F.col("best_price") + F.lit(float(margin))
+    left, place = F.col("days_left"), F.col("best_place")
+    # days lie in the order of the points, the largest first: the first of equal fares is the earliest date
     found = (
         curves.withColumn("ahead", F.filter("points", lambda p: p["day"] <= left))
-        .withColumn("best", cheapest)
-        .withColumns({"best_day": -F.col("best.order"), "best_price": F.col("best.fare")})
-        .withColumn("dear", days(F.filter("ahead", lambda p: p["fare"] > limit)))
-        .withColumns(
-            {
-                "break_before": F.coalesce(
-                    F.array_min(F.filter("dear", lambda d: d > best_day)), left + 1
-                ),
-                "break_after": F.coalesce(
-                    F.array_max(F.filter("dear", lambda d: d < best_day)), F.lit(0)
-                ),
-            }
-        )
-        .withColumn(
-            "inside",
-            F.filter(
-                days(F.col("ahead")),
-                lambda d: (d < F.col("break_before")) & (d > F.col("break_after")),
-            ),
-        )
+        .withColumns({"ahead_days": F.col("ahead.day"), "ahead_fares": F.col("ahead.fare")})
+        .withColumn("best_price", F.array_min("ahead_fares"))
+        .withColumn("best_place", F.array_position("ahead_fares", F.col("best_price")).cast("int"))
+        .withColumn("dear", F.transform("ahead_fares", lambda fare: fare > F.col("best_price") + F.lit(float(margin))))
     )
+    # how many days on either side come before the nearest dearer one: one pass, places by number
+    before = F.array_position(F.reverse(F.slice("dear", F.lit(1), place)), True)
+    after = F.array_position(F.slice("dear", place, F.size("dear") - place + 1), True)
+    found = found.withColumns({"dear_before": before.cast("int"), "dear_after": after.cast("int")})
+    first = F.when(F.col("dear_before") == 0, 1).otherwise(place - F.col("dear_before") + 2)
+    last = F.when(F.col("dear_after") == 0, F.size("dear")).otherwise(place + F.col("dear_after") - 2)
     rounded = F.transform(
         "points",
         lambda p: F.struct(
@@ -307,12 +297,13 @@ def buy_windows(curves: DataFrame, margin: float = C.MEANINGFUL_SAVINGS) -> Data
     )
     return found.withColumns(
         {
-            "window_start_days": F.array_max("inside"),
-            "window_end_days": F.array_min("inside"),
-            "today_price": F.element_at("ahead", 1)["fare"],
+            "best_day": F.try_element_at("ahead_days", place),
+            "window_start_days": F.try_element_at("ahead_days", first),
+            "window_end_days": F.try_element_at("ahead_days", last),
+            "today_price": F.element_at("ahead_fares", 1),
             "curve": rounded,
         }
-    ).drop("points", "ahead", "best", "dear", "break_before", "break_after", "inside")
+    ).drop("points", "ahead", "ahead_days", "ahead_fares", "best_place", "dear", "dear_before", "dear_after")
 
 
 def recommend(windows: DataFrame, margin: float = C.MEANINGFUL_SAVINGS) -> DataFrame:
