@@ -175,3 +175,18 @@ def test_second_source_is_asked_only_without_a_first(spark):
     assert got[1] == (88.0, "routes", "nearby", "2027-02-11")
     assert got[2] == (1049.0, "cities", "route_lowest", None)
     assert got[3] == (None, None, None, None)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_deal_is_matched_once_per_field(spark):
+    texts = spark.createDataFrame([("ATL", "LAX", PAGE)], "origin string, destination string, html string").repartition(1)
+    found = texts.select(extract.deals_array(F.col("html")).alias("deals"))
+    assert plan_of(found).count("regexp_extract(") == 4
+    # the dates of deals are read below the join, once per page
+    requests = spark.createDataFrame([(1, "ATL", "LAX", date(2027, 2, 14), "all")], REQUEST).repartition(1)
+    plan = plan_of(extract.nearest_deal(requests, extract.parse_route_pages(texts), ["origin", "destination"]))
+    above, below = plan.split("Join", 1)
+    assert plan.count(" as date)") == 1 and " as date)" not in above and " as date)" in below

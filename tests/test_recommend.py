@@ -222,3 +222,11 @@ def test_dollar_formula_equals_unfolded_one(spark):
     both = [recommend.predict_curves(requests, s, absolute=True) for s in (score, lambda rows: score(rows))]
     found = [sorted((str(r.request_id), r.origin, r.days_left, tuple(map(tuple, r.points))) for r in df.collect()) for df in both]
     assert found[0] == found[1]
+
+
+def test_window_search_is_no_search_per_day(spark):
+    pinned = recommend.pin_prices(recommend.validate_requests(many(spark, 40)), *lookups(spark))
+    windows = recommend.buy_windows(recommend.curve_points(pinned, scorers.drift()))
+    plan = windows.select("request_id", "window_start_days", "window_end_days")._jdf.queryExecution().optimizedPlan().toString()
+    # the days ahead are found by the only filter; nothing looks through the dear days for each day
+    assert plan.count("filter(") == 1
