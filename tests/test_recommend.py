@@ -230,3 +230,24 @@ def test_window_search_is_no_search_per_day(spark):
     plan = windows.select("request_id", "window_start_days", "window_end_days")._jdf.queryExecution().optimizedPlan().toString()
     # the days ahead are found by the only filter; nothing looks through the dear days for each day
     assert plan.count("filter(") == 1
+
+
+def test_a_question_asked_often_is_scored_once(spark):
+    seen = []
+
+    def counting(rows):
+        seen.append(rows)
+        return scorers.by_stop()(rows)
+
+    questions = [
+        ("ATL", "LAX", TODAY, FLIGHT, 200.0, "all"), ("ATL", "LAX", TODAY, FLIGHT, None, "stop"),
+        ("BOS", "ATL", TODAY, FLIGHT, 90.0, "nonstop"), ("BOS", "ATL", TODAY, FLIGHT, 91.0, "nonstop"),
+    ]
+    requests = ask(spark, *[q for q in questions for _ in range(30)])
+    routes, overall = lookups(spark)
+    overall = overall.withColumn("global_median_distance", F.lit(None).cast("double"))  # BOS-ATL has no distance
+    out = recommend.recommend_requests(requests, counting, routes, overall).collect()
+    assert len(seen) == 1 and seen[0].count() == 5 * 60  # one question is for both stop types
+    assert sorted(r.request_id for r in out) == list(range(120))
+    plain = recommend.recommend_requests(requests, scorers.by_stop(), routes, overall).collect()
+    assert sorted(out, key=lambda r: r.request_id) == sorted(plain, key=lambda r: r.request_id)
