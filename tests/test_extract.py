@@ -190,3 +190,45 @@ def test_a_deal_is_matched_once_per_field(spark):
     plan = plan_of(extract.nearest_deal(requests, extract.parse_route_pages(texts), ["origin", "destination"]))
     above, below = plan.split("Join", 1)
     assert plan.count(" as date)") == 1 and " as date)" not in above and " as date)" in below
+
+
+def test_payload_texts_are_written_without_structs(spark, tmp_path):
+    from leadcurve.catalog import fixtures
+
+    schema = ("l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double, "
+              "l_tax double, l_returnflag string")
+    rows = [
+        (1, 1, 129, 45, 9300.0, 4.0, 0.05, "A"), (1, 2, 150, None, 800.0, 5.0, 0.0, "N"), (1, 4, None, 7, None, 2.0, None, "A"),
+        (2, None, 5, 6, 400.0, None, 0.08, None), (3, 3, 1, 1, -1.0, 50.0, 0.03, "R"),
+    ]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = fixtures.payloads(spark, str(tmp_path))
+    assert "to_json" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+    def leg(dep, arr, minutes, airline, number):
+        ends = {"departure_airport": {"id": "ATL", "time": dep}, "arrival_airport": {"id": "LAX", "time": arr}}
+        return {**ends, "duration": minutes, "airline": airline, "flight_number": number}
+
+    def option(_, line, part, supplier, price, quantity, tax, flag):
+        two, day = line is not None and line % 2 == 0, "2022-09-15 "
+        dep, arr = (f"{day}0{line}:15", f"{day}1{line}:45") if line is not None else (None, None)
+        minutes = None if line is None else 30 + 5 * line
+        airline = "Delta" if quantity is not None and quantity % 2 == 0 else None
+        legs = [leg(dep, day + "09:00" if two else arr, minutes, airline, part if part is None else f"dl {part % 50}")]
+        legs += [leg(day + "09:40", arr, minutes, "American", supplier if supplier is None else f"AA {supplier % 20}")] if two else []
+        return {
+            "flights": legs, "layovers": [{"id": "DFW"}] if two else None,
+            "total_duration": 10 * line + 60 if tax is not None and tax > 0.02 and line is not None else None,
+            "price": int(price // 400) + 15 if quantity is not None and quantity > 3 and price is not None else None, "airline": "Sky",
+        }
+
+    def bare(value):
+        if isinstance(value, dict):
+            return {k: bare(v) for k, v in value.items() if v is not None}
+        return [bare(v) for v in value] if isinstance(value, list) else value
+
+    for r in found.collect():
+        own = [x for x in rows if x[0] == r.payload_id]
+        others = own[2:] + [x for x in own if x[-1] == "A"]
+        want = {"best_flights": [bare(option(*x)) for x in own[:2]], "other_flights": [bare(option(*x)) for x in others]}
+        assert r.payload == json.dumps(want, separators=(",", ":"))
