@@ -180,3 +180,22 @@ def test_months_are_refreshed_and_pruned(spark, tmp_path):
     assert sorted(r.fare for r in kept.collect()) == [101.0, 102.0]
     scan = kept._jdf.queryExecution().executedPlan().toString()
     assert "flight_month" in scan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+
+
+def test_text_is_parsed_once_not_for_each_rule(spark, monkeypatch):
+    from leadcurve.session import stage
+
+    parsed = []
+
+    def recording(df, name):
+        if not parsed:
+            parsed.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stage(df, name)
+
+    text = messy(spark).select(*[F.col(c).cast("string") for c in messy(spark).columns])
+    monkeypatch.setattr(clean, "stage", recording)
+    found = clean.clean_offers(text)
+    # no rule stands beside the parsing: one there would repeat the casts it names
+    assert "Filter" not in parsed[0]
+    monkeypatch.undo()
+    assert sorted(map(str, found.collect())) == sorted(map(str, clean.clean_offers(messy(spark)).collect()))
