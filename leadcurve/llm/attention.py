@@ -16,6 +16,7 @@ WIDTH = 16
 WINDOW, OVERLAP = 16, 4
 OWN_INPUTS = 2048  # subwords with an input vector of their own; others share that of their class
 BATCH = 256
+SLICE = 256  # rows of a product; numpy's library has quicker products for matrices of this size
 
 Weights = dict[str, np.ndarray]
 
@@ -116,14 +117,40 @@ def windows(subwords: Subwords, ids: np.ndarray, first: np.ndarray, overlap: int
 
 
 _SEEN = np.tril(np.ones((WINDOW, WINDOW), dtype=np.float32))
-_ONES = np.ones((max(WINDOW, CLASSES), 1), dtype=np.float32)
-_LOW, _HIGH = np.float32(-80), np.float32(60)  # exponents outside would leave the range of single precision
+_TWO = np.float32(np.log2(np.e))  # powers are of two, which are much faster than those of e
+_LOW, _HIGH = -80 * _TWO, 60 * _TWO  # exponents outside would leave the range of single precision
 
 
-def _row_sums(values: np.ndarray) -> np.ndarray:
-    """As a product with ones, which is much faster than adding along short rows."""
-    ones = _ONES if values.shape[-1] <= len(_ONES) else np.ones((values.shape[-1], 1), values.dtype)
-    return values.reshape(-1, values.shape[-1]) @ ones[: values.shape[-1]].astype(values.dtype, copy=False)
+def _parts(y: np.ndarray) -> list[np.ndarray]:
+    """The rows as a stack of matrices of ``SLICE`` rows, and what is left over as one of fewer."""
+    rows, whole = y.reshape(-1, y.shape[-1]), y.size // y.shape[-1] // SLICE * SLICE
+    return [rows[:whole].reshape(-1, SLICE, y.shape[-1]), rows[whole:][None]]
+
+
+def _product(y: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Each row times a matrix, in slices: products of small matrices are much faster."""
+    out = np.empty((*y.shape[:-1], by.shape[1]), np.result_type(y, by))
+    for part, to in zip(_parts(y), _parts(out), strict=True):
+        if part.size:
+            np.matmul(part, by, out=to)
+    return out
+
+
+def _summed_product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The rows of ``x`` times those of ``y``, summed over all rows."""
+    return sum(np.matmul(a.transpose(0, 2, 1), b).sum(axis=0) for a, b in zip(_parts(x), _parts(y), strict=True))
+
+
+def _row_sums(values: np.ndarray, columns: int = 1) -> np.ndarray:
+    """As a product with ones, which is much faster than adding along short rows; the sum stands in each column."""
+    return _product(values, np.ones((values.shape[-1], columns), values.dtype))
+
+
+def _powers(y: np.ndarray) -> np.ndarray:
+    """Powers of two, in place."""
+    if y.size and (y.max() > _HIGH or y.min() < _LOW):
+        np.clip(y, _LOW, _HIGH, out=y)
+    return np.exp2(y, out=y)
 
 
 def _scaled(w: Weights) -> np.ndarray:
@@ -138,95 +165,100 @@ def _turned(y: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(y.transpose(0, 2, 1))
 
 
-def _chosen(y: np.ndarray, used: np.ndarray) -> np.ndarray:
-    flat = y.reshape(-1, y.shape[-1])
-    return flat if used.all() else flat.take(np.flatnonzero(used), axis=0)
+def _with_one(h: np.ndarray) -> np.ndarray:
+    """The rows with a one behind, which stands for the bias."""
+    out = np.ones((h.size // WIDTH, WIDTH + 1), dtype=h.dtype)
+    out[:, :WIDTH] = h.reshape(-1, WIDTH)
+    return out
+
 
+def _forward(w: Weights, index: np.ndarray, since: int = 0) -> dict[str, np.ndarray]:
+    """Places see themselves and those before: filler stands after all of a window's own places.
 
-def _forward(w: Weights, index: np.ndarray) -> dict[str, np.ndarray]:
-    """Places see themselves and those before: filler stands after all of a window's own places."""
+    Of places before ``since`` only what others see is worked out.
+    """
     x = w["input"].take(index, axis=0)
     x += w["place"]
-    b = len(x)
-    qkv = (x.reshape(-1, WIDTH) @ _scaled(w)).reshape(b, WINDOW, 3 * WIDTH)
-    q, k, v = qkv[..., :WIDTH], qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
+    to_q, to_k, to_v = (np.ascontiguousarray(part) for part in np.split(_scaled(w), 3, axis=1))
+    seeing = np.ascontiguousarray(x[:, since:])
+    q, k, v = _product(seeing, to_q), _product(x, to_k * to_k.dtype.type(_TWO)), _product(x, to_v)
     s = np.matmul(q, _turned(k))
-    np.clip(s, _LOW, _HIGH, out=s)
-    np.exp(s, out=s)
-    s *= _SEEN
-    s /= _row_sums(s).reshape(b, WINDOW, 1)
+    _powers(s)
+    s *= _SEEN[since:]
+    s /= _row_sums(s, WINDOW)
     o = np.matmul(s, v)
-    h = (o.reshape(-1, WIDTH) @ w["out"]).reshape(x.shape)
-    h += x
+    h = _product(o, w["out"])
+    h += seeing
     return {"x": x, "q": q, "k": k, "v": v, "a": s, "o": o, "h": h}
 
 
 def _class_scores(w: Weights, h: np.ndarray) -> np.ndarray:
     """Natural log probabilities of the classes."""
-    z = _logits(w, h)
-    z -= np.log(_row_sums(np.exp(z)))
-    return z
+    z = _logits(w, _with_one(h))
+    return (z - np.log2(_row_sums(_powers(z.copy())))) / z.dtype.type(_TWO)
 
 
-def _logits(w: Weights, h: np.ndarray) -> np.ndarray:
-    z = h @ w["classes"]
-    z += w["bias"]
-    return np.clip(z, _LOW, _HIGH, out=z)
+def _logits(w: Weights, ones: np.ndarray) -> np.ndarray:
+    """Of rows with a one behind, as exponents of two."""
+    return _product(ones, np.vstack([w["classes"], w["bias"]]) * ones.dtype.type(_TWO))
 
 
 def scores(w: Weights, subwords: Subwords, text: Windows, batch: int = 2 * BATCH) -> np.ndarray:
     """log10 probability of each place's target."""
     out = np.zeros(len(text.target))
     klass = subwords.klass[text.target]
-    for lo in range(0, len(text.at), batch):
-        at, used = text.at[lo : lo + batch], text.used[lo : lo + batch]
-        place = at[used]
-        z = _logits(w, _chosen(_forward(w, text.input[at])["h"], used))
-        own = z[np.arange(len(place)), klass[place]]
-        out[place] = own - np.log(_row_sums(np.exp(z, out=z))[:, 0])
-    return out / np.log(10) + subwords.share[text.target]
+    opening = text.used[:, 0]
+    for group in (np.flatnonzero(opening), np.flatnonzero(~opening)):
+        since = int(text.used[group].any(axis=0).argmax()) if len(group) else 0  # places before are only looked back at
+        for lo in range(0, len(group), batch):
+            some = group[lo : lo + batch]
+            at = text.at.take(some, axis=0)
+            h = _forward(w, text.input.take(at), since)["h"].reshape(-1, WIDTH)
+            used = np.flatnonzero(text.used.take(some, axis=0)[:, since:])
+            place = at[:, since:].reshape(-1).take(used)
+            z = _powers(_logits(w, _with_one(h if len(used) == len(h) else h.take(used, axis=0))))
+            own = z.reshape(-1).take(np.arange(0, z.size, z.shape[1]) + klass.take(place))
+            out[place] = np.log10(own / _row_sums(z)[:, 0])
+    return out + subwords.share[text.target]
 
 
 def _summed_rows(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     """The values of equal rows added up."""
-    order = np.argsort(rows, kind="stable")
-    rows = rows[order]
-    head = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-    out = np.zeros((size, values.shape[1]), dtype=values.dtype)
-    out[rows[head]] = np.add.reduceat(values[order], head, axis=0)
-    return out
+    width = values.shape[1]
+    cells = np.arange(size * width).reshape(size, width).take(rows, axis=0)
+    return np.bincount(cells.reshape(-1), values.reshape(-1), size * width).reshape(size, width).astype(values.dtype)
 
 
 def gradients(w: Weights, index: np.ndarray, target: np.ndarray, used: np.ndarray) -> Weights:
     """Of the mean negative log probability of the target classes where ``used``."""
     f = _forward(w, index)
-    h = _chosen(f["h"], used)
-    n = max(len(h), 1)
-    dz = _logits(w, h)
-    np.exp(dz, out=dz)
-    dz /= _row_sums(dz)
-    dz[np.arange(len(h)), target[used]] -= 1
-    dz /= dz.dtype.type(n)
-    dh = dz @ w["classes"].T
-    if len(dh) < used.size:
-        some, dh = dh, np.zeros((used.size, WIDTH), dtype=dh.dtype)
-        dh[np.flatnonzero(used)] = some
+    ones = _with_one(f["h"])
+    # powers, less their row's sum at the target: times ``share`` they are probabilities less one at the target
+    e = _powers(_logits(w, ones))
+    sums = _row_sums(e)
+    e.reshape(-1)[np.arange(0, e.size, e.shape[1]) + target.reshape(-1)] -= sums[:, 0]
+    share = np.repeat(used.reshape(-1) / (sums[:, 0] * sums.dtype.type(max(int(used.sum()), 1))), WIDTH + 1).reshape(ones.shape)
+    ones *= share
+    classes = _summed_product(ones, e)
+    dh = _product(e, np.ascontiguousarray(w["classes"].T))
+    dh *= share[:, :WIDTH]
     dh = dh.reshape(f["h"].shape)
-    flat = lambda y: y.reshape(-1, y.shape[-1])
-    do = (flat(dh) @ w["out"].T).reshape(dh.shape)
+    do = _product(dh, np.ascontiguousarray(w["out"].T))
     ds = np.matmul(do, _turned(f["v"]))
     ds *= f["a"]
-    ds -= f["a"] * _row_sums(ds).reshape(*ds.shape[:2], 1)
+    ds -= f["a"] * _row_sums(ds, WINDOW)
     dqkv = np.empty((*dh.shape[:2], 3 * WIDTH), dtype=dh.dtype)
-    np.matmul(ds, f["k"], out=dqkv[..., :WIDTH])
+    np.matmul(ds, f["k"], out=dqkv[..., :WIDTH])  # times _TWO, as f["k"] is
     np.matmul(ds.transpose(0, 2, 1), f["q"], out=dqkv[..., WIDTH : 2 * WIDTH])
     np.matmul(f["a"].transpose(0, 2, 1), do, out=dqkv[..., 2 * WIDTH :])
-    dx = dh + (flat(dqkv) @ _scaled(w).T).reshape(dh.shape)
-    projection = flat(f["x"]).T @ flat(dqkv)
-    projection[:, :WIDTH] *= projection.dtype.type(WIDTH**-0.5)
+    back, projection = _scaled(w), _summed_product(f["x"], dqkv)
+    back[:, :WIDTH] /= back.dtype.type(_TWO)
+    dx = _product(dqkv, np.ascontiguousarray(back.T))
+    dx += dh
+    projection[:, :WIDTH] *= projection.dtype.type(WIDTH**-0.5 / _TWO)
     return {
-        "input": _summed_rows(index.reshape(-1), flat(dx), len(w["input"])), "place": dx.sum(axis=0), "qkv": projection,
-        "out": flat(f["o"]).T @ flat(dh), "classes": h.T @ dz, "bias": dz.sum(axis=0),
+        "input": _summed_rows(index.reshape(-1), dx.reshape(-1, WIDTH), len(w["input"])), "place": dx.sum(axis=0),
+        "qkv": projection, "out": _summed_product(f["o"], dh), "classes": classes[:WIDTH], "bias": classes[WIDTH],
     }
 
 
@@ -234,38 +266,40 @@ class Learner:
     """Adam over windows as they come; input vectors move where their subword is read."""
 
     def __init__(self, weights: Weights, subwords: Subwords, rate: float):
-        self.w = {k: v.copy() for k, v in weights.items()}
+        self.all = flattened(weights)
+        self.w = _views(self.all, weights)
         self.subwords, self.rate, self.steps, self.places = subwords, rate, 0, 0
-        self.mean = {k: np.zeros_like(v) for k, v in weights.items()}
-        self.square = {k: np.zeros_like(v) for k, v in weights.items()}
+        self.mean, self.square, self.moves = np.zeros_like(self.all), np.zeros_like(self.all), np.ones_like(self.all)
+        self.read = _views(self.moves, weights)["input"]
 
     def learn(self, text: Windows) -> None:
+        mean, square = self.mean, self.square
         for lo in range(0, len(text.at), BATCH):
             at, valid = text.at[lo : lo + BATCH], text.valid[lo : lo + BATCH]
-            index = text.input[at]
-            grads = gradients(self.w, index, self.subwords.klass[text.target[at]], valid)
-            read = np.flatnonzero(np.bincount(index.ravel(), minlength=len(self.w["input"])))
+            index = text.input.take(at)
+            g = flattened(gradients(self.w, index, self.subwords.klass.take(text.target.take(at)), valid))
+            self.read[:] = (np.bincount(index.reshape(-1), minlength=len(self.read)) > 0)[:, None]
             self.steps += 1
             self.places += int(valid.sum())
             rate = np.float32(self.rate * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps))
-            for k, g in grads.items():
-                rows = read if k == "input" else slice(None)
-                g, mean, square = g[rows], self.mean[k][rows], self.square[k][rows]
-                mean = mean + np.float32(0.1) * (g - mean)
-                square = square + np.float32(0.01) * (g * g - square)
-                self.mean[k][rows], self.square[k][rows] = mean, square
-                self.w[k][rows] -= rate * mean / (np.sqrt(square) + np.float32(1e-8))
+            mean += self.moves * np.float32(0.1) * (g - mean)
+            square += self.moves * np.float32(0.01) * (g * g - square)
+            self.all -= self.moves * rate * mean / (np.sqrt(square) + np.float32(1e-8))
 
 
 def flattened(w: Weights) -> np.ndarray:
     return np.concatenate([w[k].reshape(-1) for k in sorted(w)])
 
 
-def shaped(values: np.ndarray, like: Weights) -> Weights:
+def _views(values: np.ndarray, like: Weights) -> Weights:
     out, at = {}, 0
     for k in sorted(like):
-        out[k] = values[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
+        out[k] = values[at : at + like[k].size].reshape(like[k].shape)
         at += like[k].size
     return out
 
 
+def shaped(values: np.ndarray, like: Weights) -> Weights:
+    return {k: v.astype(np.float32) for k, v in _views(values, like).items()}
+
+

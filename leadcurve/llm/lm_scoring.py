@@ -58,11 +58,18 @@ def _words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def _indexed(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def _indexed(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words of all texts, each word's place among them, and where each text's begin."""
     words = W.split_words(texts, lower=True)
     coded = W.slices(words.buf, words.start, words.end).dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), words.first
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), words.first
+
+
+def _listed(words: pa.Array) -> list[bytes]:
+    """As ``to_pylist``, which makes an object of Arrow for each word."""
+    buf, offsets = W.text_buffer(words)
+    data, ends = buf.tobytes(), offsets.tolist()
+    return [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 class Tokenizer:
@@ -85,13 +92,15 @@ class Tokenizer:
         """As a call, for words of which many have been asked before; up to ``REMEMBERED`` are kept."""
         if len(self.known) > REMEMBERED:
             self._forget()
-        new = [w for w in words if w not in self.known]
-        if new:
+        place = list(map(self.known.get, words))
+        if None in place:
+            new = [w for w, at in zip(words, place, strict=True) if at is None]
             ids, first = self(new)
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
             self.first = np.append(self.first, first[1:] + self.first[-1])
             self.ids = np.append(self.ids, ids)
-        return _gather(self.ids, self.first, np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
+            place = list(map(self.known.__getitem__, words))
+        return _gather(self.ids, self.first, np.array(place, np.int64))
 
     def opens(self) -> np.ndarray:
         """Does the id begin with a space? The end, one past the ids, does not."""
@@ -122,7 +131,7 @@ def training_words(documents: DataFrame) -> DataFrame:
         for batch in W.pieces(batches, size=2 * PIECE_BYTES):
             words, place, _ = _indexed(batch.column("text"))
             times = np.bincount(place, minlength=len(words))
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(times, pa.int64())], ["word", "n"])
 
     counted = documents.filter("NOT held_out").select("text").mapInArrow(count, "word string, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
@@ -147,7 +156,7 @@ def subword_counts(words: DataFrame, tokenizer, ends: int) -> np.ndarray:
         own = tokenizer()
         out = np.zeros(own.size, dtype=np.int64)
         for batch in W.pieces(batches, "word"):
-            ids, first = own([w.as_buffer().to_pybytes() for w in batch.column("word")])
+            ids, first = own(_listed(batch.column("word")))
             n = np.repeat(batch.column("n").to_numpy(), np.diff(first))
             np.add.at(out, ids, n)
         used = np.flatnonzero(out)
@@ -214,7 +223,7 @@ def learned_weights(documents: DataFrame, tokenizer, subwords: A.Subwords, round
                 if not parts:
                     continue
                 words, place, bounds = _indexed(pa.array([x for x, _ in parts], pa.string()))
-                ids, starts = _gather(*own.remembered(words), place)
+                ids, starts = _gather(*own.remembered(_listed(words)), place)
                 ids, first = _with_ends(ids, starts[bounds], classes.end, np.array([x for _, x in parts]))
                 some = np.append(True, np.diff(first) > 0)
                 if first[-1]:
@@ -258,12 +267,13 @@ class _Scorer:
             self.rows += n
             words, place, bounds = _indexed(batch.column("text"))
             row = np.repeat(np.arange(n), np.diff(bounds))
-            count = np.fromiter((self.frequent.get(w, -1) for w in words), np.int64, len(words))[place]
+            listed = _listed(words)
+            count = np.fromiter((self.frequent.get(w, -1) for w in listed), np.int64, len(words))[place]
             known = count >= 0
             base = np.bincount(row[known], np.log10(count[known] + 0.5) - self.log_size, n)
             base = base + np.log10(self.ends + 0.5) - self.log_size
             sure = np.bincount(row[known], minlength=n) + (self.ends > 0)
-            ids, starts = _gather(*self.tokenizer.remembered(words), place)
+            ids, starts = _gather(*self.tokenizer.remembered(listed), place)
             ids, first = _with_ends(ids, starts[bounds], self.subwords.end, np.ones(n, bool))
             scores = A.scores(self.weights, self.subwords, A.windows(self.subwords, ids, first))
             yield pa.RecordBatch.from_arrays(
@@ -276,7 +286,7 @@ class _Scorer:
             )
             rare, n_rare = np.unique(row[~known] * max(len(words), 1) + place[~known], return_counts=True)
             m = len(rare)
-            text = pa.array(words, pa.binary()).take(pa.array(rare % max(len(words), 1))).cast(pa.string())
+            text = words.take(pa.array(rare % max(len(words), 1))).cast(pa.string())
             empty = [pa.nulls(m, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(row_id[rare // max(len(words), 1)]), *empty, text, pa.array(n_rare, pa.int64())], _NAMES
