@@ -224,9 +224,10 @@ def scores(w: Weights, subwords: Subwords, text: Windows, batch: int = 2 * BATCH
 
 def _summed_rows(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     """The values of equal rows added up."""
-    width = values.shape[1]
-    cells = np.arange(size * width).reshape(size, width).take(rows, axis=0)
-    return np.bincount(cells.reshape(-1), values.reshape(-1), size * width).reshape(size, width).astype(values.dtype)
+    out = np.empty((size, values.shape[1]), dtype=values.dtype)
+    for i, column in enumerate(np.ascontiguousarray(values.T)):
+        out[:, i] = np.bincount(rows, column, size)
+    return out
 
 
 def gradients(w: Weights, index: np.ndarray, target: np.ndarray, used: np.ndarray) -> Weights:

@@ -13,6 +13,7 @@ a null doc_id (as the empty text) among them. Null and empty texts hold the end
   part of the round's blocks, and the tasks' weights are averaged. Blocks of
   ``BLOCK_CHARS`` characters are dealt to rounds by document and place. With ``SHARE`` 1
   every block of every training document is learned from, in one of the rounds.
+* Texts are split and turned into subwords once; both rounds and the scores read these.
 * Scores take every subword of the whole text once, in overlapping windows.
 
 Rows are scored one by one, equal rows included.
@@ -35,7 +36,7 @@ from leadcurve.llm import attention as A
 from leadcurve.llm import words as W
 from leadcurve.llm.blas import single_thread
 from leadcurve.llm.bpe import read_ranks
-from leadcurve.llm.frames import own_columns, staged
+from leadcurve.llm.frames import own_columns, read_in_parts, staged
 
 FOLDS, HELD = 5, 1
 FREQUENT_WORDS = 1 << 17
@@ -187,44 +188,57 @@ def _blocks(text: str | None, doc_id: int | None, turn: int) -> Iterator[tuple[l
 
 
 def _block_texts(text: str | None, doc_id: int | None, turn: int) -> Iterator[tuple[str, bool]]:
-    """The text's blocks of this round, and whether each is the last of its text.
+    """The text's blocks of this round, and whether each is the last of its text."""
+    blocks = _cut(text)
+    return (x for x, own in zip(blocks, _turns(doc_id, len(blocks)), strict=True) if own == turn)
 
-    A block begins with the first space behind a multiple of ``BLOCK_CHARS``; blocks
-    that are not of this round are not split into words.
-    """
-    text = text or ""
-    own = zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) // FOLDS
-    count = len(text) // BLOCK_CHARS + 1
-    for b in range((-own) % SHARE, count, SHARE):
-        if (own + b) // SHARE % ROUNDS == turn:
-            start = text.find(" ", b * BLOCK_CHARS) if b else 0
-            end = text.find(" ", (b + 1) * BLOCK_CHARS)
-            if start >= 0:
-                yield text[start : end if end >= 0 else None], end < 0
-
-
-def learned_weights(documents: DataFrame, tokenizer, subwords: A.Subwords, rounds: int = ROUNDS) -> A.Weights:
-    """Weights after all rounds over the training documents."""
+
+def _cut(text: str | None) -> list[tuple[str, bool]]:
+    """All blocks, and whether each is the last: one begins with the first space behind a multiple of ``BLOCK_CHARS``."""
+    text, out, start = text or "", [], 0
+    while start >= 0:
+        end = text.find(" ", (len(out) + 1) * BLOCK_CHARS)
+        out.append((text[start : end if end >= 0 else None], end < 0))
+        start = end
+    return out
+
+
+def _turns(doc_id: int | None, blocks: int) -> np.ndarray:
+    """The round that learns from each block, or -1."""
+    place = zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) // FOLDS + np.arange(blocks)
+    return np.where(place % SHARE == 0, place // SHARE % ROUNDS, -1)
+
+
+def _packed(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """The runs values[first[i]:first[i + 1]] as a binary column."""
+    offsets = (first * values.itemsize).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)]).cast(pa.binary())
+
+
+def _unpacked(column: pa.Array, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All values one after another, and where each row's begin (and the total)."""
+    buf, offsets = W.text_buffer(column)
+    return np.frombuffer(buf.tobytes(), dtype).astype(np.int64), offsets // dtype.itemsize
+
+
+def learned_weights(texts: DataFrame, subwords: A.Subwords, rounds: int = ROUNDS) -> A.Weights:
+    """Weights after all rounds over the training documents (doc_id, held_out, ids, cuts)."""
     weights = A.first_weights(subwords)
-    spark = documents.sparkSession
-    training = documents.filter("NOT held_out").select("doc_id", "text")
+    spark = texts.sparkSession
+    training = texts.filter("NOT held_out").select("doc_id", "ids", "cuts")
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast((weights, subwords))  # of fixed size
 
         def step(batches: Iterator[pa.RecordBatch], turn: int = turn, shared=shared) -> Iterator[pa.RecordBatch]:
             single_thread()
             given, classes = shared.value
-            own, learner = tokenizer(), A.Learner(given, classes, RATES[turn])
-            for batch in W.pieces(batches, size=PIECE_BYTES):
-                parts = [
-                    x for text, doc in zip(batch.column("text").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)
-                    for x in _block_texts(text, doc, turn)
-                ]
-                if not parts:
-                    continue
-                words, place, bounds = _indexed(pa.array([x for x, _ in parts], pa.string()))
-                ids, starts = _gather(*own.remembered(_listed(words)), place)
-                ids, first = _with_ends(ids, starts[bounds], classes.end, np.array([x for _, x in parts]))
+            learner = A.Learner(given, classes, RATES[turn])
+            for batch in W.pieces(batches, "ids", PIECE_BYTES // 2):
+                ids, first = _unpacked(batch.column("ids"), _id_type(classes))
+                cuts, own = _unpacked(batch.column("cuts"), _CUT)
+                blocks = np.append(cuts + np.repeat(first[:-1], np.diff(own)), first[-1])
+                turns = [_turns(doc, n) for doc, n in zip(batch.column("doc_id").to_pylist(), np.diff(own), strict=True)]
+                ids, first = _gather(ids, blocks, np.flatnonzero(np.concatenate(turns) == turn))
                 some = np.append(True, np.diff(first) > 0)
                 if first[-1]:
                     learner.learn(A.windows(classes, ids, first[some], overlap=0))
@@ -247,17 +261,26 @@ def learned_weights(documents: DataFrame, tokenizer, subwords: A.Subwords, round
 
 
 _PARTS = (
-    "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
+    "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, ids binary, cuts binary, "
     "word string, n long"
 )
+_NAMES = [x.split()[0] for x in _PARTS.split(", ")]
+_SCORED = "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+_CUT = np.dtype(np.int32)
+
+
+def _id_type(subwords: A.Subwords) -> np.dtype:
+    return np.min_scalar_type(subwords.end)
 
 
-class _Scorer:
-    """Scores one task's texts; rare words are sent on with their row."""
+class _Reader:
+    """Base scores and subwords of one task's texts; rare words are sent on with their row.
 
-    def __init__(self, tokenizer, frequent: dict[bytes, int], log_size: float, ends: int, weights: A.Weights, subwords: A.Subwords):
-        self.tokenizer, self.frequent, self.log_size, self.ends = tokenizer, frequent, log_size, ends
-        self.weights, self.subwords = weights, subwords
+    ``ids``: a text's subwords and its end; ``cuts``: where its blocks begin among them.
+    """
+
+    def __init__(self, tokenizer, frequent: dict[bytes, int], log_size: float, ends: int, subwords: A.Subwords):
+        self.tokenizer, self.frequent, self.log_size, self.ends, self.subwords = tokenizer, frequent, log_size, ends, subwords
         self.rows = TaskContext.get().partitionId() << 40 if TaskContext.get() else 0
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,8 +288,11 @@ class _Scorer:
             n = batch.num_rows
             row_id = self.rows + np.arange(n)
             self.rows += n
-            words, place, bounds = _indexed(batch.column("text"))
-            row = np.repeat(np.arange(n), np.diff(bounds))
+            blocks = [_cut(text) for text in batch.column("text").to_pylist()]
+            own = np.append(0, np.cumsum([len(x) for x in blocks]))
+            words, place, bounds = _indexed(pa.array([part for x in blocks for part, _ in x], pa.string()))
+            length = np.diff(bounds[own])
+            row = np.repeat(np.arange(n), length)
             listed = _listed(words)
             count = np.fromiter((self.frequent.get(w, -1) for w in listed), np.int64, len(words))[place]
             known = count >= 0
@@ -274,28 +300,25 @@ class _Scorer:
             base = base + np.log10(self.ends + 0.5) - self.log_size
             sure = np.bincount(row[known], minlength=n) + (self.ends > 0)
             ids, starts = _gather(*self.tokenizer.remembered(listed), place)
-            ids, first = _with_ends(ids, starts[bounds], self.subwords.end, np.ones(n, bool))
-            scores = A.scores(self.weights, self.subwords, A.windows(self.subwords, ids, first))
+            ids, first = _with_ends(ids, starts[bounds], self.subwords.end, np.array([last for x in blocks for _, last in x]))
+            cuts = first[:-1] - np.repeat(first[own[:-1]], np.diff(own))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(row_id), batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(bounds) + 1, pa.int64()),
-                    pa.array(sure, pa.int64()), pa.array(base), pa.array(np.add.reduceat(scores, first[:-1])),
-                    pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()),
+                    pa.array(row_id), batch.column("doc_id"), batch.column("held_out"), pa.array(length + 1, pa.int64()),
+                    pa.array(sure, pa.int64()), pa.array(base), _packed(ids.astype(_id_type(self.subwords)), first[own]),
+                    _packed(cuts.astype(_CUT), own), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()),
                 ],
                 _NAMES,
             )
             rare, n_rare = np.unique(row[~known] * max(len(words), 1) + place[~known], return_counts=True)
             m = len(rare)
             text = words.take(pa.array(rare % max(len(words), 1))).cast(pa.string())
-            empty = [pa.nulls(m, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+            empty = [pa.nulls(m, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(row_id[rare // max(len(words), 1)]), *empty, text, pa.array(n_rare, pa.int64())], _NAMES
             )
 
 
-_NAMES = [x.split()[0] for x in _PARTS.split(", ")]
-
-
 def scored(documents: DataFrame, rank_file: str, pattern: str, frequent_words: int = FREQUENT_WORDS, rounds: int = ROUNDS) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = documents.sparkSession
@@ -314,15 +337,28 @@ def scored(documents: DataFrame, rank_file: str, pattern: str, frequent_words: i
     top = _frequent(counts, frequent_words).toPandas()  # at most frequent_words rows
     frequent = {w.encode(): int(n) for w, n in zip(top["word"], top["n"], strict=True)}
     subwords = A.subword_classes(subword_counts(counts, tokenizer, ends), tokenizer().opens())
-    weights = learned_weights(own, tokenizer, subwords, rounds)
-    shared = spark.sparkContext.broadcast((frequent, weights, subwords))  # frequent_words, and weights of fixed size
+    known = spark.sparkContext.broadcast((frequent, subwords))  # frequent_words, and classes of fixed size
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        single_thread()
-        words, learned, classes = shared.value
-        return _Scorer(tokenizer(), words, log_size, ends, learned, classes)(batches)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, classes = known.value
+        return _Reader(tokenizer(), words, log_size, ends, classes)(batches)
 
-    parts = staged(own.mapInArrow(score, _PARTS), "scored")
+    parts = staged(own.mapInArrow(read, _PARTS), "subwords")
+    texts = parts.filter("word IS NULL")
+    with read_in_parts(spark):
+        weights = learned_weights(texts, subwords, rounds)
+        shared = spark.sparkContext.broadcast((weights, subwords))  # of fixed size
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            single_thread()
+            learned, classes = shared.value
+            for batch in W.pieces(batches, "ids", PIECE_BYTES // 2):
+                ids, first = _unpacked(batch.column("ids"), _id_type(classes))
+                scores = np.add.reduceat(A.scores(learned, classes, A.windows(classes, ids, first)), first[:-1])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], [*batch.schema.names[:-1], "score"])
+
+        rows = texts.select("row_id", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "ids")
+        rows = staged(rows.mapInArrow(score, _SCORED), "scored")
     # one row per row and rare word; unknown words have no count
     rare = parts.filter("word IS NOT NULL").select("row_id", "word", F.col("n").alias("times"))
     met = rare.join(counts.hint("merge"), "word", "left")
@@ -330,7 +366,7 @@ def scored(documents: DataFrame, rank_file: str, pattern: str, frequent_words: i
         F.sum(F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 0.5) - log_size)).alias("more"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("known"),
     )
-    return parts.filter("word IS NULL").join(sums.hint("merge"), "row_id", "left").select(
+    return rows.join(sums.hint("merge"), "row_id", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
     )

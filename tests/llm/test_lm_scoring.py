@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from leadcurve.llm import attention as A
@@ -179,3 +180,41 @@ def test_products_take_one_thread():
     assert single_thread()  # the library that numpy brings here is known
     a = np.random.default_rng(1).normal(size=(300, 40))
     assert np.allclose(a.T @ a, np.einsum("ij,ik->jk", a, a))
+
+
+def test_texts_are_turned_into_subwords_once(spark, monkeypatch):
+    """Both rounds and the scores read stored subwords: after the texts were read, no task needs a tokenizer."""
+    from leadcurve.llm import frames
+
+    names = []
+    monkeypatch.setattr(lm_scoring, "staged", lambda df, name: names.append(name) or frames.staged(df, name))
+    rows = [(i, f"word{i} the {'of ' * 300}") for i in range(20)]
+    out = lm_scoring.scored(docs(spark, rows), FILE, PATTERN, 2).collect()
+    assert names == ["word-counts", "subwords", "scored"] and base_of(out) == sorted(brute(rows))
+
+
+def test_stored_subwords_hold_every_block(spark):
+    with open(FILE, "rb") as f:
+        own = lm_scoring.Tokenizer(f.read(), PATTERN)
+    texts = [None, "", "Alpha beta", " ".join(f"w{i}" for i in range(900)), "x" * 1500 + " y z " + "日本 " * 700]
+    classes = A.subword_classes(np.ones(own.size + 1), own.opens())
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([None, 1, 2, 3, 4], pa.int64()), pa.array([False] * 5), pa.array(texts, pa.string())], ["doc_id", "held_out", "text"]
+    )
+    rows = [r for b in lm_scoring._Reader(own, {}, 1.0, 1, classes)([batch]) for r in b.to_pylist() if r["word"] is None]
+    for r, text in zip(rows, texts, strict=True):
+        ids = np.frombuffer(r["ids"], lm_scoring._id_type(classes))
+        cuts = np.append(np.frombuffer(r["cuts"], lm_scoring._CUT), len(ids))
+        for turn in range(lm_scoring.ROUNDS):
+            mine = np.flatnonzero(lm_scoring._turns(r["doc_id"], len(cuts) - 1) == turn)
+            want = [own(words)[0].tolist() + [classes.end] * last for words, last in lm_scoring._blocks(text, r["doc_id"], turn)]
+            assert [ids[cuts[b] : cuts[b + 1]].tolist() for b in mine] == want
+
+
+def test_products_in_slices_are_those_of_whole_matrices():
+    rng = np.random.default_rng(5)
+    for rows in (1, A.SLICE - 1, A.SLICE, 2 * A.SLICE + 3):
+        x, y, m = rng.normal(size=(rows, 16)), rng.normal(size=(rows, 48)), rng.normal(size=(16, 48))
+        assert np.allclose(A._product(x, m), x @ m) and np.allclose(A._summed_product(x, y), x.T @ y)
+        assert np.allclose(A._row_sums(y, 3), y.sum(axis=1, keepdims=True))
+        assert [len(part) for part in A._parts(x)] == [rows // A.SLICE, 1]
