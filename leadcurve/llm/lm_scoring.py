@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +45,7 @@ FREQUENT_WORDS = 1 << 17
 SHARE, ROUNDS, BLOCK_CHARS = 1, 2, 600
 RATES = (0.02, 0.007)
 PIECE_BYTES = 4 << 20
-REMEMBERED = 1 << 18  # words whose subwords a task remembers
+REMEMBERED = 1 << 18  # words, besides the frequent ones, whose subwords a task remembers
 _FIXED = 1 << 20  # weights are summed as whole numbers, so that the order of tasks does not matter
 
 _SPACES = regex.compile(r"[^\S\n ]")
@@ -62,7 +64,10 @@ def _words(text: str | None) -> list[bytes]:
 def _indexed(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words of all texts, each word's place among them, and where each text's begin."""
     words = W.split_words(texts, lower=True)
-    coded = W.slices(words.buf, words.start, words.end).dictionary_encode()
+    offsets = np.append(0, np.cumsum(words.end - words.start))
+    data = words.buf.tobytes().translate(None, b" \t\n\v\f\r")  # the words' bytes, one after another
+    listed = pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    coded = listed.cast(pa.binary()).dictionary_encode()
     return coded.dictionary, coded.indices.to_numpy().astype(np.int64), words.first
 
 
@@ -83,25 +88,6 @@ class Tokenizer:
         self.encoding = _encodings[key]
         self.size = self.encoding.max_token_value + 1
         self.feed = self.encoding.encode_single_token(b"\n")
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids, self.first = np.zeros(0, np.int64), np.zeros(1, np.int64)
-
-    def remembered(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """As a call, for words of which many have been asked before; up to ``REMEMBERED`` are kept."""
-        if len(self.known) > REMEMBERED:
-            self._forget()
-        place = list(map(self.known.get, words))
-        if None in place:
-            new = [w for w, at in zip(words, place, strict=True) if at is None]
-            ids, first = self(new)
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.first = np.append(self.first, first[1:] + self.first[-1])
-            self.ids = np.append(self.ids, ids)
-            place = list(map(self.known.__getitem__, words))
-        return _gather(self.ids, self.first, np.array(place, np.int64))
 
     def opens(self) -> np.ndarray:
         """Does the id begin with a space? The end, one past the ids, does not."""
@@ -118,13 +104,55 @@ class Tokenizer:
         if _SPACES.search(text):  # such a character may join the spaces before it
             lists = [self.encoding.encode_ordinary(" " + w.decode()) for w in words]
             return np.array([x for own in lists for x in own], np.int64), np.append(0, np.cumsum([len(x) for x in lists]))
-        ids = self.encoding.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+        ids = np.array(self.encoding.encode_ordinary(text), np.int64)  # encode_to_numpy also looks for special tokens
         feeds = np.flatnonzero(ids == self.feed)
         if len(feeds) != len(words):
             raise ValueError("a word was not separated")
         return np.delete(ids, feeds), np.append(feeds - np.arange(len(feeds)), len(ids) - len(feeds))
 
 
+@dataclass(frozen=True)
+class Frequent:
+    """The most frequent words, their counts and subwords; the subwords of word i begin at ``first[i]``."""
+
+    words: list[bytes]
+    counts: np.ndarray
+    ids: np.ndarray
+    first: np.ndarray
+
+
+def frequent_subwords(counted: dict[bytes, int], tokenizer: Tokenizer) -> Frequent:
+    words = list(counted)
+    return Frequent(words, np.array(list(counted.values()), np.int64), *tokenizer(words))
+
+
+class _Remembered:
+    """Subwords of words of which many have been asked before: the frequent ones and up to ``REMEMBERED`` others."""
+
+    def __init__(self, tokenizer: Tokenizer, frequent: Frequent):
+        self.tokenizer, self.frequent = tokenizer, frequent
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = dict(zip(self.frequent.words, range(len(self.frequent.words)), strict=True))
+        self.ids, self.first = self.frequent.ids, self.frequent.first
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """Each of the distinct words' place in ``first``; frequent words come before all others."""
+        if len(self.known) - len(self.frequent.words) > REMEMBERED:
+            self._forget()
+        place = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            new = [words[i] for i in missing.tolist()]
+            ids, first = self.tokenizer(new)
+            place[missing] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known.update(zip(new, place[missing].tolist(), strict=True))
+            self.first = np.append(self.first, first[1:] + self.first[-1])
+            self.ids = np.append(self.ids, ids)
+        return place
+
+
 def training_words(documents: DataFrame) -> DataFrame:
     """word and n over all training documents (doc_id, text, held_out), without ends."""
 
@@ -279,8 +307,10 @@ class _Reader:
     ``ids``: a text's subwords and its end; ``cuts``: where its blocks begin among them.
     """
 
-    def __init__(self, tokenizer, frequent: dict[bytes, int], log_size: float, ends: int, subwords: A.Subwords):
-        self.tokenizer, self.frequent, self.log_size, self.ends, self.subwords = tokenizer, frequent, log_size, ends, subwords
+    def __init__(self, tokenizer: Tokenizer, frequent: dict[bytes, int] | Frequent, log_size: float, ends: int, subwords: A.Subwords):
+        self.frequent = frequent if isinstance(frequent, Frequent) else frequent_subwords(frequent, tokenizer)
+        self.remembered = _Remembered(tokenizer, self.frequent)
+        self.log_size, self.ends, self.subwords = log_size, ends, subwords
         self.rows = TaskContext.get().partitionId() << 40 if TaskContext.get() else 0
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,13 +323,13 @@ class _Reader:
             words, place, bounds = _indexed(pa.array([part for x in blocks for part, _ in x], pa.string()))
             length = np.diff(bounds[own])
             row = np.repeat(np.arange(n), length)
-            listed = _listed(words)
-            count = np.fromiter((self.frequent.get(w, -1) for w in listed), np.int64, len(words))[place]
-            known = count >= 0
-            base = np.bincount(row[known], np.log10(count[known] + 0.5) - self.log_size, n)
+            at = self.remembered.places(_listed(words))
+            known = (at < len(self.frequent.words))[place]
+            value = np.log10(self.frequent.counts + 0.5) - self.log_size
+            base = np.bincount(row[known], value[at[place[known]]], n)
             base = base + np.log10(self.ends + 0.5) - self.log_size
             sure = np.bincount(row[known], minlength=n) + (self.ends > 0)
-            ids, starts = _gather(*self.tokenizer.remembered(listed), place)
+            ids, starts = _gather(self.remembered.ids, self.remembered.first, at[place])
             ids, first = _with_ends(ids, starts[bounds], self.subwords.end, np.array([last for x in blocks for _, last in x]))
             cuts = first[:-1] - np.repeat(first[own[:-1]], np.diff(own))
             yield pa.RecordBatch.from_arrays(
@@ -335,7 +365,7 @@ def scored(documents: DataFrame, rank_file: str, pattern: str, frequent_words: i
     tokens, types = totals[0] + ends, totals[1] + (ends > 0)
     log_size = float(np.log10(tokens + 0.5 * (types + 1)))
     top = _frequent(counts, frequent_words).toPandas()  # at most frequent_words rows
-    frequent = {w.encode(): int(n) for w, n in zip(top["word"], top["n"], strict=True)}
+    frequent = frequent_subwords({w.encode(): int(n) for w, n in zip(top["word"], top["n"], strict=True)}, tokenizer())
     subwords = A.subword_classes(subword_counts(counts, tokenizer, ends), tokenizer().opens())
     known = spark.sparkContext.broadcast((frequent, subwords))  # frequent_words, and classes of fixed size
 

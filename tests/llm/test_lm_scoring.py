@@ -218,3 +218,67 @@ def test_products_in_slices_are_those_of_whole_matrices():
         assert np.allclose(A._product(x, m), x @ m) and np.allclose(A._summed_product(x, y), x.T @ y)
         assert np.allclose(A._row_sums(y, 3), y.sum(axis=1, keepdims=True))
         assert [len(part) for part in A._parts(x)] == [rows // A.SLICE, 1]
+
+
+def test_a_place_takes_two_products_before_its_classes(monkeypatch):
+    """Query and key are one map, value and out another."""
+    own, made, product = subwords(), [], A._product
+    monkeypatch.setattr(A, "_product", lambda y, by: made.append(by.shape) or product(y, by))
+    A._forward(A.first_weights(own), np.zeros((3, A.WINDOW), np.int64))
+    assert len(made) == 3  # the third adds up rows
+
+
+@pytest.mark.parametrize("size", [1, 40, 400])
+def test_powers_out_of_range_change_no_result(size):
+    """Large weights lead out of single precision; scores and gradients stay those of double precision."""
+    own, rng = subwords(), np.random.default_rng(6)
+    w = {k: v.astype(np.float64) for k, v in A.first_weights(own).items()}
+    w["classes"], w["qkv"], w["bias"] = w["classes"] * size, w["qkv"] * min(size, 20), w["bias"] + 100
+    single = {k: v.astype(np.float32) for k, v in w.items()}
+    ids = np.append(rng.integers(0, 40, 61), own.end)
+    text = A.windows(own, ids, np.array([0, 30, 62]))
+    got, want = A.scores(single, own, text), np.array(plain(w, own, ids[:30].tolist()) + plain(w, own, ids[30:].tolist()))
+    seen = want > -30  # single precision ends there
+    assert np.isfinite(got).all() and (got[~seen] < -29).all() and np.allclose(got[seen], want[seen], rtol=2e-3, atol=2e-3)
+    index, target = text.input[text.at], own.klass[ids[text.at]]
+    for k, v in A.gradients(w, index, target, text.valid).items():
+        assert np.allclose(A.gradients(single, index, target, text.valid)[k], v, rtol=2e-2, atol=2e-3 * max(1, abs(v).max())), k
+
+
+def test_gradients_in_parts_are_those_of_the_whole(monkeypatch):
+    own, rng = subwords(), np.random.default_rng(7)
+    w = {k: v.astype(np.float64) for k, v in A.first_weights(own).items()}
+    ids = np.append(rng.integers(0, 40, 700), own.end)
+    text = A.windows(own, ids, np.array([0, 300, 701]), overlap=0)
+    index, target = text.input[text.at], own.klass[ids[text.at]]
+    whole = A.gradients(w, index, target, text.valid)
+    monkeypatch.setattr(A, "PART", 7)
+    assert all(np.allclose(v, whole[k]) for k, v in A.gradients(w, index, target, text.valid).items())
+
+
+def test_only_input_vectors_that_are_read_move():
+    own = subwords()
+    learner, before = A.Learner(A.first_weights(own), own, 0.02), A.first_weights(own)
+    ids = np.array([3, 5, 3, 5, own.end])
+    learner.learn(A.windows(own, ids, np.array([0, 5]), overlap=0))
+    read = {own.input[i] for i in (own.end, 3, 5)}
+    assert set(np.flatnonzero((learner.w["input"] != before["input"]).any(axis=1))) == read
+
+
+def test_tasks_tokenize_rare_words_alone(monkeypatch):
+    """Frequent words come with their subwords, also after rare ones were forgotten."""
+    with open(FILE, "rb") as f:
+        own = lm_scoring.Tokenizer(f.read(), PATTERN)
+    frequent = lm_scoring.frequent_subwords({b"the": 7, b"alpha": 3}, own)
+    asked, call = [], lm_scoring.Tokenizer.__call__
+    monkeypatch.setattr(lm_scoring.Tokenizer, "__call__", lambda self, words: asked.extend(words) or call(self, words))
+    monkeypatch.setattr(lm_scoring, "REMEMBERED", 2)
+    classes = A.subword_classes(np.ones(own.size + 1), own.opens())
+    reader = lm_scoring._Reader(own, frequent, 1.0, 1, classes)
+    for text in ("the Alpha x1 the", "alpha x1 x2 x3 the", "the x1 alpha"):
+        batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([False]), pa.array([text])], ["doc_id", "held_out", "text"])
+        row, *rare = [r for b in reader([batch]) for r in b.to_pylist()]
+        words = text.lower().split()
+        assert np.frombuffer(row["ids"], lm_scoring._id_type(classes)).tolist() == [*call(own, [w.encode() for w in words])[0], classes.end]
+        assert {r["word"] for r in rare} == {w for w in words if w[0] == "x"}
+    assert asked == [b"x1", b"x2", b"x3", b"x1"]
