@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from leadcurve.operators import sampling
-from leadcurve.operators.quantiles import exact_quantiles, ranked_quantiles
+from leadcurve.operators.quantiles import equal_bins, exact_quantiles, ranked_quantiles, value_counts
 
 
 def test_quantiles_match_numpy_with_a_hot_group_and_nulls(spark):
@@ -73,3 +73,20 @@ def test_hash_sample_is_the_head_of_the_hash_order(spark):
     ranks = {r.id: r.place for r in sampling.hash_rank(df, hashed, "place").collect()}
     assert [i for i, _ in sorted(ranks.items(), key=lambda x: x[1])] == order
     assert sorted(ranks.values()) == list(range(1, 4001))
+
+
+def test_equal_bins_match_a_running_count(spark):
+    rng = random.Random(7)
+    rows = [("spread", rng.gauss(0, 1)) for _ in range(3000)] + [("heavy", float(min(rng.randint(0, 400), 200))) for _ in range(2000)]
+    rows += [("few", float(i % 3)) for i in range(30)] + [("few", None), ("gap", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    got = {(r["k"], r["bin"]): r for r in equal_bins(value_counts(df, ["k"], "v"), ["k"], "v", "n", 8).collect()}
+    expected = {}
+    for k in ("spread", "heavy", "few"):
+        own = sorted(v for key, v in rows if key == k and v is not None)
+        for v in sorted(set(own)):
+            middle = own.index(v) + own.count(v) / 2
+            expected.setdefault((k, int(middle * 8 / len(own))), []).append(v)
+        assert {(r["rows"], r["values"]) for key, r in got.items() if key[0] == k} == {(len(own), len(set(own)))}
+    assert {key: (r["low"], r["high"]) for key, r in got.items()} == {key: (vs[0], vs[-1]) for key, vs in expected.items()}
+    assert [r["low"] for key, r in got.items() if r["high"] == 200.0 and key[0] == "heavy"] == [200.0]

@@ -3,6 +3,7 @@ import pathlib
 from datetime import date, timedelta
 
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from leadcurve.operators import market, metrics
@@ -137,3 +138,63 @@ def test_fitting_reads_a_bounded_sample_and_the_record_reads_all(spark, table):
     small = {"one": {"maxIter": 1, "maxDepth": 1}}
     record = train.train(table, small, max_pairs=50).record.first()
     assert record.train_rows + record.validation_rows + record.test_rows == remaining_pairs(table).count() > 50
+
+
+def test_training_fits_every_pair_of_its_parts(spark, table, monkeypatch):
+    read, fit = [], train.fit_model
+
+    def sampled(*args, **settings):
+        raise AssertionError("a sample was drawn")
+
+    def counted(rows, *args, **settings):
+        read.append(rows.count())
+        return fit(rows, *args, **settings)
+
+    monkeypatch.setattr(train.split, "pair_sample", sampled)
+    monkeypatch.setattr(train, "fit_model", counted)
+    record = train.train(table, {"one": {"maxIter": 1, "maxDepth": 1}}).record.first()
+    assert read == [record.train_rows, record.train_rows + record.validation_rows]
+
+
+def many_pairs(spark, rows):
+    """Pairs of one route with ``rows`` different fares; the one dear pair is the only one of December."""
+    dear = F.col("id") == rows // 2
+    features = spark.range(0, rows, 1, 4).select(
+        F.lit("ATL-LAX").alias("route_cat"),
+        (F.col("id") % 2 == 0).alias("is_nonstop"),
+        (F.col("id") % 20).alias("days_before_departure"),
+        F.lit(21).alias("as_of_days"),
+        F.log(F.col("id") + 20.0).alias("log_current_fare"),
+        F.lit(3).alias("departure_day_of_week"),
+        F.when(dear, 12).otherwise(6).alias("departure_month"),
+        (F.col("id") % 7).alias("search_day_of_week"),
+        F.lit(1940.0).alias("totalTravelDistance"),
+        F.lit(False).alias("departure_is_weekend"),
+        F.lit(False).alias("near_holiday"),
+        F.when(dear, 3.0).otherwise(1.0).alias("rel_fare"),
+    )
+    return stage(train.numeric_inputs(features), "many-pairs")
+
+
+def test_splits_are_found_among_all_rows(spark, table):
+    rows = many_pairs(spark, 60_000)  # more than the 10,000 that Spark looks at
+    model = train.fit_model(rows, train.route_indexer(table), maxIter=1, maxDepth=1)
+    found = model.transform(rows).groupBy("departure_month").agg(F.min("prediction"), F.max("prediction")).collect()
+    assert {r[0]: r[1:] for r in found} == {6: (1.0, 1.0), 12: (3.0, 3.0)}
+
+
+def test_inputs_of_many_values_are_binned_in_their_order(spark, table, tmp_path):
+    rows = many_pairs(spark, 20_000).withColumn("rel_fare", F.when(F.col("log_current_fare") < F.log(F.lit(5020.0)), 1.0).otherwise(2.0))
+    ready = train.input_steps(rows, train.route_indexer(table))
+    assert ready.max_bins**2 > 20_000
+    (bins,) = [s for s in ready.steps if s.__class__.__name__ == "Bucketizer"]
+    assert bins.getInputCols() == ["x_log_current_fare"]
+    (splits,) = bins.getSplitsArray()
+    assert len(splits) == train.BINS + 1 and splits == sorted(splits)
+    model = train.fit_model(rows, train.route_indexer(table), ready=ready, maxIter=1, maxDepth=1)
+    path = str(tmp_path / "model")
+    model.write().save(path)
+    found = PipelineModel.load(path).transform(rows).withColumn("dear", F.col("rel_fare") > 1).groupBy("dear", "prediction").count()
+    # 5,000 of 20,000 values lie below, an edge of bins, and one split tells them apart
+    assert {(r.dear, r.prediction): r["count"] for r in found.collect()} == {(False, 1.0): 5000, (True, 2.0): 15000}
+    assert model.stages[-1].trees[0].depth == 1 and "not in" not in model.stages[-1].toDebugString
